@@ -40,6 +40,11 @@ def query_field(url: Column | str, field: str) -> Column:
     return F.get(found, F.lit(0))
 
 
+def company_key(href: Column | str) -> Column:
+    """Company key of a listing link ``/?company=key&...``."""
+    return F.regexp_extract(_col(href), r"^(?:/\?company=)?([^&]*)", 1)
+
+
 # Markup to Markdown rules, applied in order to markup with collapsed white space.
 _HEADINGS = [(rf"(?i)<h{n}(\s[^>]*)?>\s*", "\n\n" + "#" * n + " ") for n in range(1, 7)]
 MARKDOWN_RULES = [

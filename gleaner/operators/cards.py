@@ -71,10 +71,15 @@ def cells_to_columns(df: DataFrame, column: str = "cells", names: list[str] = CA
     return df.withColumns(cells).drop(column)
 
 
-def check_all(df: DataFrame, test: Column, message: str) -> DataFrame:
-    """The same rows; the job fails on the first row that does not pass ``test``."""
+def check_all(df: DataFrame, test: Column, message: str, guard: str) -> DataFrame:
+    """The same rows; the job fails on the first row that does not pass ``test``.
+
+    The test sits in the projection of the ``guard`` column. As a filter it would be pushed below the
+    steps that compute its input, and repeat them.
+    """
     passed = F.coalesce(test, F.lit(False))
-    return df.filter(F.when(passed, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
+    failed = F.raise_error(F.lit(message)).cast(df.schema[guard].dataType)
+    return df.withColumn(guard, F.when(passed, F.col(guard)).otherwise(failed))
 
 
 def posting_features(df: DataFrame, cities: list[str]) -> DataFrame:
@@ -103,11 +108,12 @@ def postings_from_pages(
         pages.withColumn("_lone", F.when(lone, F.concat(markup.page_title(html), F.lit("_")))), html, card_open
     )
     cards = cells_to_columns(repair_cards(cards, company=F.col("_lone")))
-    cards = check_all(cards, F.col("_job_posting") == "Job Posting", "a card lacks its posting mark")
     keyed = cards.withColumns({
         "hash": markup.key_from_url("href"),
-        "chash": F.when(F.col("_lone").isNull(), markup.query_field("href2", "company")),
-    }).drop("_job_posting", "_views", "href", "href2", "_lone", html)
+        "chash": F.when(F.col("_lone").isNull(), markup.company_key("href2")),
+    })
+    keyed = check_all(keyed, F.col("_job_posting") == "Job Posting", "a card lacks its posting mark", "hash")
+    keyed = keyed.drop("_job_posting", "_views", "href", "href2", "_lone", html)
     featured = posting_features(keyed, cities)
     if not dedupe:
         return featured
