@@ -109,6 +109,10 @@ def bm25_index(df: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
     return {"postings": postings, "terms": terms, "stats": stats}
 
 
+def _occurrences(items: str, term: str) -> Column:
+    return F.size(F.filter(items, lambda x: x == F.lit(term)))
+
+
 def _idf(n: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
 
@@ -130,10 +134,8 @@ def bm25_rank(df: DataFrame, doc: str, text: str, query: str, k: int = 15, weigh
     terms = query_terms(query)
     distinct = sorted(set(terms))
     carried = df.select(doc, (F.lit(1.0) if weight is None else weight).alias("_w"), tokens(text).alias("_t"))
-    tfs = {t: F.size(F.filter("_t", lambda x, t=t: x == t)).cast("double") for t in distinct}
-    rows = carried.select(
-        doc, "_w", F.size("_t").cast("double").alias("_len"), *[c.alias(f"_tf{i}") for i, c in enumerate(tfs.values())]
-    )
+    counts = [_occurrences("_t", term).cast("double").alias(f"_tf{i}") for i, term in enumerate(distinct)]
+    rows = carried.select(doc, "_w", F.size("_t").cast("double").alias("_len"), *counts)
     stats = rows.agg(F.struct(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(distinct))],

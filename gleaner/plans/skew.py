@@ -76,12 +76,14 @@ def nested_lists(
     task or row ever holds a whole hot group.
     """
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > part_size)
-    test = reduce(lambda x, y: x & y, [counted[k].eqNullSafe(sizes[k]) for k in keys])
-    parts = F.ceil(F.coalesce(sizes["_d"], F.lit(1)) / F.lit(part_size)).cast("long")
-    cut = counted.join(sizes, test, "left").select(
-        *[counted[k] for k in keys], value, "n", F.pmod(F.xxhash64(value), parts).alias("part")
+    marks = {k: f"_k{i}" for i, k in enumerate(keys)}
+    sizes = (
+        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > part_size)
+        .withColumnsRenamed(marks)
     )
+    test = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(m)) for k, m in marks.items()])
+    parts = F.ceil(F.coalesce("_d", F.lit(1)) / F.lit(part_size)).cast("long")
+    cut = counted.join(sizes, test, "left").select(*keys, value, "n", F.pmod(F.xxhash64(value), parts).alias("part"))
     return cut.groupBy(*keys, "part").agg(
         F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "n"))).alias(out)
     )
