@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SKIPPED = ("script", "style", "title")
 BLOCKS = ("p", "div", "article", "section", "ul", "ol", "nav", "footer", "header", "table", "tr")
@@ -72,6 +75,10 @@ def _markdown(html: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown_nested(html: pd.Series) -> pd.Series:
     return html.map(_markdown, na_action="ignore")
+
+
+# sent to executors by value, so that they need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

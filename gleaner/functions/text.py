@@ -17,9 +17,16 @@ def collapse_space(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), r"(?U)\s+", " ")
 
 
+# The Unicode white-space characters.
+SPACES = (
+    " \t\n\u000b\f\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column | str) -> Column:
     """Drop white space at both ends, no-break space included."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(_col(c), F.lit(SPACES))
 
 
 def normalise_chars(c: Column | str) -> Column:

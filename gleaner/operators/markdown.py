@@ -154,11 +154,15 @@ def md_style(rows: DataFrame, doc: str, resume: bool = False, pagebreak: bool =
     return rows.withColumn("style", style)
 
 
+# one piece up to its closing bold mark; anchored and possessive, so that a long line costs linear time
+BOLD_PIECE = r"\G(.(?:(?!\*\*).)*+\*\*.(?:(?!\*\*).)*+\*\*)"
+
+
 def bold_runs(condensed: Column | str) -> Column:
     """Pieces that end in a bold part, then the tail; a null line gives one empty piece."""
     c = _col(condensed)
-    pieces = F.regexp_extract_all(F.concat(F.lit(" "), c), F.lit(r"(.+?\*\*.+?\*\*)"), 1)
-    tail = F.substring_index(F.concat(F.lit("**"), c), "**", -1)
+    pieces = F.regexp_extract_all(F.concat(F.lit(" "), c), F.lit(BOLD_PIECE), 1)
+    tail = F.element_at(F.split(c, r"\*\*"), -1)
     return F.concat(F.coalesce(pieces, F.array().cast("array<string>")), F.array(F.coalesce(tail, F.lit(""))))
 
 

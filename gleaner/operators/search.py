@@ -62,7 +62,8 @@ def highlight_patterns(text: Column | str, patterns: list[str], open_tag: str =
     )
 
 
-CANDIDATE = r"\b[a-z]+ ((?:[A-Z][-A-Za-z0-9]* ?)+)"
+# possessive, so that a long run of capitalised words needs no stack
+CANDIDATE = r"\b[a-z]++ ((?:[A-Z][-A-Za-z0-9]*+ ?+)++)"
 
 
 def keyword_candidates(text: Column | str) -> Column:

@@ -47,10 +47,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
 def load_all() -> dict[str, Query]:
     from importlib import import_module
 
-    import os
-    for part in os.environ.get("PARTS","sources").split(","):
-      import_module(f"{__name__}.{part}")
-    return REGISTRY
     for part in ("sources", "extract", "filters", "joins", "aggregates", "ordering", "scalars", "search",
                  "markdown", "incremental", "forms"):
         import_module(f"{__name__}.{part}")

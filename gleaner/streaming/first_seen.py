@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.dedupe import keep_first
-from gleaner.operators.joins import keep_unknown
 from gleaner.sources.tables import path_exists
 
 
@@ -24,8 +23,10 @@ def first_seen(
     def write(batch: DataFrame, number: int) -> None:
         fresh = keep_first(batch, [key], [F.asc_nulls_last(c) for c in order])
         if path_exists(batch.sparkSession, store):
-            known = batch.sparkSession.read.schema(f"{batch.schema[key].name} {batch.schema[key].dataType.simpleString()}, batch_id bigint").parquet(store)
-            fresh = keep_unknown(fresh, known.filter(F.col("batch_id") < number), key)
+            kind = batch.schema[key].dataType.simpleString()
+            known = batch.sparkSession.read.schema(f"`{key}` {kind}, batch_id bigint").parquet(store)
+            known = known.filter(F.col("batch_id") < number).select(key)
+            fresh = fresh.join(known, key, "left_anti")  # keys are unique on both sides, so none is hot
         fresh.write.mode("overwrite").parquet(f"{store}/batch_id={number}")
 
     return (
