@@ -45,25 +45,22 @@ def company_key(href: Column | str) -> Column:
     return F.regexp_extract(_col(href), r"^(?:/\?company=)?([^&]*)", 1)
 
 
-# Markup to Markdown rules, applied in order to markup with collapsed white space.
-_HEADINGS = [(rf"(?i)<h{n}(\s[^>]*)?>\s*", "\n\n" + "#" * n + " ") for n in range(1, 7)]
+# Markup to Markdown rules, applied in order.
 MARKDOWN_RULES = [
-    (r"(?s)<!--.*?-->", ""),
-    (r"(?is)<(script|style|title|head)(\s[^>]*)?>.*?</(script|style|title|head)>", ""),
+    (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>", ""),
     (r"\s+", " "),
-    *_HEADINGS,
-    (r"(?i)\s*</h[1-6]>", "\n\n"),
-    (r"(?i)<(b|strong)(\s[^>]*)?>|</(b|strong)>", "**"),
-    (r"(?i)<(i|em)(\s[^>]*)?>|</(i|em)>", "*"),
+    (r"(?i)\s*<h([1-6])(?:\s[^>]*)?>\s*", "\n\n<#$1>"),
+    (r"(?i)\s*</?(?:p|ul|ol|div|article|section|nav|footer|header|table|tr|body|h[1-6])(?:\s[^>]*)?>\s*", "\n\n"),
+    (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
+    (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
     (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
     (r"(?i)<br\s*/?>", "  \n"),
-    (r"(?i)\s*<li(\s[^>]*)?>\s*", "\n* "),
-    (r"(?i)\s*</?(p|ul|ol|div|article|section|nav|footer|header|table|tr|body)(\s[^>]*)?>\s*", "\n\n"),
-    (r"<[^>]*>", ""),
+    (r"(?i)\s*<li(?:\s[^>]*)?>\s*", "\n* "),
+    (r"<[^#>][^>]*>", ""),
     (r"\n[ \t]+", "\n"),
     (r"\n{3,}", "\n\n"),
-    (r"^\s+|\s+$", ""),
 ]
+HEADING_MARKS = [(f"<#{n}>", "#" * n + " ") for n in range(1, 7)]
 # Named characters, the ampersand last.
 ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
@@ -80,7 +77,8 @@ def html_to_markdown(html: Column | str) -> Column:
     ``functions.nested`` keeps their depth, in Arrow batches.
     """
     text = reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), MARKDOWN_RULES, _col(html))
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    text = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), HEADING_MARKS + ENTITIES, text)
+    return F.trim(text, F.lit(" \n"))
 
 
 def span_texts(fragment: Column | str, tag: str = "span") -> Column:

@@ -25,5 +25,4 @@ def head(df: DataFrame, order: list[Column], n: int) -> DataFrame:
 
 def nth_match(df: DataFrame, mask: Column, order: str, index: int) -> DataFrame:
     """The row at ``index`` (0-based) among the matches; an index past the end wraps around."""
-    hits = df.filter(F.coalesce(mask, F.lit(False)))
-    return kth_row(hits, order, F.lit(index) % F.col("_total") + 1)
+    return kth_row(df, F.coalesce(mask, F.lit(False)), order, index)

@@ -111,7 +111,8 @@ def bm25_index(df: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
 
 
 def _occurrences(items: str, term: str) -> Column:
-    return F.size(F.filter(items, lambda x: x == F.lit(term)))
+    """Without a lambda, which would leave generated code."""
+    return F.size(items) - F.size(F.array_remove(items, F.lit(term)))
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -123,25 +124,30 @@ def _part(tf: Column, length: Column, average: Column) -> Column:
 
 
 def _top(scored: DataFrame, doc: str, k: int) -> DataFrame:
-    return scored.filter(F.col("score") > 0).orderBy(F.desc("score"), F.asc(doc)).limit(k)
+    # positive scores sort first, so the test may follow the limit; ahead of it, it would be pushed down
+    # into the scan and repeat the whole score there
+    return scored.orderBy(F.desc("score"), F.asc(doc)).limit(k).filter(F.col("score") > 0)
 
 
 def bm25_rank(df: DataFrame, doc: str, text: str, query: str, k: int = 15, weight: Column | None = None) -> DataFrame:
     """Top ``k`` documents for one query straight from the texts: two scans and no shuffle of the corpus.
 
     Term counts are taken per row from the token list, the corpus statistics come in as a scalar
-    subquery, and only ``k`` rows per task leave it. ``weight`` is a column of ``df``.
+    subquery, and only ``k`` rows per task leave it. ``weight`` is an expression over ``df``.
     """
     terms = query_terms(query)
     distinct = sorted(set(terms))
-    carried = df.select(doc, (F.lit(1.0) if weight is None else weight).alias("_w"), tokens(text).alias("_t"))
     counts = [_occurrences("_t", term).cast("double").alias(f"_tf{i}") for i, term in enumerate(distinct)]
-    rows = carried.select(doc, "_w", F.size("_t").cast("double").alias("_len"), *counts)
-    stats = rows.agg(F.struct(
+
+    def counted(docs: DataFrame) -> DataFrame:
+        carried = docs.select(doc, (F.lit(1.0) if weight is None else weight).alias("_w"), tokens(text).alias("_t"))
+        return carried.select(doc, "_w", F.size("_t").cast("double").alias("_len"), *counts)
+
+    stats = counted(df).agg(F.struct(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg("_len").alias("avg"),
         *[F.count_if(F.col(f"_tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(distinct))],
     ).alias("s")).scalar()
-    scored = rows.withColumn("_s", stats)
+    scored = counted(df).withColumn("_s", stats)
     parts = [
         F.lit(float(terms.count(t))) * _idf(F.col("_s.n"), F.col(f"_s.df{i}"))
         * _part(F.col(f"_tf{i}"), F.col("_len"), F.col("_s.avg"))

@@ -46,34 +46,34 @@ def running_count(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     )
 
 
-def kth_row(df: DataFrame, order: str, k: Column, slices: int = 1024) -> DataFrame:
-    """The k-th row (1-based) by a unique numeric or date ``order`` column.
+def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int = 256, levels: int = 2) -> DataFrame:
+    """The row at ``index`` (0-based, wrapping around) among the rows that pass ``mask``.
 
-    Equal-depth borders from ``percentile_approx`` cut the rows into slices; one count per slice tells
-    which slice holds row k, and only that slice is ranked. Borders may be inexact, the result is not.
-    ``k`` may use ``_total``, the number of rows.
+    ``order`` is a unique numeric or date column. Each level cuts the rows into slices of about equal
+    depth by ``percentile_approx`` over the order column alone, counts the matches per slice, and goes on
+    with the slice that holds the wanted row; its range is a literal filter, so Parquet skips the rest.
+    The driver sees ``slices`` borders and counts. The last sort takes in about ``1 / slices ** levels`` of the
+    rows. Borders may be inexact, the result is not.
     """
     points = [i / slices for i in range(1, slices)]
-    borders = df.agg(F.percentile_approx(order, points, 10 * slices)).scalar()
-    rows = df.withColumn("_borders", borders).withColumn(
-        "_slice", F.size(F.filter("_borders", lambda b: b < F.col(order)))
-    ).drop("_borders")
-    sizes = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    # at most `slices` rows from here on, so one task may order them
-    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(0))
-    wanted = (
-        sizes.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("_total", F.sum("_rows").over(whole))
-        .withColumn("_k", k.cast("long"))
-        .filter((F.col("_k") > F.col("_offset")) & (F.col("_k") <= F.col("_offset") + F.col("_rows")))
-        .select("_slice", (F.col("_k") - F.col("_offset")).alias("_nth"), "_k", "_total")
-    )
-    inner = Window.partitionBy("_slice").orderBy(order)
-    picked = rows.join(F.broadcast(wanted), "_slice")  # exactly one row
-    return (
-        picked.withColumn("_rn", F.row_number().over(inner))
-        .filter(F.col("_rn") == F.col("_nth"))
-        .drop("_slice", "_rn", "_nth")
-        .withColumnsRenamed({"_k": "position", "_total": "n_matches"})
-    )
+    x, within, nth, total = F.col(order), df, None, None
+    for _ in range(levels):
+        borders = sorted(set(within.agg(F.percentile_approx(order, points, 100 * slices)).first()[0] or []))
+        cut = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<bigint>")
+        slot = F.size(F.filter(cut, lambda b: b < x))
+        counts = dict(within.filter(mask).groupBy(slot.alias("slot")).agg(F.count(F.lit(1))).collect())
+        if nth is None:
+            total = sum(counts.values())
+            if not total:
+                return df.limit(0).withColumns({"position": F.lit(0), "n_matches": F.lit(0)})
+            nth = index % total + 1
+        for i in sorted(counts):
+            if nth <= counts[i]:
+                break
+            nth -= counts[i]
+        if i > 0:
+            within = within.filter(x > F.lit(borders[i - 1]))
+        if i < len(borders):
+            within = within.filter(x <= F.lit(borders[i]))
+    hit = within.filter(mask).orderBy(order).limit(nth).orderBy(F.desc(order)).limit(1)
+    return hit.withColumns({"position": F.lit(index % total + 1).cast("bigint"), "n_matches": F.lit(total).cast("bigint")})

@@ -50,10 +50,10 @@ def _markdown_sql() -> str:
     for pattern, to in markup.MARKDOWN_RULES:
         to_sql = to.replace("$2", r"\2").replace("$1", r"\1").replace("\n", _NEWLINE)
         expr = f"regexp_replace({expr}, '{pattern}', '{to_sql}', 'g')"
-    for name, char in markup.ENTITIES:
+    for name, char in markup.HEADING_MARKS + markup.ENTITIES:
         quoted = char.replace("'", "''")
         expr = f"replace({expr}, '{name}', '{quoted}')"
-    return expr
+    return f"trim({expr}, ' ' || chr(10))"
 
 
 @query("html_to_markdown", f"SELECT page_id, {_markdown_sql()} AS md FROM pages")
