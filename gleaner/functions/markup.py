@@ -55,7 +55,7 @@ MARKDOWN_RULES = [
     (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
     (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
     (r"(?i)<br\s*/?>", "  \n"),
-    (r"(?i)\s*<li(?:\s[^>]*)?>\s*", "\n* "),
+    (r"(?i) *<li(?:\s[^>]*)?>\s*", "\n* "),
     (r"<[^#>][^>]*>", ""),
     (r"\n[ \t]+", "\n"),
     (r"\n{3,}", "\n\n"),

@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OTHER = "(Other)"
 
 
+def _with_other(counts: DataFrame, n: int | None, cutoff: int | None, base: Column | int | None) -> DataFrame:
+    """Top of a (value, N) table and one ``(Other)`` row. Both read one exchange of the counts.
+
+    A null value is no value: its N may carry the number of rows, which ``base`` then asks for.
+    """
+    kept = counts.filter(F.col("value").isNotNull())
+    totals = counts.agg(F.struct(
+        F.sum(F.when(F.col("value").isNotNull(), F.col("N"))).alias("all"),
+        F.max(F.when(F.col("value").isNull(), F.col("N"))).alias("rows"),
+    ).alias("_totals")).scalar()
+    if n is not None:
+        # a null test ahead of the limit would sink below the aggregate and make its exchange a second one
+        top = counts.orderBy(F.col("value").isNull(), F.desc("N"), F.asc("value")).limit(n)
+        top = top.filter(F.col("value").isNotNull())
+        # n rows, already in one task
+        whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("N"), F.asc("value"))
+        numbered = top.withColumn("_rn", F.row_number().over(whole)).withColumn("_t", totals).withColumn(
+            "_rest", F.col("_t.all") - F.sum("N").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        )
+        row = F.struct(F.col("value"), F.col("N"))
+        other = F.struct(F.lit(OTHER).alias("value"), F.col("_rest").alias("N"))
+        pair = F.when((F.col("_rn") == 1) & (F.col("_rest") > 0), F.array(row, other)).otherwise(F.array(row))
+        listed = numbered.select(F.inline(pair))
+    elif cutoff is not None:
+        low = kept.filter(F.col("N") < cutoff).agg(F.sum("N").alias("N")).filter(F.col("N") > 0)
+        listed = kept.filter(F.col("N") >= cutoff).unionByName(low.select(F.lit(OTHER).alias("value"), "N"))
+    else:
+        listed = kept
+    if base is None:
+        base = totals["all"]
+    elif isinstance(base, str):
+        base = totals[base]
+    elif isinstance(base, int):
+        base = F.lit(base)
+    return listed.withColumn("percent", F.round(F.lit(100.0) * F.col("N") / base, 1))
+
+
 def value_counts(
     df: DataFrame, column: str, n: int | None = 10, cutoff: int | None = None, vmax: Column | int | None = None
 ) -> DataFrame:
@@ -17,31 +54,20 @@ def value_counts(
     often. ``percent`` is of ``vmax``, by default of all counted values. Nulls are not counted. Equal
     counts are ordered by value.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(
-        F.count(F.lit(1)).alias("N")
-    )
-    if n is not None:
-        top = counts.orderBy(F.desc("N"), F.asc("value")).limit(n)
-    elif cutoff is not None:
-        top = counts.filter(F.col("N") >= cutoff)
-    else:
-        top = counts
-    # both branches read one exchange of the counts
-    totals = counts.agg(F.sum("N").alias("_all"))
-    rest = totals.select(
-        F.lit(OTHER).alias("value"),
-        (F.col("_all") - F.coalesce(top.agg(F.sum("N").alias("_top")).scalar(), F.lit(0))).alias("N"),
-    ).filter(F.col("N") > 0)
-    base = totals.scalar() if vmax is None else (F.lit(vmax) if isinstance(vmax, int) else vmax)
-    return top.select("value", "N").unionByName(rest).withColumn(
-        "percent", F.round(F.lit(100.0) * F.col("N") / base, 1)
-    )
+    counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(column).alias("N"))
+    return _with_other(counts, n, cutoff, vmax)
 
 
 def exploded_counts(df: DataFrame, column: str, n: int | None = 10, cutoff: int | None = None) -> DataFrame:
-    """``value_counts`` over the elements of a list column; percent is of the rows, so it may pass 100."""
-    rows = df.agg(F.count(F.lit(1)).alias("_rows")).scalar()
-    return value_counts(df.select(F.explode(column).alias(column)), column, n, cutoff, rows)
+    """``value_counts`` over the elements of a list column; percent is of the rows, so it may pass 100.
+
+    Every row also gives one null element, so the same pass counts the rows.
+    """
+    items = F.filter(F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)), lambda x: x.isNotNull())
+    marked = F.concat(F.array(F.lit(None).cast(df.schema[column].dataType.elementType)), items)
+    elements = df.select(F.explode(marked).alias("value")).select(F.col("value").cast("string"))
+    counts = elements.groupBy("value").agg(F.count(F.lit(1)).alias("N"))
+    return _with_other(counts, n, cutoff, "rows")
 
 
 def share_true(df: DataFrame, mask: Column, with_false: bool = False) -> DataFrame:

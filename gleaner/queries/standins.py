@@ -16,15 +16,19 @@ def with_cte(sql: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + sql
 
 
-def order_brands(t: Tables) -> DataFrame:
-    """(id, brands): the distinct part brands of each order, sorted.
+def order_brands(t: Tables, orders: DataFrame | None = None) -> DataFrame:
+    """(id, brands): the distinct part brands of each order, sorted; of ``orders`` (id) only, if given.
 
-    Catalyst picks the join by the size of ``part``; a hot part key is split by the adaptive skew join,
-    and the brand sets are folded before they shuffle.
+    Catalyst picks the join by the size of ``part``; a hot part key is split by the adaptive skew join.
+    Pairs are made distinct first, in hash aggregates: a hot order leaves each map task as at most one
+    row per brand.
     """
     items = t.lineitem.select("l_orderkey", "l_partkey")
+    if orders is not None:
+        items = items.join(orders, F.col("l_orderkey") == F.col("id"), "left_semi")
     joined = items.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return joined.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set("p_brand")).alias("brands"))
+    pairs = joined.select(F.col("l_orderkey").alias("id"), "p_brand").distinct()
+    return pairs.groupBy("id").agg(F.array_sort(F.collect_list("p_brand")).alias("brands"))
 
 
 ORDER_BRANDS = """order_brands AS (
