@@ -94,9 +94,14 @@ def to_utc(c: Column | str) -> Column:
     return F.to_timestamp(F.concat(F.date_format(_col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z")), "yyyy-MM-dd HH:mm:ss.SSSSSSX")
 
 
+def whole_days(start: Column, end: Column) -> Column:
+    """Whole 24-hour days between two times of one type. No zone enters, so no clock change does."""
+    return F.extract(F.lit("DAY"), end - start).cast("bigint")
+
+
 def recency_weight(published: Column | str, newest: Column, per_day: float = 0.01) -> Column:
     """1 for the newest posting, less per whole day of age, never below 0."""
-    days = F.timestamp_diff("DAY", _col(published), newest)
+    days = whole_days(_col(published), newest)
     return F.greatest(F.lit(0.0), F.lit(1.0) - F.lit(per_day) * days)
 
 

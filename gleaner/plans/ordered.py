@@ -1,37 +1,72 @@
 """Row order over distributed data without sorting a whole key, or the whole table, in one task.
 
-The rows of one key are cut into buckets that follow the order (a day, an hour, an equal-depth slice).
-Work happens inside (key, bucket); what must cross a bucket border travels through a table with one row
-per (key, bucket). The join back uses the same keys, so it needs no further shuffle of the rows.
+The rows are cut into slices of about equal depth along the order column, whatever the key: no slice of
+any key holds much more than ``1 / slices`` of all rows, even where one key, or one day, holds a third of
+them. Work happens inside (key, slice); what must cross a border travels through a table with one row per
+(key, slice). The join back uses the same keys, so it needs no further shuffle of the rows. Only many
+rows with the same value of the order column stay together.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SLICES = 256
+_INF = float("inf")
 
-def lead_value(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, out: str) -> DataFrame:
+
+def order_number(df: DataFrame, column: str) -> Column:
+    """An order column as a double that never reverses the order."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.date_diff(c, F.lit("1970-01-01").cast("date")).cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        span = c - F.lit("1970-01-01 00:00:00").cast(kind)
+        parts = {"DAY": 86400, "HOUR": 3600, "MINUTE": 60, "SECOND": 1}
+        return sum((F.extract(F.lit(p), span).cast("double") * n for p, n in parts.items()), F.lit(0.0))
+    return c.cast("double")
+
+
+def borders_of(df: DataFrame, column: str, slices: int = SLICES) -> list[float]:
+    """Values that cut the rows into slices of about equal depth: one pass over one column, at most
+    ``slices - 1`` numbers come back."""
+    points = [i / slices for i in range(1, slices)]
+    found = df.agg(F.percentile_approx(order_number(df, column), points, 20 * slices)).first()[0]
+    return sorted(set(found or []))
+
+
+def with_slice(df: DataFrame, column: str, borders: list[float], out: str = "_slice") -> DataFrame:
+    """Slice number of each row by binary search; a row without a value goes to the last slice."""
+    number = f"{out}_number"
+    splits = [-_INF, *borders, _INF] if borders else [-_INF, 0.0, _INF]
+    cut = Bucketizer(splits=splits, inputCol=number, outputCol=out, handleInvalid="keep")
+    return cut.transform(df.withColumn(number, order_number(df, column))).withColumn(out, F.col(out).cast("int")).drop(number)
+
+
+def lead_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, slices: int = SLICES) -> DataFrame:
     """``lead(value)`` over ``order`` within ``keys``; null on the last row of a key."""
-    rows = df.withColumn("_bucket", bucket)
-    cell = [*keys, "_bucket"]
-    inner = Window.partitionBy(*cell).orderBy(*order)
-    rows = rows.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(inner))
+    rows = with_slice(df, order[0], borders_of(df, order[0], slices))
+    cell = [*keys, "_slice"]
+    boxed = F.struct(F.col(value).alias("v"))
     firsts = (
-        df.withColumn("_bucket", bucket).groupBy(*cell)
-        .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
-        .withColumn("_carry", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_bucket")))
+        rows.groupBy(*cell).agg(F.min_by(boxed, F.struct(*order)).alias("_first"))
+        .withColumn("_carry", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_slice")))
         .select(*cell, "_carry")
     )
-    joined = rows.join(firsts, cell, "left")
-    return joined.withColumn(out, F.coalesce("_next", "_carry")["v"]).drop("_bucket", "_next", "_carry")
+    led = rows.withColumn("_next", F.lead(boxed).over(Window.partitionBy(*cell).orderBy(*order)))
+    joined = led.join(firsts, cell, "left")
+    return joined.withColumn(out, F.coalesce("_next", "_carry")["v"]).drop("_slice", "_next", "_carry")
 
 
-def running_count(df: DataFrame, keys: list[str], bucket: Column, order: list[str], test: Column, out: str) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: list[str], test: Column, out: str, slices: int = SLICES) -> DataFrame:
     """How many rows up to and including this one pass ``test``, by ``order`` within ``keys``."""
-    rows = df.withColumn("_bucket", bucket).withColumn("_hit", F.coalesce(test, F.lit(False)).cast("long"))
-    cell = [*keys, "_bucket"]
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = with_slice(df, order[0], borders_of(df, order[0], slices))
+    rows = rows.withColumn("_hit", F.coalesce(test, F.lit(False)).cast("long"))
+    cell = [*keys, "_slice"]
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*cell).agg(F.sum("_hit").alias("_hits"))
         .withColumn("_offset", F.coalesce(F.sum("_hits").over(before), F.lit(0)))
@@ -42,38 +77,32 @@ def running_count(df: DataFrame, keys: list[str], bucket: Column, order: list[st
     return (
         counted.join(offsets, cell, "left")
         .withColumn(out, F.col("_run") + F.col("_offset"))
-        .drop("_bucket", "_hit", "_run", "_offset")
+        .drop("_slice", "_hit", "_run", "_offset")
     )
 
 
-def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int = 256, levels: int = 2) -> DataFrame:
+def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int = SLICES, levels: int = 2) -> DataFrame:
     """The row at ``index`` (0-based, wrapping around) among the rows that pass ``mask``.
 
-    ``order`` is a unique numeric or date column. Each level cuts the rows into slices of about equal
-    depth by ``percentile_approx`` over the order column alone, counts the matches per slice, and goes on
-    with the slice that holds the wanted row; its range is a literal filter, so Parquet skips the rest.
-    The driver sees ``slices`` borders and counts. The last sort takes in about ``1 / slices ** levels`` of the
-    rows. Borders may be inexact, the result is not.
+    ``order`` is a unique numeric or date column. Each level cuts the rows into slices, counts the matches
+    per slice, and goes on with the slice that holds the wanted row; the driver sees the borders and the
+    counts. The last sort takes in about ``1 / slices ** levels`` of the rows. Borders may be inexact, the
+    result is not.
     """
-    points = [i / slices for i in range(1, slices)]
-    x, within, nth, total = F.col(order), df, None, None
+    within, nth, total = df, None, None
     for _ in range(levels):
-        borders = sorted(set(within.agg(F.percentile_approx(order, points, 100 * slices)).first()[0] or []))
-        cut = F.array(*[F.lit(b) for b in borders]) if borders else F.array().cast("array<bigint>")
-        slot = F.size(F.filter(cut, lambda b: b < x))
-        counts = dict(within.filter(mask).groupBy(slot.alias("slot")).agg(F.count(F.lit(1))).collect())
+        borders = borders_of(within, order, slices)
+        cut = with_slice(within.filter(mask), order, borders)
+        counts = dict(cut.groupBy("_slice").agg(F.count(F.lit(1))).collect())
         if nth is None:
             total = sum(counts.values())
             if not total:
-                return df.limit(0).withColumns({"position": F.lit(0), "n_matches": F.lit(0)})
+                return df.limit(0).withColumns({"position": F.lit(0).cast("bigint"), "n_matches": F.lit(0).cast("bigint")})
             nth = index % total + 1
-        for i in sorted(counts):
-            if nth <= counts[i]:
+        for wanted in sorted(counts):
+            if nth <= counts[wanted]:
                 break
-            nth -= counts[i]
-        if i > 0:
-            within = within.filter(x > F.lit(borders[i - 1]))
-        if i < len(borders):
-            within = within.filter(x <= F.lit(borders[i]))
+            nth -= counts[wanted]
+        within = with_slice(within, order, borders).filter(F.col("_slice") == wanted).drop("_slice")
     hit = within.filter(mask).orderBy(order).limit(nth).orderBy(F.desc(order)).limit(1)
     return hit.withColumns({"position": F.lit(index % total + 1).cast("bigint"), "n_matches": F.lit(total).cast("bigint")})

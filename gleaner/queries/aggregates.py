@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import all_matches, share_text
-from gleaner.functions.values import midpoint, salary_bounds, age_to_hours
+from gleaner.functions.values import age_to_hours, midpoint, salary_bounds, whole_days
 from gleaner.operators import aggregates as ops
 from gleaner.operators.markdown import block_agg
 from gleaner.operators.filters import since
@@ -161,7 +161,7 @@ def _(t: Tables) -> DataFrame:
     "SELECT o_orderkey, date_sub('day', o_orderdate, (SELECT max(o_orderdate) FROM orders)) AS days_old FROM orders",
 )
 def _(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.timestamp_diff("DAY", "o_orderdate", ops.newest(t.orders, "o_orderdate")).alias("days_old"))
+    return t.orders.select("o_orderkey", whole_days(F.col("o_orderdate"), ops.newest(t.orders, "o_orderdate")).alias("days_old"))
 
 
 @query("payload_sizes", "SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS dsize FROM pages")

@@ -101,7 +101,7 @@ def _(t: Tables) -> DataFrame:
     """SELECT event_id, coalesce(lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IN ('view', 'click'), FALSE) AS next_hit FROM events""",
 )
 def _(t: Tables) -> DataFrame:
-    ahead = ordered.lead_value(t.events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], "event_type", "next_type")
+    ahead = ordered.lead_value(t.events, ["user_id"], ["ts", "event_id"], "event_type", "next_type")
     return ahead.select("event_id", F.coalesce(F.col("next_type").isin("view", "click"), F.lit(False)).alias("next_hit"))
 
 
@@ -117,7 +117,7 @@ WHERE event_type = 'purchase' AND k = 3""",
 )
 def _(t: Tables) -> DataFrame:
     test = F.col("event_type") == "purchase"
-    counted = ordered.running_count(t.events, ["user_id"], F.to_date("ts"), ["ts", "event_id"], test, "k")
+    counted = ordered.running_count(t.events, ["user_id"], ["ts", "event_id"], test, "k")
     return counted.filter(test & (F.col("k") == 3)).select("user_id", "event_id")
 
 

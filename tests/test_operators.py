@@ -79,13 +79,23 @@ def test_lead_and_running_count_across_buckets(spark):
             hits += kind == "b"
             want_lead[t] = mine[at + 1][2] if at + 1 < len(mine) else None
             want_run[t] = hits
-    bucket = F.floor(F.col("t") / 17)
-    led = ordered.lead_value(df, ["u"], bucket, ["t"], "kind", "nxt")
+    led = ordered.lead_value(df, ["u"], ["t"], "kind", "nxt", slices=23)
     assert {r.t: r.nxt for r in led.collect()} == want_lead
-    run = ordered.running_count(df, ["u"], bucket, ["t"], F.col("kind") == "b", "k")
+    run = ordered.running_count(df, ["u"], ["t"], F.col("kind") == "b", "k", slices=23)
     assert {r.t: r.k for r in run.collect()} == want_run
 
 
+def test_slices_are_even_under_a_hot_day(spark):
+    ts = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        F.when(F.col("id") % 3 == 0, 0).otherwise((F.col("id") % 30).cast("int")), F.lit(0), F.lit(0), F.col("id") / 100)
+    df = spark.range(6000).withColumn("ts", ts)
+    cut = ordered.with_slice(df, "ts", ordered.borders_of(df, "ts", 20))
+    sizes = [r["count"] for r in cut.groupBy("_slice").count().collect()]
+    assert len(sizes) == 20 and max(sizes) < 450
+    spans = cut.groupBy("_slice").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("_slice").collect()
+    assert all(x.b < y.a for x, y in zip(spans, spans[1:]))
+
+
 @pytest.mark.parametrize("index", [0, 1, 250, 332, 333, 1000])
 def test_nth_match_wraps(spark, index):
     df = spark.range(1000).withColumn("id", F.col("id") * 3 - 500)
