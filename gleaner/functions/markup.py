@@ -49,16 +49,16 @@ def company_key(href: Column | str) -> Column:
 MARKDOWN_RULES = [
     (r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>", ""),
     (r"\s+", " "),
-    (r"(?i)\s*<h([1-6])(?:\s[^>]*)?>\s*", "\n\n<#$1>"),
-    (r"(?i)\s*</?(?:p|ul|ol|div|article|section|nav|footer|header|table|tr|body|h[1-6])(?:\s[^>]*)?>\s*", "\n\n"),
+    (r"(?i)<h([1-6])(?:\s[^>]*)?> *", "\n\n<#$1>"),
+    (r"(?i)</?(?:p|ul|ol|div|article|section|nav|footer|header|table|tr|body|h[1-6])(?:\s[^>]*)?>", "\n\n"),
+    (r"(?i)<li(?:\s[^>]*)?>\s*", "\n* "),
     (r"(?i)</?(?:b|strong)(?:\s[^>]*)?>", "**"),
     (r"(?i)</?(?:i|em)(?:\s[^>]*)?>", "*"),
     (r'(?i)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-    (r"(?i)<br\s*/?>", "  \n"),
-    (r"(?i) *<li(?:\s[^>]*)?>\s*", "\n* "),
-    (r"<[^#>][^>]*>", ""),
-    (r"\n[ \t]+", "\n"),
+    (r" *\n *", "\n"),
     (r"\n{3,}", "\n\n"),
+    (r"(?i) *<br\s*/?> *", "  \n"),
+    (r"<[^#>][^>]*>", ""),
 ]
 HEADING_MARKS = [(f"<#{n}>", "#" * n + " ") for n in range(1, 7)]
 # Named characters, the ampersand last.

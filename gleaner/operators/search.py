@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import masks
@@ -110,6 +110,25 @@ def bm25_index(df: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
     return {"postings": postings, "terms": terms, "stats": stats}
 
 
+def write_index(df: DataFrame, doc: str, text: str, folder: str) -> dict[str, DataFrame]:
+    """Store the index tables below ``folder`` and read them back.
+
+    Postings are range-partitioned by (term, document), so that a frequent term spreads over several
+    files, and sorted, so that a query's terms meet few row groups.
+    """
+    index = bm25_index(df, doc, text)
+    ranged = index["postings"].repartitionByRange("term", doc).sortWithinPartitions("term", doc)
+    ranged.write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = df.sparkSession.read.parquet(f"{folder}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    index["stats"].write.mode("overwrite").parquet(f"{folder}/stats")
+    return read_index(df.sparkSession, folder)
+
+
+def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")}
+
+
 def _occurrences(items: str, term: str) -> Column:
     """Without a lambda, which would leave generated code."""
     return F.size(items) - F.size(F.array_remove(items, F.lit(term)))

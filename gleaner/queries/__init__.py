@@ -48,6 +48,6 @@ def load_all() -> dict[str, Query]:
     from importlib import import_module
 
     for part in ("sources", "extract", "filters", "joins", "aggregates", "ordering", "scalars", "search",
-                 "markdown", "incremental", "forms"):
+                 "markdown", "incremental", "forms", "standing"):
         import_module(f"{__name__}.{part}")
     return REGISTRY

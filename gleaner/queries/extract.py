@@ -189,7 +189,7 @@ def _(t: Tables) -> DataFrame:
     spans = F.concat(*[x for c in texts for x in (F.lit("<span>"), c, F.lit("</span>"))])
     page = F.concat(
         F.lit('<html><head><title>All (N=1)</title></head><body><div class="card"><div>'), spans,
-        F.lit('</div><div><div><a href="/viewjob/'), F.col("p_partkey"), F.lit('">x</a><a href="/?company=c'), F.col("p_brand"),
+        F.lit('</div><div><div><a href="/view/'), F.col("p_partkey"), F.lit('">x</a><a href="/?company=c'), F.col("p_brand"),
         F.lit('&s=1">y</a></div></div></div></body></html>'),
     )
     made = card_ops.postings_from_pages(t.part.select(page.alias("html")), ["Oakland", "Palo Alto"])

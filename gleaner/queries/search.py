@@ -12,6 +12,7 @@ from gleaner.queries import Tables, query
 from gleaner.queries.ordering import TOKENS, dated_documents, rank_sql
 from gleaner.queries.standins import JOBS, ORDER_BRANDS, jobs, order_brands, with_cte
 from gleaner.schemas import SEARCH_COLUMNS
+from gleaner.session import scratch_path
 
 _EDGE = r"(^|[^\pL\pN_])"
 
@@ -165,7 +166,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     docs = dated_documents(t)
     weight = values.recency_weight("published", newest(docs, "published"))
-    index = search.bm25_index(docs, "doc_id", "text")
+    index = search.write_index(docs, "doc_id", "text", scratch_path(t.spark, "index"))
     weights = docs.select("doc_id", weight.alias("weight"))
     found = search.bm25_retrieve(index, "doc_id", "die onthe und the thwhou", 15, weights)
     return found.select("doc_id", F.round("score", 6).alias("score"))

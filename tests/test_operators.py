@@ -291,3 +291,22 @@ def test_reference_list_and_cache(spark, tmp_path):
     assert tables.cached_parquet(spark, path, build).count() == 1
     assert tables.cached_parquet(spark, path, build).count() == 1
     assert tables.cached_parquet(spark, path, build, overwrite=True).count() == 2
+
+
+def test_listings_keep_the_last_snapshot(spark, tmp_path):
+    from gleaner.plans.postings import listing_snapshots
+
+    def page(pay, key="k1"):
+        texts = ["2d", "Data Lead", "Oakland, California, United States", pay, "Onsite", "Full", "Co:", ": sums", "job", "SQL", "Job Posting", "9"]
+        spans = "".join(f"<span>{x}</span>" for x in texts)
+        return (f'<title>All (N=1)</title><div class="card"><div>{spans}</div><div><div><a href="/view/{key}">a</a>'
+                '<a href="/?company=co&x=1">b</a></div></div><button>1</button><button>2</button></div>')
+
+    for day, body in [("2026-01-02", page("$9k/yr") + page("$7k/yr", "k2")), ("2026-01-10", page("$8k/yr"))]:
+        folder = tmp_path / day / "ALL"
+        folder.mkdir(parents=True)
+        (folder / "ALL.html").write_text(body)
+    got = listing_snapshots(spark, str(tmp_path), ["Oakland"]).collect()
+    assert sorted((r.hash, r.chash, r.company, r.lower, r.hours, r.bay, r._len, str(r.snapshot_date)) for r in got) == [
+        ("k1", "co", "Co", 8.0, 48, ["Oakland"], 2, "2026-01-10"), ("k2", "co", "Co", 7.0, 48, ["Oakland"], 2, "2026-01-02")]
+    assert listing_snapshots(spark, str(tmp_path), ["Oakland"], keep=None).count() == 3
