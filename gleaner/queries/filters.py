@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import masks
 from gleaner.operators import filters as ops
-from gleaner.operators.joins import keep_known, left_enrich
+from gleaner.operators.joins import keep_known
 from gleaner.queries import Tables, query
 from gleaner.queries.standins import JOBS, LABELLED, ORDER_BRANDS, POSTINGS, jobs, labelled, order_brands, postings, with_cte
 from gleaner.sources.searches import matching_searches
@@ -94,36 +94,36 @@ def _(t: Tables) -> DataFrame:
     return t.lineitem.filter(mask & (F.col("l_discount") <= 0.05)).select("l_orderkey", "l_linenumber", "l_extendedprice")
 
 
-def _order_arrays(t: Tables) -> DataFrame:
-    """Parallel lists per order, bounded by the lines of one order that are distinct."""
-    pair = F.struct(F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"))
-    packed = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(pair)).alias("p"))
-    return packed.select("id", F.col("p.a").alias("lat"), F.col("p.b").alias("lon"))
+def line_arrays(t: Tables) -> DataFrame:
+    """Two parallel lists per line, made within the row."""
+    quantity, price = F.col("l_quantity"), F.col("l_extendedprice")
+    return t.lineitem.select(
+        F.col("l_orderkey").alias("id"), "l_partkey", F.array(quantity, quantity + 5).alias("lat"), F.array(price, price / 2).alias("lon")
+    )
 
 
 @query(
     "geo_box_any",
-    """SELECT l_orderkey AS id, bool_or(l_quantity BETWEEN 10 AND 12 AND l_extendedprice BETWEEN 20000 AND 30000) AS inside
-FROM lineitem GROUP BY 1""",
+    """SELECT l_orderkey AS id, l_partkey, (l_quantity BETWEEN 10 AND 12 AND l_extendedprice BETWEEN 20000 AND 30000)
+  OR (l_quantity + 5 BETWEEN 10 AND 12 AND l_extendedprice / 2 BETWEEN 20000 AND 30000) AS inside FROM lineitem""",
 )
 def _(t: Tables) -> DataFrame:
-    return _order_arrays(t).select("id", masks.in_box("lat", "lon", (10, 12, 20000, 30000)).alias("inside"))
+    return line_arrays(t).select("id", "l_partkey", masks.in_box("lat", "lon", (10, 12, 20000, 30000)).alias("inside"))
 
 
 @query(
     "location_text_or_box",
-    """SELECT o_orderkey, regexp_matches(n_name, 'nation_1$|NATION_7', 'i')
-  OR coalesce(inside, FALSE) AS norcal
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-LEFT JOIN (SELECT l_orderkey, bool_or(l_quantity BETWEEN 10 AND 12 AND l_extendedprice BETWEEN 20000 AND 30000) AS inside
-  FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+    """SELECT c_custkey, regexp_matches(n_name, 'nation_1$|NATION_7', 'i') OR (c_nationkey BETWEEN 10 AND 12 AND c_acctbal BETWEEN 1000 AND 3000)
+  OR (c_nationkey + 3 BETWEEN 10 AND 12 AND c_acctbal * 2 BETWEEN 1000 AND 3000) AS norcal
+FROM customer JOIN nation ON c_nationkey = n_nationkey""",
 )
 def _(t: Tables) -> DataFrame:
-    named = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("o_custkey"), "n_name")
-    orders = t.orders.select("o_orderkey", "o_custkey").join(named, "o_custkey")
-    placed = left_enrich(orders, _order_arrays(t).withColumnRenamed("id", "o_orderkey"), "o_orderkey")
-    flag = masks.home_region("lat", "lon", "n_name", (10, 12, 20000, 30000), "nation_1$|NATION_7")
-    return placed.select("o_orderkey", flag.alias("norcal"))
+    nation, balance = F.col("c_nationkey").cast("double"), F.col("c_acctbal")
+    placed = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "c_custkey", "n_name", F.array(nation, nation + 3).alias("lat"), F.array(balance, balance * 2).alias("lon")
+    )
+    flag = masks.home_region("lat", "lon", "n_name", (10, 12, 1000, 3000), "nation_1$|NATION_7")
+    return placed.select("c_custkey", flag.alias("norcal"))
 
 
 @query(

@@ -157,12 +157,16 @@ def _(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", F.round(weight, 6).alias("weight"))
 
 
-@query("lat_lon_pairs", "SELECT DISTINCT l_orderkey AS id, l_quantity AS lat, l_extendedprice AS lon FROM lineitem")
+@query(
+    "lat_lon_pairs",
+    """SELECT l_orderkey AS id, l_partkey, l_quantity AS lat, l_extendedprice AS lon FROM lineitem
+UNION ALL SELECT l_orderkey, l_partkey, l_quantity + 5, l_extendedprice / 2 FROM lineitem""",
+)
 def _(t: Tables) -> DataFrame:
-    from gleaner.queries.filters import _order_arrays
+    from gleaner.queries.filters import line_arrays
 
-    pairs = _order_arrays(t).select("id", F.inline(values.zip_pairs("lat", "lon")))
-    return pairs.select("id", F.col("a").alias("lat"), F.col("b").alias("lon"))
+    pairs = line_arrays(t).select("id", "l_partkey", F.inline(values.zip_pairs("lat", "lon")))
+    return pairs.select("id", "l_partkey", F.col("a").alias("lat"), F.col("b").alias("lon"))
 
 
 @query("plus_to_space", "SELECT doc_id, replace(replace(text, ' ', '+'), '+', ' ') AS text FROM documents")
