@@ -206,7 +206,7 @@ def test_candidates(spark):
     assert len(long.select(search.keyword_candidates("t")).first()[0][0]) == 5 * 50_000 - 1
 
 
-def test_ranking_agrees_with_the_index(spark):
+def test_ranking_agrees_with_the_index(spark, tmp_path):
     docs = spark.createDataFrame(
         [(i, " ".join(["health"] * (i % 4) + ["data"] * (i % 3) + ["pad"] * (i % 7))) for i in range(60)], "id int, t string"
     )
@@ -215,6 +215,8 @@ def test_ranking_agrees_with_the_index(spark):
     stored = search.bm25_retrieve(index, "id", "the health data", 10)
     a, b = rows(direct), rows(stored)
     assert [x[0] for x in a] == [x[0] for x in b] and all(abs(x[1] - y[1]) < 1e-9 for x, y in zip(a, b))
+    kept = search.write_index(docs, "id", "t", str(tmp_path / "index"))
+    assert [x[0] for x in rows(search.bm25_retrieve(kept, "id", "the health data", 10))] == [x[0] for x in a]
     assert search.bm25_rank(docs, "id", "t", "nothing", 10).count() == 0
     assert search.bm25_retrieve(index, "id", "the", 10).count() == 0
 
