@@ -24,12 +24,13 @@ def _with_other(counts: DataFrame, n: int | None, cutoff: int | None, base: Colu
         top = top.filter(F.col("value").isNotNull())
         # n rows, already in one task
         whole = Window.partitionBy(F.lit(0)).orderBy(F.desc("N"), F.asc("value"))
-        numbered = top.withColumn("_rn", F.row_number().over(whole)).withColumn("_t", totals).withColumn(
-            "_rest", F.col("_t.all") - F.sum("N").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        )
+        frame = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        numbered = top.withColumns({
+            "_is_last": F.row_number().over(whole) == F.count(F.lit(1)).over(frame), "_t": totals, "_sum": F.sum("N").over(frame),
+        }).withColumn("_rest", F.col("_t.all") - F.col("_sum"))
         row = F.struct(F.col("value"), F.col("N"))
         other = F.struct(F.lit(OTHER).alias("value"), F.col("_rest").alias("N"))
-        pair = F.when((F.col("_rn") == 1) & (F.col("_rest") > 0), F.array(row, other)).otherwise(F.array(row))
+        pair = F.when(F.col("_is_last") & (F.col("_rest") > 0), F.array(row, other)).otherwise(F.array(row))
         listed = numbered.select(F.inline(pair))
     elif cutoff is not None:
         low = kept.filter(F.col("N") < cutoff).agg(F.sum("N").alias("N")).filter(F.col("N") > 0)
