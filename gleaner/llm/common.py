@@ -122,13 +122,30 @@ def word_hashes(text: bytes, table: np.ndarray) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``k`` words; a shorter text is one run, an empty one none."""
-    if not len(words):
-        return words
-    k = min(k, len(words))
+def run_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """One hash per run of ``k`` words, in order; none for a text with fewer words."""
     n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(k))
     for j in range(k):
         out = mixed(out * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n])
-    return np.unique(out)
+    return out
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``k`` words; a shorter text is one run, an empty one none."""
+    return np.unique(run_hashes(words, min(k, len(words)))) if len(words) else words
+
+
+def repeated_words(words: np.ndarray, k: int) -> int:
+    """Words that lie in a run of ``k`` words found twice or more in the text, its first place included."""
+    runs = run_hashes(words, k)
+    if not len(runs):
+        return 0
+    _, place, count = np.unique(runs, return_inverse=True, return_counts=True)
+    step = np.zeros(len(words) + 1, np.int64)
+    starts = np.flatnonzero(count[place] > 1)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + k, -1)
+    return int((np.cumsum(step) > 0).sum())

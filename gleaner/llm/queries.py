@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 Runner = Callable[[SparkSession, str], DataFrame]
 
 
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/documents.parquet")
+    return _table(spark, folder, "documents")
 
 
 def tokenizer_path() -> str:
@@ -25,20 +29,43 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(_documents(spark, folder))
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.minhash import near_duplicates
+
+    return near_duplicates(_documents(spark, folder), k=2)
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     from gleaner.llm.secrets import secret_digests
 
     return secret_digests(_documents(spark, folder))
 
 
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.quality_rules import quality_rules
+
+    return quality_rules(_documents(spark, folder), _table(spark, folder, "labels"))
+
+
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.quality_kernel import classify
+
+    return classify(_documents(spark, folder), _table(spark, folder, "labels"))
+
+
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from gleaner.llm.bpe import token_digests
 
     return token_digests(_documents(spark, folder), tokenizer_path())
 
 
+QUERIES: tuple[Runner, ...] = (
+    op2_license_scan, op3_near_duplicates, op4_secret_scan, op5_quality_rules, op7_quality_classifier, op8_bpe,
+)
+
+
 def queries() -> dict[str, Runner]:
-    return {f.__name__: f for f in (op2_license_scan, op4_secret_scan, op8_bpe)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
