@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -59,8 +60,26 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return token_digests(_documents(spark, folder), tokenizer_path())
 
 
+def op9_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.warc import page_records
+
+    return page_records(_table(spark, folder, "pages"))
+
+
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.chat import chat_digests
+
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit(r"\### Assistant: </turn> ok")
+    more = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text")
+    )
+    return chat_digests(rows.unionByName(more), tokenizer_path())
+
+
 QUERIES: tuple[Runner, ...] = (
     op2_license_scan, op3_near_duplicates, op4_secret_scan, op5_quality_rules, op7_quality_classifier, op8_bpe,
+    op9_warc, op10_chat,
 )
 
 
