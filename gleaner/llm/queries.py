@@ -24,6 +24,12 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.decontaminate import find_items
+
+    return find_items(_documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
 def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     from gleaner.llm.licenses import scan_licenses
 
@@ -48,6 +54,12 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_documents(spark, folder), _table(spark, folder, "labels"))
 
 
+def op6_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.style_tree import page_texts
+
+    return page_texts(_table(spark, folder, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     from gleaner.llm.quality_kernel import classify
 
@@ -78,8 +90,8 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: tuple[Runner, ...] = (
-    op2_license_scan, op3_near_duplicates, op4_secret_scan, op5_quality_rules, op7_quality_classifier, op8_bpe,
-    op9_warc, op10_chat,
+    op1_decontamination, op2_license_scan, op3_near_duplicates, op4_secret_scan, op5_quality_rules, op6_html_text,
+    op7_quality_classifier, op8_bpe, op9_warc, op10_chat,
 )
 
 
