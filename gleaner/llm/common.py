@@ -32,6 +32,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, and marked for broadcast only if it has no more than ``BROADCAST_ROWS`` rows."""
+    table = written(df, label)
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def ascii_lower(col: Column | str) -> Column:
     """A-Z in lower case, every other character as it is; null becomes the empty text."""
     return F.translate(F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")), UPPER, LOWER)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import LETTERS, bounded_batches, mixed, run_hashes, word_hashes
+from gleaner.llm.common import LETTERS, bounded_batches, mixed, run_hashes, small_side, word_hashes
 
 EDIT_SHARE = 0.2
 LEAST_WORDS = 5
@@ -231,5 +231,5 @@ def find_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold an item. Documents without an id stay."""
-    hit = find_items(docs, items).select(F.col("doc_id").alias("_hit")).distinct()
+    hit = small_side(find_items(docs, items).select(F.col("doc_id").alias("_hit")).distinct(), "hits")
     return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

@@ -184,13 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     return Model(model.centre, model.spread, model.weights, steps, levels)
 
 
-def score_quality(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns of ``docs`` with ``score`` of the whole text."""
-    field = T.StructType([T.StructField("score", T.DoubleType())])
+def score_quality(docs: DataFrame, model: Model, keep: list[str], name: str = "score") -> DataFrame:
+    """``keep`` columns of ``docs`` with the score of the whole text as column ``name``."""
+    field = T.StructType([T.StructField(name, T.DoubleType())])
 
     def run(texts: list[bytes]) -> dict[str, pa.Array]:
         values = model.score(np.stack([statistics(t) for t in texts])) if texts else []
-        return {"score": pa.array(values, pa.float64())}
+        return {name: pa.array(values, pa.float64())}
 
     return map_batches(docs, "text", run, field, keep)
 
