@@ -29,12 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, written
+from gleaner.llm.common import BROADCAST_ROWS, bounded_batches, written
 
 LOW = 0.3
 CONTENT = 0.9
 LEAST_PAGES = 5
-BROADCAST_ROWS = 100_000
 
 # fixed values: elements by their part in HTML, and usual names of page furniture
 BLOCK = frozenset(
@@ -204,13 +203,13 @@ def low_branches(pages: DataFrame) -> DataFrame:
     shown = shown.filter(F.col("m") >= LEAST_PAGES)
     # entropy to base m of shares c / m
     presentation = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    blocks = (
-        counted.filter("text").join(shown.select("host", "path", "m"), ["host", "path"])
-        .withColumn("importance", 1 - F.log(F.least("c", "m").cast("double")) / F.log(F.col("m").cast("double")))
-    )
-    content = blocks.groupBy("host", "path").agg(F.avg("importance").alias("content"))
+    importance = 1 - F.log(F.least("c", "m").cast("double")) / F.log(F.col("m").cast("double"))
+    # blocks enter by how many pages show them: a node has few such numbers, however many blocks it has
+    numbers = counted.filter("text").groupBy("host", "path", "c").agg(F.count(F.lit(1)).alias("n")).join(shown.select("host", "path", "m"), ["host", "path"])
+    content = numbers.groupBy("host", "path").agg((F.sum(F.col("n") * importance) / F.sum("n")).alias("content"))
     nodes = shown.join(content, ["host", "path"]).filter((1 - CONTENT) * presentation + CONTENT * F.col("content") < LOW)
-    single = blocks.filter((F.col("importance") < LOW) & (F.col("c") >= LEAST_PAGES)).select("host", "path", "item")
+    repeated = counted.filter(F.col("text") & (F.col("c") >= LEAST_PAGES)).join(shown.select("host", "path", "m"), ["host", "path"])
+    single = repeated.filter(importance < LOW).select("host", "path", "item")
     return nodes.select("host", "path", F.lit(None).cast("long").alias("item")).union(single)
 
 
