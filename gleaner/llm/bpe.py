@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from gleaner.llm.common import bounded_batches, map_batches
 
 SHORT = 160
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 NO_RANK = 1 << 40
 # fixed value: the published split pattern of the vocabulary
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
