@@ -9,11 +9,13 @@
    compared throughout, from its shared depth on. In a denser one each class is compared with the classes
    around it in sorted order (a sliding stretch of ``REGION`` rows), that is, at the greater depth that this
    region's neighbours have in common. Comparison counts agreeing low bytes of the signature.
-4. Pairs that may reach the similarity come out. In a group of many, those are the pairs with the best few partners
-   and a spanning tree; the group itself is kept for step 6, so this is no cap.
+4. Pairs that may reach the similarity come out: all of a small group, of a larger one the tree of greatest agreement that
+   spans it. The larger group itself is kept for step 6, so this is no cap.
 5. Each pair is confirmed on the full sets of the whole texts, in whole numbers:
    ``100 * common >= PERCENT * union``. Confirmed links are joined into components.
-6. In the kept groups every possible pair whose ends are in different components is confirmed too.
+6. Kept groups that still hold several components are joined into families. Every text of a family is sent once, and
+   every possible pair with ends in different components is confirmed in place; only links that join two components
+   come out. A family of more than ``FAMILY`` classes is split, and each pair of parts is a task of its own.
 
 Rows with a null doc_id are not linked and have no component; an id that comes several times names several rows,
 each with the component of its own text. Nothing is dropped: every row of the input has one row in the result.
@@ -43,8 +45,8 @@ COMPARED = 64
 #: agreeing low bytes of 64 below which a pair is left: 4.6 deviations under the 51.2 of a pair at 80 %
 AGREEING = 37
 REGION = 2048
-BEST = 6
-SMALL_GROUP = 24
+SMALL_GROUP = 8
+FAMILY = 4096
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -153,15 +155,11 @@ def _spanning_tree(table: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _chosen(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to confirm first: all of a small group, else best partners and a spanning tree."""
+    """Pairs to confirm first: all of a small group, else a spanning tree."""
     if len(table) <= SMALL_GROUP:
         return np.nonzero(np.triu(table))
-    top = np.argpartition(table, -BEST, axis=1)[:, -BEST:]
-    rows = np.repeat(np.arange(len(table)), BEST)
-    cols = top.ravel()
-    real = table[rows, cols] > 0
-    tree = np.array(_spanning_tree(table)).reshape(-1, 2)
-    return np.concatenate([rows[real], tree[:, 0]]), np.concatenate([cols[real], tree[:, 1]])
+    tree = np.array(_spanning_tree(table))
+    return tree[:, 0], tree[:, 1]
 
 
 _PAIRS = "a long, b long, block long, id long, n long, low binary"
@@ -249,28 +247,70 @@ def candidate_pairs(rows: DataFrame) -> DataFrame:
     return placed.select("prefix", "id", "n", "low").mapInArrow(_candidates, _PAIRS)
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All possible pairs between different components within each kept group; groups come one after another."""
-    held: list[tuple] = []
+def _joining_links(rows: list[tuple], k: int) -> list[tuple[int, int]]:
+    """Links between different components of one family part; once two components are linked they count as one."""
+    ids, n, comp = (np.array([r[i] for r in rows], np.int64) for i in (2, 3, 5))
+    low = np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(-1, COMPARED)
+    sets: dict[int, np.ndarray] = {}
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = shingle_hashes(word_hashes(rows[i][6].lower(), SPACED), k)
+        return sets[i]
+
+    links = []
+    step = max(1, (1 << 22) // (len(ids) * COMPARED))
+    for at in range(0, len(ids), step):
+        agree = _possible(n, low, at, min(at + step, len(ids)))
+        for r, cols in ((at + r, np.flatnonzero(agree[r])) for r in range(len(agree))):
+            for c in cols[(cols > r) & (comp[cols] != comp[r])]:
+                if comp[c] != comp[r]:
+                    a, b = shingles(r), shingles(int(c))
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * common >= PERCENT * (len(a) + len(b) - common):
+                        links.append((int(ids[r]), int(ids[c])))
+                        comp[comp == comp[c]] = comp[r]
+    return links
+
+
+def family_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
+    """Step 6: confirmed links (a, b) between components that kept groups (block, id, n, low) still hold."""
+    labelled = groups.join(comps, groups["id"] == comps["node"], "left").select(
+        "block", "id", "n", "low", F.coalesce("component", "id").alias("component")
+    )
+    labelled = written(labelled, "groups")
+    ends = labelled.groupBy("block").agg(F.min("component").alias("first"), F.max("component").alias("last")).filter("first <> last")
+    open_rows = labelled.join(ends.select("block", "first"), "block")
+    families = components(open_rows.select(F.col("component").alias("a"), F.col("first").alias("b")).distinct(), "families")
+    families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    members = open_rows.select("id", "n", "low", "component").dropDuplicates(["id"]).join(families, "component")
+    parts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY)).cast("int").alias("parts"))
+    whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    sent = (
+        members.join(parts, "family").join(whole, F.col("id") == F.col("doc"))
+        .select("family", part.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "id", "n", "low", "component", "t")
+        .select("family", (F.least("mine", "other") * 100_000 + F.greatest("mine", "other")).alias("pair"), "id", "n", "low", "component", "t")
+    )
 
-    def compare(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len({c for *_, c in group}) < 2:
-            return
-        ids, n, comp = (np.array([g[i] for g in group], np.int64) for i in (1, 2, 4))
-        low = np.frombuffer(b"".join(g[3] for g in group), np.uint8).reshape(-1, COMPARED)
-        table = _agreement(n, low)
-        i, j = np.nonzero(np.triu(table) * (comp[:, None] != comp[None, :]))
-        for s in range(0, len(i), 100_000):
-            made = _pair_rows(ids[i[s : s + 100_000]], ids[j[s : s + 100_000]])
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in made.items()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[-1][0] != row[0]:
-                yield from compare(held)
-                held = []
-            held.append(row)
-    yield from compare(held)
+        def links(rows: list[tuple]) -> pa.RecordBatch:
+            found = _joining_links(rows, k) if len({r[5] for r in rows}) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][:2] != row[:2]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    bounded_batches(docs.sparkSession)
+    return sent.repartition("family", "pair").sortWithinPartitions("family", "pair", "id").mapInArrow(run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str) -> DataFrame:
@@ -315,14 +355,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
     comps = components(links)
     kept_groups = found.filter("block is not null").select("block", "id", "n", "low")
     if not kept_groups.isEmpty():
-        labelled = kept_groups.join(comps, kept_groups["id"] == comps["node"], "left").select(
-            "block", "id", "n", "low", F.coalesce("component", "id").alias("component")
-        )
-        rest = labelled.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_rest, "a long, b long")
-        rest = written(rest.distinct(), "rest")
-        if not rest.isEmpty():
-            links = written(links.union(confirmed(rest, docs, k, doc_id, text)), "links")
-            comps = components(links)
+        more = written(family_links(kept_groups, comps, docs, k, doc_id, text), "family-links")
+        if not more.isEmpty():
+            comps = components(links.union(more))
     labels = classes.join(comps, classes["id"] == comps["node"], "left").select(
         F.col("digest").alias("class"), F.coalesce("component", "id").alias("component_id")
     )
