@@ -284,11 +284,13 @@ def family_links(groups: DataFrame, comps: DataFrame, docs: DataFrame, k: int, d
     families = components(open_rows.select(F.col("component").alias("a"), F.col("first").alias("b")).distinct(), "families")
     families = families.select(F.col("node").alias("component"), F.col("component").alias("family"))
     members = open_rows.select("id", "n", "low", "component").dropDuplicates(["id"]).join(families, "component")
-    parts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY)).cast("int").alias("parts"))
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
+    members = written(members, "members")
+    parts = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / F.lit(FAMILY)).cast("int").alias("parts"))
+    texts = whole.join(small_side(members.select("id"), "family-ids"), F.col("doc") == F.col("id"), "left_semi")
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     sent = (
-        members.join(parts, "family").join(whole, F.col("id") == F.col("doc"))
+        members.join(parts, "family").join(texts, F.col("id") == F.col("doc"))
         .select("family", part.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "id", "n", "low", "component", "t")
         .select("family", (F.least("mine", "other") * 100_000 + F.greatest("mine", "other")).alias("pair"), "id", "n", "low", "component", "t")
     )
@@ -317,7 +319,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, doc_id: str, text: str)
     """The pairs (a, b) that reach the similarity on the full sets of their texts; one text row stands for each class."""
     whole = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary").alias("t"))
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = whole.join(ends, "id", "left_semi")
+    texts = whole.join(small_side(ends, "ends"), "id", "left_semi")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
     with_b = with_a.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
