@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.joins import membership_flags
 
-MAX_CUBE = 10
-
 
 def exclusive_regions(sources: dict[str, DataFrame], key: str) -> DataFrame:
     """Keys that lie in exactly the flagged sets: at most 2^k rows.
 
-    The reference table for this form was not available; exclusive counts are an assumption.
+    That this form counts exclusively is an assumption.
     """
     return membership_flags(sources, key).groupBy(*sources).agg(F.count(F.lit(1)).alias("size"))
 
@@ -30,20 +28,23 @@ def _percent(df: DataFrame, union: Column) -> DataFrame:
 def set_overlap(sources: dict[str, DataFrame], key: str, chosen: list[list[str]] | None = None) -> DataFrame:
     """Inclusive intersection size of every combination of sets, and its percent of the union.
 
-    The row without any ``Yes`` is the union. Combinations come from a cube over the region table,
-    which has at most 2^k rows; beyond ``MAX_CUBE`` sets name the ``chosen`` combinations.
+    The row without any ``Yes`` is the union. Each observed region counts for all subsets of its sets, so
+    combinations no key is in do not show, whatever the number of sets; ``chosen`` names combinations.
     """
     names = list(sources)
-    if chosen is None and len(names) > MAX_CUBE:
-        raise ValueError(f"more than {MAX_CUBE} sets: pass the combinations to count")
     regions = exclusive_regions(sources, key)
     union = regions.agg(F.sum("size").alias("_union")).scalar()
     if chosen is not None:
         return _percent(_chosen(regions, names, chosen), union)
-    cubed = regions.cube(*names).agg(F.sum("size").alias("size"))
-    # in a cube row a flag is true, false or rolled up; flags of the regions are never null
-    inclusive = cubed.filter(reduce(lambda x, y: x & y, [F.coalesce(F.col(n), F.lit(True)) for n in names]))
-    shown = [F.when(F.col(n), F.lit("Yes")).otherwise(F.lit("-")).alias(n) for n in names]
+    held = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in names]))
+    kind = "array<array<string>>"
+    subsets = F.aggregate(
+        held,
+        F.array(F.array().cast("array<string>")).cast(kind),
+        lambda found, n: F.concat(found, F.transform(found, lambda s: F.concat(s, F.array(n)))).cast(kind),
+    )
+    inclusive = regions.select("size", F.explode(subsets).alias("combo")).groupBy("combo").agg(F.sum("size").alias("size"))
+    shown = [F.when(F.array_contains("combo", n), F.lit("Yes")).otherwise(F.lit("-")).alias(n) for n in names]
     return _percent(inclusive.select(*shown, "size"), union)
 
 

@@ -61,20 +61,22 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "anti_join_new_keys",
-    "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01')",
+    "SELECT key FROM (SELECT c_custkey + 7 AS key FROM customer) WHERE key NOT IN (SELECT o_custkey FROM orders)",
 )
 def _(t: Tables) -> DataFrame:
-    stored = t.orders.filter(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    return ops.keep_unknown(t.customer.select("c_custkey"), stored, "c_custkey", "o_custkey")
+    # keys moved up by seven, so the last ones are new to the stored side
+    probe = t.customer.select((F.col("c_custkey") + 7).alias("key"))
+    return ops.keep_unknown(probe, t.orders, "key", "o_custkey")
 
 
 @query(
     "lookup_map",
-    "SELECT s_suppkey, n_name AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON s_nationkey = n_nationkey",
+    "SELECT s_suppkey, n_name AS nation FROM supplier LEFT JOIN nation ON s_nationkey + 4 = n_nationkey",
 )
 def _(t: Tables) -> DataFrame:
-    table = t.nation.filter(F.col("n_regionkey") != 2)
-    return ops.lookup(t.supplier, table, "s_nationkey", "n_nationkey", "n_name", "nation").select("s_suppkey", "nation")
+    # keys moved up by four, so some suppliers' nation is missing
+    probe = t.supplier.withColumn("key", F.col("s_nationkey") + 4)
+    return ops.lookup(probe, t.nation, "key", "n_nationkey", "n_name", "nation").select("s_suppkey", "nation")
 
 
 @query(

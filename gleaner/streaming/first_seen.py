@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.dedupe import keep_first
 from gleaner.sources.tables import path_exists
+from gleaner.streaming.store import other_batches, run_id, write_batch
 
 
 def first_seen(
@@ -15,19 +16,20 @@ def first_seen(
 ) -> StreamingQuery:
     """Append the first row of every key not stored yet to the Parquet table ``store``.
 
-    Each batch goes to a folder of its own batch number and replaces it, and compares only with
-    earlier batches: a batch that runs again after a lost executor writes the same rows, once. No state
-    is kept in memory; the stored key column is all that is read back.
+    Each batch goes to a folder of its own, named by the checkpoint's id and the batch number, and compares with all
+    other folders: a batch that runs again after a lost executor writes the same rows, once, and a new
+    checkpoint adds to what is stored. No state is kept in memory; the stored key column is all that is read back.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = keep_first(batch, [key], [F.asc_nulls_last(c) for c in order])
-        if path_exists(batch.sparkSession, store):
+        spark = batch.sparkSession
+        run = run_id(spark, checkpoint)
+        if path_exists(spark, store):
             kind = batch.schema[key].dataType.simpleString()
-            known = batch.sparkSession.read.schema(f"`{key}` {kind}, batch_id bigint").parquet(store)
-            known = known.filter(F.col("batch_id") < number).select(key)
-            fresh = fresh.join(known, key, "left_anti")  # keys are unique on both sides, so none is hot
-        fresh.write.mode("overwrite").parquet(f"{store}/batch_id={number}")
+            known = spark.read.schema(f"`{key}` {kind}, run string, batch_id bigint").parquet(store)
+            fresh = fresh.join(other_batches(known, run, number).select(key), key, "left_anti")  # unique keys: none is hot
+        write_batch(fresh, store, run, number)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

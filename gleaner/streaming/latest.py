@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from gleaner.operators.dedupe import keep_last
+from gleaner.streaming.store import MARKS, run_id, write_batch
 
 
 def upsert_latest(
@@ -14,11 +15,11 @@ def upsert_latest(
     """Append the last version per key of each batch; ``read_latest`` resolves versions across batches.
 
     A batch writes only its own rows, never the whole table again, and replaces its own folder when it
-    runs again.
+    runs again. Folders carry the checkpoint's id, so a new checkpoint adds to what is stored.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        keep_last(batch, [key], order).write.mode("overwrite").parquet(f"{store}/batch_id={number}")
+        write_batch(keep_last(batch, [key], order), store, run_id(batch.sparkSession, checkpoint), number)
 
     return (
         stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -27,7 +28,7 @@ def upsert_latest(
 
 
 def read_latest(spark: SparkSession, store: str, key: str, order: list[str]) -> DataFrame:
-    return keep_last(spark.read.parquet(store), [key], order).drop("batch_id")
+    return keep_last(spark.read.parquet(store), [key], order).drop(*MARKS)
 
 
 def compact_latest(spark: SparkSession, store: str, key: str, order: list[str], target: str) -> DataFrame:

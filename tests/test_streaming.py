@@ -42,3 +42,16 @@ def test_upsert_latest(spark, tmp_path):
     want = [(1, 5, "b"), (2, 9, "y")]
     assert sorted(map(tuple, read_latest(spark, f"{folder}/out", "key", ["ts"]).collect())) == want
     assert sorted(map(tuple, compact_latest(spark, f"{folder}/out", "key", ["ts"], f"{folder}/base").collect())) == want
+
+
+def test_new_data_under_a_new_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    folder = str(tmp_path)
+    for part, keys in (("one", range(10)), ("two", range(8, 15))):
+        land(spark, f"{folder}/{part}", 1, [(k, k, part) for k in keys])
+        source = stream(spark, f"{folder}/{part}")
+        first_seen(source, "key", ["ts"], f"{folder}/seen", f"{folder}/{part}/cp1").awaitTermination()
+        source = stream(spark, f"{folder}/{part}")
+        upsert_latest(source, "key", ["ts"], f"{folder}/latest", f"{folder}/{part}/cp2").awaitTermination()
+    seen = spark.read.parquet(f"{folder}/seen").select("key", "v").collect()
+    assert sorted(map(tuple, seen)) == [(k, "one" if k < 10 else "two") for k in range(15)]
+    assert read_latest(spark, f"{folder}/latest", "key", ["ts"]).count() == 15
