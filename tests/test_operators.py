@@ -137,8 +137,8 @@ def test_set_overlap(spark):
     assert sorted(rows(overlap.set_overlap(sets, "k"))) == want
     assert rows(overlap.set_overlap(sets, "k", chosen=[["A", "B"], []])) == [("Yes", "Yes", 1, 25.0), ("-", "-", 4, 100.0)]
     assert sorted(rows(overlap.exclusive_regions(sets, "k"))) == [(False, True, 1), (True, False, 2), (True, True, 1)]
-    with pytest.raises(ValueError):
-        overlap.set_overlap({str(i): keys(i) for i in range(11)}, "k")
+    eleven = rows(overlap.set_overlap({str(i): keys(i) for i in range(11)}, "k"))
+    assert sorted((r.count("Yes"), *r[-2:]) for r in eleven) == [(0, 11, 100.0)] + [(1, 1, 9.1)] * 11
 
 
 def test_mismatch_reports_missing_pairs(spark):
