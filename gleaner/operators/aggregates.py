@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 OTHER = "(Other)"
 
@@ -106,8 +107,7 @@ def newest(df: DataFrame, column: str) -> Column:
 def company_rollup(df: DataFrame, company: str = "company", order: str = "hash") -> DataFrame:
     """Scalar measures per company. Partial aggregation folds a hot company before the shuffle.
 
-    The list columns are built by ``plans.skew.nested_lists`` in parts of bounded length: how the
-    lists of one company merge is an assumption, read as the distinct union.
+    The list columns are in ``company_lists``, a row per value, since a group may be too large for one row.
     """
     return df.groupBy(company).agg(
         F.count(F.lit(1)).alias("n_jobs"),
@@ -119,6 +119,23 @@ def company_rollup(df: DataFrame, company: str = "company", order: str = "hash")
     )
 
 
+def company_lists(df: DataFrame, columns: list[str], company: str = "company") -> DataFrame:
+    """(company, field, value, n): the distinct values of each column per company, and in how many entries.
+
+    One shape whatever the size: how the lists of one company merge is an assumption, read as the distinct union.
+    A list column counts each element; nulls are left out. All columns take one scan and one aggregation,
+    whose partial counts fold a hot company before the shuffle.
+    """
+    def entries(column: str) -> Column:
+        is_list = isinstance(df.schema[column].dataType, ArrayType)
+        values = F.coalesce(F.col(column), F.array().cast(df.schema[column].dataType)) if is_list else F.array(column)
+        return F.transform(values, lambda v: F.struct(F.lit(column).alias("field"), v.cast("string").alias("value")))
+
+    entry = F.explode(F.concat(*[entries(c) for c in columns])).alias("e")
+    rows = df.select(company, entry).select(company, "e.field", "e.value").filter("value is not null")
+    return rows.groupBy(company, "field", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def with_size(df: DataFrame, payload: str, out: str = "dsize") -> DataFrame:
     """Bytes of a payload column."""
     return df.withColumn(out, F.octet_length(payload).cast("bigint"))

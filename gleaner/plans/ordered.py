@@ -1,10 +1,11 @@
 """Row order over distributed data without sorting a whole key, or the whole table, in one task.
 
-The rows are cut into slices of about equal depth along the order column, whatever the key: no slice of
-any key holds much more than ``1 / slices`` of all rows, even where one key, or one day, holds a third of
-them. Work happens inside (key, slice); what must cross a border travels through a table with one row per
+The rows are cut into slices of about equal depth along the order column, whatever the key, as many as the
+number of rows asks for: no slice of any key holds much more than ``1 / slices`` of all rows, even where one
+key, or one day, holds a third of them. Rows without an order value have the first slice, as an ascending order
+puts nulls first. Work happens inside (key, slice); what must cross a border travels through a table with one row per
 (key, slice). The join back uses the same keys, so it needs no further shuffle of the rows. Only many
-rows with the same value of the order column stay together.
+rows with the same value of the order column, or without one, stay together.
 """
 
 from __future__ import annotations
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICES = 256
+#: rows of a slice, and the most slices: their borders come to the driver
+SLICE_ROWS = 500_000
+MOST_SLICES = 10_000
 _INF = float("inf")
 
 
@@ -30,23 +33,28 @@ def order_number(df: DataFrame, column: str) -> Column:
     return c.cast("double")
 
 
-def borders_of(df: DataFrame, column: str, slices: int = SLICES) -> list[float]:
-    """Values that cut the rows into slices of about equal depth: one pass over one column, at most
-    ``slices - 1`` numbers come back."""
+def borders_of(df: DataFrame, column: str, slices: int | None = None) -> list[float]:
+    """Values that cut the rows into slices of about equal depth: one count, one pass over one column, at most
+    ``slices - 1`` numbers come back. Without ``slices`` a slice has about ``SLICE_ROWS`` rows."""
+    if slices is None:
+        slices = min(MOST_SLICES, -(-df.count() // SLICE_ROWS))
+    if slices <= 1:
+        return []
     points = [i / slices for i in range(1, slices)]
     found = df.agg(F.percentile_approx(order_number(df, column), points, 20 * slices)).first()[0]
     return sorted(set(found or []))
 
 
 def with_slice(df: DataFrame, column: str, borders: list[float], out: str = "_slice") -> DataFrame:
-    """Slice number of each row by binary search; a row without a value goes to the last slice."""
+    """Slice number of each row by binary search; -1 for a row without a value."""
     number = f"{out}_number"
     splits = [-_INF, *borders, _INF] if borders else [-_INF, 0.0, _INF]
     cut = Bucketizer(splits=splits, inputCol=number, outputCol=out, handleInvalid="keep")
-    return cut.transform(df.withColumn(number, order_number(df, column))).withColumn(out, F.col(out).cast("int")).drop(number)
+    placed = cut.transform(df.withColumn(number, order_number(df, column)))
+    return placed.withColumn(out, F.when(F.col(number).isNull(), -1).otherwise(F.col(out).cast("int"))).drop(number)
 
 
-def lead_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, slices: int = SLICES) -> DataFrame:
+def lead_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, slices: int | None = None) -> DataFrame:
     """``lead(value)`` over ``order`` within ``keys``; null on the last row of a key."""
     rows = with_slice(df, order[0], borders_of(df, order[0], slices))
     cell = [*keys, "_slice"]
@@ -61,7 +69,7 @@ def lead_value(df: DataFrame, keys: list[str], order: list[str], value: str, out
     return joined.withColumn(out, F.coalesce("_next", "_carry")["v"]).drop("_slice", "_next", "_carry")
 
 
-def running_count(df: DataFrame, keys: list[str], order: list[str], test: Column, out: str, slices: int = SLICES) -> DataFrame:
+def running_count(df: DataFrame, keys: list[str], order: list[str], test: Column, out: str, slices: int | None = None) -> DataFrame:
     """How many rows up to and including this one pass ``test``, by ``order`` within ``keys``."""
     rows = with_slice(df, order[0], borders_of(df, order[0], slices))
     rows = rows.withColumn("_hit", F.coalesce(test, F.lit(False)).cast("long"))
@@ -81,12 +89,12 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], test: Column
     )
 
 
-def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int = SLICES, levels: int = 2) -> DataFrame:
+def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int | None = None, levels: int = 2) -> DataFrame:
     """The row at ``index`` (0-based, wrapping around) among the rows that pass ``mask``.
 
     ``order`` is a unique numeric or date column. Each level cuts the rows into slices, counts the matches
     per slice, and goes on with the slice that holds the wanted row; the driver sees the borders and the
-    counts. The last sort takes in about ``1 / slices ** levels`` of the rows. Borders may be inexact, the
+    counts. The last sort takes in about ``1 / slices ** levels`` of the rows, or one slice's rows. Borders may be inexact, the
     result is not.
     """
     within, nth, total = df, None, None

@@ -1,4 +1,4 @@
-"""Joins and nested lists that stay balanced when one key holds a large part of the rows."""
+"""Joins that stay balanced when one key holds a large part of the rows, on either side."""
 
 from __future__ import annotations
 
@@ -7,18 +7,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1 / 256
-SALTS = 32
+#: rows of one key and side that a task takes
+PIECE_ROWS = 2_000_000
+#: hot keys per side; where more keys than that pass ``PIECE_ROWS``, a piece is 1 / MOST_HOT of the rows
+MOST_HOT = 10_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows.
+def hot_keys(df: DataFrame, keys: list[str], piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """(keys, pieces) of the keys with more rows than a task should take.
 
-    There can be at most ``1 / share`` of them, whatever the data size, so the result may be broadcast.
+    A piece has ``piece_rows`` rows, or ``1 / MOST_HOT`` of all rows where that is more. So there are at most
+    ``MOST_HOT`` such keys, whatever the data size, and the result may be broadcast.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total")).scalar()
-    return counts.filter(F.col("_n") > total * F.lit(share)).select(*keys)
+    piece = F.greatest(F.lit(float(piece_rows)), F.coalesce(total, F.lit(0)) / F.lit(MOST_HOT))
+    return counts.filter(F.col("_n") > piece).select(*keys, F.ceil(F.col("_n") / piece).cast("int").alias("pieces"))
+
+
+def row_salt(df: DataFrame, pieces: Column) -> Column:
+    """A number below ``pieces`` from the row and the input partition it comes from.
+
+    Equal rows of different partitions differ in it, and a partition that runs again gives its rows the same
+    numbers, in whatever order they come.
+    """
+    return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), pieces).cast("int")
 
 
 def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], null_safe: bool) -> Column:
@@ -26,64 +39,60 @@ def _match(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], null
     return reduce(lambda x, y: x & y, tests)
 
 
+def _with_pieces(df: DataFrame, keys: list[str], hot: DataFrame, hot_keys_: list[str], out: str) -> DataFrame:
+    """``df`` with the number of pieces of its key; 1 for a key that is not hot."""
+    marks = [f"{out}{i}" for i in range(len(keys))]
+    small = hot.select(*[F.col(k).alias(m) for k, m in zip(hot_keys_, marks)], F.col("pieces").alias(f"{out}_n"))
+    joined = df.join(F.broadcast(small), _match(df, small, list(zip(keys, marks)), True), "left")
+    return joined.withColumn(out, F.coalesce(f"{out}_n", F.lit(1))).drop(*marks, f"{out}_n")
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,
     on: str | list[str] | list[tuple[str, str]],
     how: str = "inner",
     null_safe: bool = False,
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
+    piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Equi join whose hot left keys are spread over ``salts`` tasks.
-
-    A left row of a hot key gets one salt from a hash of the row; right rows of that key are copied to
-    every salt, so each left row still meets all its matches: exact for inner, left, semi and anti
-    joins. Other keys keep salt 0 and shuffle as in a plain join. ``on`` names shared columns, or
-    (left, right) pairs; shared names come out once, pairs keep both columns.
+    """Equi join whose hot keys are spread over as many tasks as their rows need, on both sides.
+
+    A left row of a hot key gets one of the key's left pieces and meets a copy of every right row there; likewise
+    for the right. With both hot, the pieces make a grid, in which each pair of rows meets once. Semi and
+    anti joins need each right key once, so their right side is made distinct and never hot. In a left join
+    a left row of a hot right key has copies that meet no right row: as such a key always has matches, these
+    copies go. Other keys shuffle as in a plain join. ``on`` names shared columns, or (left, right) pairs; shared
+    names come out once, pairs keep both columns. Inner, left, left_semi and left_anti joins only.
     """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no salted form of a {how} join")
     names = [on] if isinstance(on, str) else list(on)
     pairs = [(n, n) if isinstance(n, str) else tuple(n) for n in names]
     lkeys, rkeys = [a for a, _ in pairs], [b for _, b in pairs]
-    marks = [f"_hot{i}" for i in range(len(pairs))]
-    hot = hot_keys(left.select(*lkeys), lkeys, share)
-    hot = hot.select(*[F.col(k).alias(m) for k, m in zip(lkeys, marks)], F.lit(True).alias("_is_hot"))
-
-    row_hash = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(salts)).cast("int")
-    big = left.join(F.broadcast(hot), _match(left, hot, list(zip(lkeys, marks)), True), "left")
-    big = big.withColumn("_lsalt", F.when(F.col("_is_hot"), row_hash).otherwise(0)).drop(*marks, "_is_hot")
+    only_keys = how in ("left_semi", "left_anti")
+    if only_keys:
+        right = right.select(*rkeys).distinct()
 
+    lhot = hot_keys(left.select(*lkeys), lkeys, piece_rows)
+    big = _with_pieces(left, lkeys, lhot, lkeys, "_lpieces").withColumn("_lsalt", row_salt(left, F.col("_lpieces")))
     rmap = {k: f"_r{i}" for i, k in enumerate(rkeys)}
-    small = right.withColumnsRenamed(rmap)
-    pairs_r = list(zip([rmap[k] for k in rkeys], marks))
-    small = small.join(F.broadcast(hot), _match(small, hot, pairs_r, True), "left")
-    spread = F.when(F.col("_is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    small = small.withColumn("_rsalt", F.explode(spread)).drop(*marks, "_is_hot")
-
-    test = _match(big, small, [(a, rmap[b]) for a, b in pairs], null_safe) & (big["_lsalt"] == small["_rsalt"])
-    out = big.join(small, test, how).drop("_lsalt", "_rsalt")
+    small = _with_pieces(right, rkeys, lhot, lkeys, "_copies").withColumnsRenamed(rmap)
+    small = small.withColumn("_rlsalt", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    test = _match(big, small, [(a, rmap[b]) for a, b in pairs], null_safe) & (big["_lsalt"] == small["_rlsalt"])
+    extra = ["_lpieces", "_lsalt", "_copies", "_rlsalt"]
+    if not only_keys:
+        known = right if null_safe else right.na.drop(how="any", subset=rkeys)  # a null key has no match to split
+        rhot = hot_keys(known.select(*rkeys), rkeys, piece_rows)
+        right_keys = [rmap[k] for k in rkeys]
+        small = _with_pieces(small, right_keys, rhot, rkeys, "_rpieces")
+        small = small.withColumn("_rsalt", row_salt(small.drop("_copies", "_rpieces"), F.col("_rpieces")))
+        big = _with_pieces(big, lkeys, rhot, rkeys, "_lcopies")
+        big = big.withColumn("_lrsalt", F.explode(F.sequence(F.lit(0), F.col("_lcopies") - 1)))
+        test = _match(big, small, [(a, rmap[b]) for a, b in pairs], null_safe)
+        test = test & (big["_lsalt"] == small["_rlsalt"]) & (big["_lrsalt"] == small["_rsalt"])
+        extra += ["_rpieces", "_rsalt", "_lcopies", "_lrsalt"]
+    out = big.join(small, test, how)
+    if how == "left":
+        out = out.filter((F.col("_lcopies") == 1) | F.col("_rsalt").isNotNull())
     shared = [rmap[b] for a, b in pairs if a == b]
-    return out.drop(*shared).withColumnsRenamed({rmap[b]: b for a, b in pairs if a != b})
-
-
-def nested_lists(
-    df: DataFrame, keys: list[str], value: str, out: str, part_size: int = 100_000
-) -> DataFrame:
-    """All distinct values per key with their counts, as sorted lists of bounded length.
-
-    Rows are (keys, part, out) with ``out`` an array of (value, n). A key with at most ``part_size``
-    distinct values has the single part 0; a larger one is cut by value hash into more parts, so no
-    task or row ever holds a whole hot group.
-    """
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    marks = {k: f"_k{i}" for i, k in enumerate(keys)}
-    sizes = (
-        counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > part_size)
-        .withColumnsRenamed(marks)
-    )
-    test = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(m)) for k, m in marks.items()])
-    parts = F.ceil(F.coalesce("_d", F.lit(1)) / F.lit(part_size)).cast("long")
-    cut = counted.join(sizes, test, "left").select(*keys, value, "n", F.pmod(F.xxhash64(value), parts).alias("part"))
-    return cut.groupBy(*keys, "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col(value).alias("value"), "n"))).alias(out)
-    )
+    return out.drop(*extra, *shared).withColumnsRenamed({rmap[b]: b for a, b in pairs if a != b})

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import all_matches, share_text
+from gleaner.functions.text import all_matches, dictionary_hits, share_text
 from gleaner.functions.values import age_to_hours, midpoint, salary_bounds, whole_days
 from gleaner.operators import aggregates as ops
 from gleaner.operators.markdown import block_agg
 from gleaner.operators.filters import since
-from gleaner.plans.skew import nested_lists
 from gleaner.queries import Tables, query
-from gleaner.queries.standins import FEATURES, ORDER_BRANDS, order_brands, postings, with_cte
+from gleaner.queries.standins import FEATURES, ORDER_BRANDS, POSTINGS, order_brands, postings, with_cte
 
 
 def _priced(t: Tables) -> DataFrame:
@@ -36,23 +35,23 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "company_rollup_lists",
-    """WITH v AS (SELECT p_brand AS company, p_name AS title, count(*) AS n FROM part GROUP BY 1, 2),
-w AS (SELECT DISTINCT p_brand AS company, unnest(string_split(p_name, ' ')) AS skill FROM part)
-SELECT v.company, string_agg(title || '*' || n, '|' ORDER BY title) AS titles, any_value(skills) AS skills
-FROM v JOIN (SELECT company, string_agg(skill, '|' ORDER BY skill) AS skills FROM w GROUP BY 1) s ON s.company = v.company
-GROUP BY v.company""",
+    with_cte(
+        """SELECT company, field, value, count(*) AS n FROM (
+  SELECT company, 'title' AS field, title AS value FROM postings
+  UNION ALL SELECT company, 'skills', unnest(string_split(title, ' ')) FROM postings
+  UNION ALL SELECT company, 'location', replace(location, ', United States', '') FROM postings
+  UNION ALL SELECT company, 'bay', unnest(regexp_extract_all(location, 'BRASS|STEEL|TIN')) FROM postings)
+GROUP BY ALL""",
+        POSTINGS,
+    ),
 )
 def _(t: Tables) -> DataFrame:
-    """The list columns of the rollup: titles with their counts, and the union of the skill lists."""
-    posts = postings(t).select("company", "title", F.split("title", " ").alias("skills"))
-    titles = nested_lists(posts, ["company"], "title", "titles")
-    skills = nested_lists(posts.select("company", F.explode("skills").alias("skill")), ["company"], "skill", "skills")
-    both = titles.join(skills, ["company", "part"], "full")
-    return both.select(
-        "company",
-        F.array_join(F.transform("titles", lambda x: F.concat(x["value"], F.lit("*"), x["n"])), "|").alias("titles"),
-        F.array_join("skills.value", "|").alias("skills"),
+    """The list columns of the rollup, a row per company and value."""
+    posts = postings(t).select(
+        "company", "title", F.split("title", " ").alias("skills"), dictionary_hits("location", ["BRASS", "STEEL", "TIN"]).alias("bay"),
+        F.replace("location", F.lit(", United States"), F.lit("")).alias("location"),
     )
+    return ops.company_lists(posts, ["title", "skills", "location", "bay"])
 
 
 @query(
