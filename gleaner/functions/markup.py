@@ -73,8 +73,9 @@ ENTITIES = [
 def html_to_markdown(html: Column | str) -> Column:
     """Headings, paragraphs, breaks, bold, italics, list items and links as Markdown; other tags go.
 
-    Every tag maps to its mark on its own, so nesting needs no parser; nested lists come out flat.
-    ``functions.nested`` keeps their depth, in Arrow batches.
+    Every tag maps to its mark on its own, so nesting needs no parser: nested lists come out flat, numbered ones as
+    bullets, and only the characters of ``ENTITIES`` are decoded. It is for quick native text. ``functions.nested``,
+    which the standing jobs use, keeps depth and numbers and decodes all, in Arrow batches.
     """
     text = reduce(lambda acc, rule: F.regexp_replace(acc, rule[0], rule[1]), MARKDOWN_RULES, _col(html))
     text = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), HEADING_MARKS + ENTITIES, text)

@@ -10,25 +10,63 @@ from gleaner.operators.dedupe import keep_first
 from gleaner.schemas import CARD_SLOTS, COMPANY_CARD_COLUMNS
 
 CARD_OPEN = r'<div[^>]*class="[^"]*\bcard\b[^"]*"[^>]*>'
+# Fixed value: the row of a card's buttons; each child element is one
+BUTTON_ROW = r"<div[^>]*class=[\"']flex justify-center space-x-2[\"'][^>]*>"
+
+
+def own_part(rest: Column, tag: str = "div") -> Column:
+    """What an element holds, given all markup behind its opening tag: up to its own closing tag, or to the end."""
+    steps = F.split(rest, rf"(?i)(?=</?{tag}[\s>/])")
+
+    def step(at: Column, piece: Column) -> Column:
+        depth = at["depth"] + F.when(piece.rlike(rf"(?i)\A</{tag}[\s>/]"), -1).when(piece.rlike(rf"(?i)\A<{tag}[\s>/]"), 1).otherwise(0)
+        is_open = at["open"] & (depth > 0)
+        return F.struct(
+            depth.alias("depth"), is_open.alias("open"),
+            (at["chars"] + F.when(is_open, F.length(piece)).otherwise(0)).alias("chars"),
+        )
+
+    start = F.struct(F.lit(1).alias("depth"), F.lit(True).alias("open"), F.lit(0).alias("chars"))
+    return F.substr(rest, F.lit(1), F.aggregate(steps, start, step)["chars"])
+
+
+def row_cells(card: Column, row_open: str = BUTTON_ROW) -> Column:
+    """How many child ``div`` elements the card's button rows have."""
+    rows = F.split(card, row_open)
+
+    def children(rest: Column) -> Column:
+        steps = F.regexp_extract_all(own_part(rest), F.lit(r"(?i)</?div(?=[\s>/])"), 0)
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+        counted = F.aggregate(steps, start, lambda at, tag: F.struct(
+            (at["depth"] + F.when(tag.startswith("</"), -1).otherwise(1)).alias("depth"),
+            (at["n"] + F.when((at["depth"] == 0) & ~tag.startswith("</"), 1).otherwise(0)).alias("n"),
+        ))
+        return counted["n"]
+
+    inner = F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0)))
+    return F.aggregate(inner, F.lit(0).cast("bigint"), lambda n, rest: n + children(rest))
 
 
 def card_rows(
-    pages: DataFrame, html: str = "html", card_open: str = CARD_OPEN, text_tag: str = "span"
+    pages: DataFrame, html: str = "html", card_open: str = CARD_OPEN, text_tag: str = "span", tag: str = "div",
+    row_open: str = BUTTON_ROW,
 ) -> DataFrame:
-    """One row per card: position in the page, its texts, its two links, and the child buttons.
+    """One row per card: position in the page, its texts, its two links, and the cells of its button row.
 
-    A card is what follows an opening tag that fits ``card_open``, up to the next one.
+    A card is what follows an opening tag (of an element ``tag``) that fits ``card_open``, up to its own closing tag,
+    or to the next card where that is missing. Links and cells are those inside it.
     """
     pieces = F.split(F.col(html), card_open)
     cards = pages.select(
         "*", F.posexplode(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))).alias("card", "_piece")
     )
     return (
-        cards.withColumn("cells", markup.span_texts("_piece", text_tag))
+        cards.withColumn("_piece", own_part(F.col("_piece"), tag))
+        .withColumn("cells", markup.span_texts("_piece", text_tag))
         .withColumn("_links", markup.hrefs("_piece"))
         .withColumn("href", F.get("_links", F.lit(0)))
         .withColumn("href2", F.get("_links", F.lit(1)))
-        .withColumn("_len", F.regexp_count("_piece", F.lit("<button")).cast("bigint"))
+        .withColumn("_len", row_cells(F.col("_piece"), row_open))
         .drop("_piece", "_links")
     )
 
@@ -71,15 +109,16 @@ def cells_to_columns(df: DataFrame, column: str = "cells", names: list[str] = CA
     return df.withColumns(cells).drop(column)
 
 
-def check_all(df: DataFrame, test: Column, message: str, guard: str) -> DataFrame:
-    """The same rows; the job fails on the first row that does not pass ``test``.
+def check_all(df: DataFrame, test: Column, message: str) -> DataFrame:
+    """The same rows; the job fails on the first row that does not pass ``test``, whatever columns are read.
 
-    The test sits in the projection of the ``guard`` column. As a filter it would be pushed below the
-    steps that compute its input, and repeat them.
+    The test feeds a generator, on which the row's existence depends, so no reader's choice of columns takes it
+    away. As a filter it would be pushed below the steps that compute its input, and repeat them.
     """
     passed = F.coalesce(test, F.lit(False))
-    failed = F.raise_error(F.lit(message)).cast(df.schema[guard].dataType)
-    return df.withColumn(guard, F.when(passed, F.col(guard)).otherwise(failed))
+    one = F.array(F.lit(True))
+    kept = F.when(passed, one).otherwise(F.raise_error(F.lit(message)).cast("array<boolean>"))
+    return df.withColumn("_checked", F.explode(kept)).drop("_checked")
 
 
 def posting_features(df: DataFrame, cities: list[str]) -> DataFrame:
@@ -112,7 +151,7 @@ def postings_from_pages(
         "hash": markup.key_from_url("href"),
         "chash": F.when(F.col("_lone").isNull(), markup.company_key("href2")),
     })
-    keyed = check_all(keyed, F.col("_job_posting") == "Job Posting", "a card lacks its posting mark", "hash")
+    keyed = check_all(keyed, F.col("_job_posting") == "Job Posting", "a card lacks its posting mark")
     keyed = keyed.drop("_job_posting", "_views", "href", "href2", "_lone", html)
     featured = posting_features(keyed, cities)
     if not dedupe:

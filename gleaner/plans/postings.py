@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import masks, text
-from gleaner.functions.markup import html_to_markdown
+from gleaner.functions.nested import html_to_markdown_nested
 from gleaner.functions.values import nan_to_null, to_utc
 from gleaner.operators.cards import CARD_OPEN, postings_from_pages
 from gleaner.operators.dedupe import keep_last
@@ -24,7 +24,7 @@ SINCE = {"jan": "2026-01-01", "feb": "2026-02-01"}
 def with_markdown(jobs: DataFrame, url_prefix: str) -> DataFrame:
     """Description as Markdown, address and key."""
     return jobs.withColumns({
-        "_md": text.normalise_chars(html_to_markdown("description")),
+        "_md": text.normalise_chars(html_to_markdown_nested("description")),
         "_url": text.url_of_key(url_prefix, "requisition_id"),
         "_hash": F.col("requisition_id"),
     })

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.nested import html_to_markdown_nested
 from gleaner.functions import markup
 from gleaner.operators import cards as card_ops
 from gleaner.operators.joins import embedded_tables
@@ -61,6 +62,28 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", markup.html_to_markdown("html").alias("md"))
 
 
+_PAGE = (
+    "<html><head><title>t</title><style>p {{}}</style></head><body><h2>{0}</h2><p>By <b>{1}</b>,\n <i>{2}</i>&#8217;s &amp; &eacute;t&#xE9; &trade;</p>"
+    '<ol><li>{0}</li><li>{1}<ul><li>{2}</li></ol_></li></ol><p>See <a href="/{1}">here</a><br>now</p></body></html>'
+).replace("</ol_>", "</ul>")
+_PAGE_MD = "## {0}\n\nBy **{1}**, *{2}*’s & été ™\n\n1. {0}\n2. {1}\n\t* {2}\n\nSee [here](/{1})  \nnow"
+
+
+def _filled(template: str, joined: str) -> str:
+    """The template as an SQL expression over the columns of ``part``."""
+    text = template.replace("{{", "{").replace("}}", "}").replace("'", "''").replace("\n", "'||chr(10)||'").replace("\t", "'||chr(9)||'")
+    for i, column in enumerate(("p_name", "p_brand", "p_type")):
+        text = text.replace(f"{{{i}}}", f"'||{column}||'")
+    return f"'{text}' AS {joined}"
+
+
+@query("html_to_markdown_written", f"SELECT p_partkey, {_filled(_PAGE_MD, 'md')} FROM part")
+def _(t: Tables) -> DataFrame:
+    """A hand-written page around the values of each part, against its Markdown as written by hand."""
+    pages = t.part.selectExpr("p_partkey", _filled(_PAGE, "html"))
+    return pages.select("p_partkey", html_to_markdown_nested("html").alias("md"))
+
+
 @query(
     "normalise_chars",
     """SELECT doc_id, replace(replace(text, 'the', ''''), chr(10), ' ') AS text FROM documents""",
@@ -81,7 +104,7 @@ FROM (SELECT *, unnest(range(1, len(hrefs) + 1)) AS i FROM (
     regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS texts FROM pages))""",
 )
 def _(t: Tables) -> DataFrame:
-    rows = card_ops.card_rows(t.pages, "html", "<li>", "a")
+    rows = card_ops.card_rows(t.pages, "html", "<li>", "a", "li")
     return rows.select("page_id", "card", "href", F.get("cells", F.lit(0)).alias("label"))
 
 
@@ -122,15 +145,43 @@ def _(t: Tables) -> DataFrame:
     return t.pages.select("page_id", markup.key_from_url("url").alias("hash"), markup.query_field("url", "page").alias("page"))
 
 
-@query("button_count", "SELECT page_id, CAST(len(regexp_extract_all(html, '<li>')) AS BIGINT) AS n_items FROM pages")
+def _listing_pages(t: Tables) -> DataFrame:
+    """(hash, html): a listing page per part, of two cards and a footer with links and buttons of its own."""
+    lit = F.lit
+    key = F.col("p_partkey").cast("string")
+    buttons = F.repeat(lit('<div><button>x</button><div>tip</div></div>'), (F.col("p_size") % 4).cast("int"))
+
+    def card(name: str) -> Column:
+        return F.concat(
+            lit('<div class="x card"><div><span> '), "p_name", lit(' </span><div><span>'), "p_brand", lit('</span></div></div><div><div><a href="/view/'),
+            lit(name), key, lit('">v</a><a href="/?company='), "p_brand", lit('&a=1">c</a></div></div><div class="flex justify-center space-x-2">'),
+            buttons, lit('</div></div>'),
+        )
+
+    footer = lit('<div class="foot"><span>About</span><a href="/about">us</a><div class="flex justify-center space-x-2"><div>a</div></div></div>')
+    return t.part.select(F.col("p_partkey").alias("hash"), F.concat(lit("<body>"), card("a"), card("b"), footer, lit("</body>")).alias("html"))
+
+
+@query("button_count", "SELECT p_partkey AS hash, i - 1 AS card, CAST(p_size % 4 AS BIGINT) AS n_buttons FROM (SELECT *, unnest([1, 2]) AS i FROM part)")
+def _(t: Tables) -> DataFrame:
+    rows = card_ops.card_rows(_listing_pages(t))
+    return rows.select("hash", "card", F.col("_len").alias("n_buttons"))
+
+
+@query(
+    "card_extract_listing",
+    """SELECT p_partkey AS hash, i - 1 AS card, p_name || '|' || p_brand AS cells, '/view/' || ['a', 'b'][i] || p_partkey AS href,
+  '/?company=' || p_brand || '&a=1' AS href2 FROM (SELECT *, unnest([1, 2]) AS i FROM part)""",
+)
 def _(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).cast("bigint").alias("n_items"))
+    rows = card_ops.card_rows(_listing_pages(t))
+    return rows.select("hash", "card", F.array_join("cells", "|").alias("cells"), "href", "href2")
 
 
 @query("quality_assert", "SELECT event_id, event_type FROM events")
 def _(t: Tables) -> DataFrame:
     known = F.col("event_type").isin("view", "signup", "purchase", "click", "error")
-    return card_ops.check_all(t.events, known, "unknown event type", "event_id").select("event_id", "event_type")
+    return card_ops.check_all(t.events, known, "unknown event type").select("event_id", "event_type")
 
 
 def _payloads(t: Tables) -> DataFrame:
