@@ -179,7 +179,8 @@ def bm25_rank(df: DataFrame, doc: str, text: str, query: str, k: int = 15, weigh
 def bm25_retrieve(
     index: dict[str, DataFrame], doc: str, query: str, k: int = 15, weights: DataFrame | None = None
 ) -> DataFrame:
-    """Top ``k`` documents from stored index tables; ``weights`` is (doc, weight).
+    """Top ``k`` documents from stored index tables; ``weights`` is (doc, weight); a
+    document without one weighs 1.
 
     Only the postings of the query terms are read: the terms are literals, so the filter reaches the
     scan. ``df`` and the averages are scalar subqueries.
@@ -201,7 +202,8 @@ def bm25_retrieve(
     part = times[F.col("term")] * _idf(F.col("_s.n"), F.col("_df")) * _part(F.col("tf"), F.col("len"), F.col("_s.avg"))
     scored = hits.groupBy(doc).agg(F.sum(part).alias("score"))
     if weights is not None:
-        scored = scored.join(weights, doc).select(doc, (F.col("score") * F.col("weight")).alias("score"))
+        weighed = F.col("score") * F.coalesce("weight", F.lit(1.0))
+        scored = scored.join(weights, doc, "left").select(doc, weighed.alias("score"))
     return _top(scored, doc, k)
 
 
@@ -211,6 +213,6 @@ def prompt_table(df: DataFrame, prompt: str, text: str, key: str) -> DataFrame:
     return (
         df.select(key, message.alias("message"))
         .withColumn("digest", F.sha2("message", 256))
-        .groupBy("digest")
-        .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_rows"), F.min("message").alias("message"))
+        .groupBy("digest", "message")  # as a key the message stays in hash aggregation
+        .agg(F.min(key).alias(key), F.count(F.lit(1)).alias("n_rows"))
     )

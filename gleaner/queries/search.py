@@ -12,6 +12,7 @@ from gleaner.queries import Tables, query
 from gleaner.queries.ordering import TOKENS, dated_documents, rank_sql
 from gleaner.queries.standins import JOBS, ORDER_BRANDS, jobs, order_brands, with_cte
 from gleaner.schemas import SEARCH_COLUMNS
+from gleaner.session import scratch_path
 
 _EDGE = r"(^|[^\pL\pN_])"
 
@@ -171,6 +172,17 @@ def _(t: Tables) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_stored", rank_sql(["die", "onthe", "und", "thwhou"], 15))
+def _(t: Tables) -> DataFrame:
+    """The index stored once, then read for the query."""
+    docs = dated_documents(t)
+    weights = docs.select("doc_id", values.recency_weight("published", newest(docs, "published")).alias("weight"))
+    folder = scratch_path(t.spark, "index")
+    search.write_index(docs, "doc_id", "text", folder)
+    found = search.bm25_retrieve(search.read_index(t.spark, folder), "doc_id", "die onthe und the thwhou", 15, weights)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("bm25_rank", rank_sql(["die", "onthe", "und", "thwhou"], 15))
 def _(t: Tables) -> DataFrame:
     docs = dated_documents(t)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import aggregates, cards, dedupe, joins, markdown, ordering, overlap, search
 from gleaner.operators.filters import record_profile
 from gleaner.plans import ordered
-from gleaner.plans.skew import hot_keys, nested_lists, salted_join
+from gleaner.plans.skew import hot_keys, row_salt, salted_join
 from gleaner.schemas import CARD_SLOTS
 from gleaner.sources import files, searches, tables
 
@@ -41,31 +41,39 @@ def test_salted_join_is_exact(spark, skewed, how, null_safe):
             want += [(i, k, v, n) for n in found] or ([(i, k, v, None)] if how == "left" else [])
         elif bool(found) == (how == "left_semi"):
             want.append((i, k, v))
-    got = salted_join(left, right, "key", how, null_safe=null_safe, salts=4, share=0.05)
+    got = salted_join(left, right, "key", how, null_safe=null_safe, piece_rows=50)
     assert sorted(map(str, rows(got))) == sorted(map(str, want))
 
 
-def test_salted_join_spreads_the_hot_key(skewed):
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_salted_join_of_hot_right_and_equal_rows(spark, how, null_safe):
+    left = spark.createDataFrame([(k,) for k in [7] * 40 + [8] * 3 + [None] * 30 + [5]], "key bigint")
+    right = spark.createDataFrame([(k, i % 3) for i, k in enumerate([7] * 30 + [8] * 50 + [None] * 25 + [6])], "key bigint, v int")
+    got = salted_join(left.repartition(4), right, "key", how, null_safe=null_safe, piece_rows=10)
+    test = left["key"].eqNullSafe(right["key"]) if null_safe else left["key"] == right["key"]
+    want = left.join(right, test, how).select(left["key"], *([] if "_" in how else [right["v"]]))
+    assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
+
+
+def test_salted_join_spreads_the_hot_key(spark, skewed):
     _, left = skewed
-    assert [r.key for r in hot_keys(left, ["key"], 0.2).collect()] == [7]
-    row_hash = F.pmod(F.xxhash64("id", "key", "v"), F.lit(8))
-    spread = left.filter("key = 7").groupBy(row_hash.alias("s")).count().collect()
-    assert len(spread) == 8 and max(r["count"] for r in spread) < 250
-
-
-def test_nested_lists_cut_hot_keys(spark, skewed):
-    data, df = skewed
-    got = nested_lists(df.withColumn("id", F.col("id") % 700), ["key"], "id", "ids", part_size=50).collect()
-    assert max(len(r.ids) for r in got) < 120
-    merged = defaultdict(Counter)
-    for r in got:
-        for x in r.ids:
-            merged[r.key][x["value"]] += x["n"]
-    want = defaultdict(Counter)
-    for i, k, _ in data:
-        want[k][i % 700] += 1
-    assert merged == want
-    assert {r.part for r in got if r.key == 8} == {0} and len({r.part for r in got if r.key == 7}) > 5
+    assert [(r.key, r.pieces) for r in hot_keys(left, ["key"], 300).filter("key is not null").collect()] == [(7, 4)]
+    same = spark.range(0, 8000, 1, 40).select(F.lit(7).alias("key"))  # equal rows from 40 partitions
+    spread = same.groupBy(row_salt(same, F.lit(4)).alias("s")).count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 4000
+
+
+def test_company_lists_have_one_shape(spark):
+    df = spark.createDataFrame([("a", "t", ["x", None, "y"]), ("a", "t", None), ("b", None, ["x"]), (None, "u", [])], "company string, title string, skills array<string>")
+    got = rows(aggregates.company_lists(df, ["title", "skills"]))
+    assert sorted(map(str, got)) == sorted(map(str, [("a", "title", "t", 2), ("a", "skills", "x", 1), ("a", "skills", "y", 1), ("b", "skills", "x", 1), (None, "title", "u", 1)]))
+
+
+def test_lead_value_puts_nulls_first(spark):
+    df = spark.createDataFrame([(1, 5, "c"), (1, None, "a"), (1, 3, "b"), (2, None, "d")], "u int, t int, kind string")
+    led = ordered.lead_value(df, ["u"], ["t"], "kind", "nxt", slices=3)
+    assert {r.kind: r.nxt for r in led.collect()} == {"a": "b", "b": "c", "c": None, "d": None}
 
 
 def test_lead_and_running_count_across_buckets(spark):
@@ -175,9 +183,10 @@ def test_company_page_cards(spark):
 
 
 def test_check_all_fails_the_job(spark):
-    df = cards.check_all(spark.range(3), F.col("id") < 2, "bad row", "id")
-    with pytest.raises(Exception, match="bad row"):
-        df.collect()
+    df = cards.check_all(spark.range(3), F.col("id") < 2, "bad row")
+    for read in (df.collect, df.count, df.withColumn("x", F.lit(1)).select("x").collect):
+        with pytest.raises(Exception, match="bad row"):
+            read()
 
 
 def test_search_text_nulls(spark):
@@ -250,7 +259,7 @@ def test_saved_search_round_trip(spark):
 def test_searches_in_chunks(spark):
     df = spark.createDataFrame([(i, i) for i in range(20)], "id int, yoe int")
     wanted = {f"s{n}": {"roleYoeRange": [n, n + 1]} for n in range(7)}
-    got = searches.matching_searches(df, wanted, date(2026, 1, 1), {"yoe": "yoe"}, per_scan=3)
+    got = searches.matching_searches(df, wanted, date(2026, 1, 1), {"yoe": "yoe"})
     assert sorted((r.id, r.search) for r in got.collect()) == sorted((i, f"s{n}") for n in range(7) for i in (n, n + 1))
 
 
@@ -261,6 +270,21 @@ def test_radius_search(spark):
     assert [(r.id, r.search) for r in got.collect()] == [(1, "bay")]
 
 
+def test_set_search_fields_filter_or_raise(spark):
+    df = spark.createDataFrame([(1, "Data Scientist", "Manager", "Required"), (2, "Data Nurse", "Manager", "Preferred"),
+                                (3, "Data Scientist", "Individual Contributor", "Preferred")], "id int, title string, role string, phd string")
+    words = {"data AND NOT nurse": ([["data"]], ["nurse"])}
+    columns = {"title": "title", "role": "role", "doctorate": "phd"}
+    wanted = {"a": {"jobTitleQuery": "data AND NOT nurse", "roleTypes": ["Manager"]},
+              "b": {"roleTypes": ["Individual+Contributor"], "doctorateDegreeRequirements": ["Preferred"]}}
+    got = searches.matching_searches(df, wanted, date(2026, 1, 1), columns, title_words=words)
+    assert sorted((r.id, r.search) for r in got.collect()) == [(1, "a"), (3, "b")]
+    assert searches.matching_searches(df, {}, date(2026, 1, 1), columns).count() == 0
+    for bad, given in (({"roleTypes": ["x"]}, {}), ({"unheardOf": 1}, columns), ({"jobTitleQuery": "other"}, columns)):
+        with pytest.raises(ValueError):
+            searches.search_predicate(bad, date(2026, 1, 1), given, words)
+
+
 def test_snapshot_layout_and_inventory(spark, tmp_path):
     for day, name, body in [("2026-01-02", "ALL", "<p>a</p>"), ("2026-01-03", "NorCal", "<p>b</p>")]:
         folder = tmp_path / day / name
@@ -298,7 +322,8 @@ def test_listings_keep_the_last_snapshot(spark, tmp_path):
         texts = ["2d", "Data Lead", "Oakland, California, United States", pay, "Onsite", "Full", "Co:", ": sums", "job", "SQL", "Job Posting", "9"]
         spans = "".join(f"<span>{x}</span>" for x in texts)
         return (f'<title>All (N=1)</title><div class="card"><div>{spans}</div><div><div><a href="/view/{key}">a</a>'
-                '<a href="/?company=co&x=1">b</a></div></div><button>1</button><button>2</button></div>')
+                '<a href="/?company=co&x=1">b</a></div></div><div class="flex justify-center space-x-2"><div><button>1</button></div>'
+                '<div><button>2</button></div></div></div><div><span>About</span><a href="/about">us</a><button>3</button></div>')
 
     for day, body in [("2026-01-02", page("$9k/yr") + page("$7k/yr", "k2")), ("2026-01-10", page("$8k/yr"))]:
         folder = tmp_path / day / "ALL"
