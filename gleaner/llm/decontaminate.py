@@ -12,7 +12,7 @@ m words is found where a stretch of a text lies within ``floor(EDIT_SHARE * m)``
    samples are a candidate. Places lie within what a walk over the smallest item of the class writes.
 4. Candidates are verified by the exact edit distance of the item to its best stretch around the window.
 
-Items are taken in blocks of ``BLOCK`` rows, whose tables go to the workers, each against all texts. Items of fewer than
+Items are taken in blocks of ``BLOCK`` rows or ``BLOCK_BYTES`` of text, whichever comes first, whose tables go to the workers, each against all texts. Items of fewer than
 ``LEAST_WORDS`` words, null or empty ones included, say nothing about a text and are not searched. Null and empty texts
 have no match; texts of any length are read whole. Repeated rows and repeated items have a match each; a null id is
 carried. Other columns are not used, whatever their names.
@@ -40,6 +40,7 @@ BITS = 4
 CLASS_RATIO = 1.25
 READ_SHARE = 1.6
 BLOCK = 5000
+BLOCK_BYTES = 8 << 20
 STARTS_AT_ONCE = 1 << 15
 
 _random = np.random.default_rng(771)
@@ -193,11 +194,13 @@ def matches(index: ItemIndex, text: bytes) -> list[tuple[int, int, int, int]]:
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     block: list[tuple[int, bytes]] = []
+    size = 0
     for item, text in items.select(F.col("item_id").cast("long"), F.lower(F.coalesce("text", F.lit("")))).toLocalIterator():
         block.append((item, text.encode()))
-        if len(block) == BLOCK:
+        size += len(block[-1][1])
+        if len(block) == BLOCK or size >= BLOCK_BYTES:
             yield block
-            block = []
+            block, size = [], 0
     yield block
 
 
