@@ -9,7 +9,7 @@ from tests.harness import DATA, connect, difference, spark_table, sql_table
 
 FOLDER = f"{DATA}/sf{os.environ.get('GLEANER_SF', '0.001')}"
 REGISTRY = load_all()
-PYTHON = {"udf_map_text", "udtf_cards"}
+PYTHON = {"html_to_markdown_written", "udf_map_text", "udtf_cards"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
