@@ -86,11 +86,10 @@ def ownership(found: DataFrame) -> DataFrame:
     """(hash, n_owners, n_repos) over all candidates of the corpus."""
     held = found.select("owner", "repo", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["hash"]), F.transform("extra", lambda s: s["hash"])))).alias("hash"))
 
-    def distinct_holders(column: str, name: str) -> DataFrame:
-        pairs = held.select("hash", column).distinct()
-        return pairs.select("hash", F.when(F.lit(True), F.lit(name)).alias("what"))
-
-    both = distinct_holders("owner", "owners").unionByName(distinct_holders("repo", "repos"))
+    holder = F.explode(F.array(
+        F.struct(F.lit("owners").alias("what"), F.col("owner").alias("holder")), F.struct(F.lit("repos").alias("what"), F.col("repo").alias("holder"))
+    )).alias("h")
+    both = held.select("hash", holder).select("hash", "h.what", "h.holder").distinct()  # one pass over the texts for both
     return both.groupBy("hash").agg(
         F.count_if(F.col("what") == "owners").alias("n_owners"), F.count_if(F.col("what") == "repos").alias("n_repos")
     )
