@@ -6,9 +6,9 @@
 3. A signature has ``POSITIONS`` minimum hashes. Each of ``TREES`` sorted orders begins with ``DEPTH`` positions of
    its own and goes on with further ones. Classes that share the first positions are a region; within it rows come
    sorted by the rest, so neighbours have the longest common prefix. A region of up to ``REGION`` classes is
-   compared throughout, from its shared depth on. In a denser one each class is compared with the classes
-   around it in sorted order (a sliding stretch of ``REGION`` rows), that is, at the greater depth that this
-   region's neighbours have in common. Comparison counts agreeing low bytes of the signature.
+   compared throughout, from its shared depth on. A denser one is dealt into parts of about ``REGION`` classes, and each
+   pair of parts is compared throughout by itself, wherever it lands: every two classes of a region meet, however
+   many it has. Comparison counts agreeing low bytes of the signature.
 4. Pairs that may reach the similarity come out: all of a small group, of a larger one the tree of greatest agreement that
    spans it. The larger group itself is kept for step 6, so this is no cap.
 5. Each pair is confirmed on the full sets of the whole texts, in whole numbers:
@@ -221,30 +221,30 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found_b.append(rows[1][j[good]])
         for r in np.flatnonzero(sizes[:-1] > 2):
             at, end = starts[r], starts[r + 1]
-            for s in range(at, max(at + 1, end - REGION // 2), REGION // 2):
-                e = min(s + REGION, end)
-                compare(int(keys[at]), *(x[s:e] for x in rows[1:]))
-        at = starts[-2]
-        while len(keys) - at > 2 * REGION:  # a dense region: slide on, half a stretch at a time
-            compare(int(keys[at]), *(x[at : at + REGION] for x in rows[1:]))
-            at += REGION // 2
-        held = tuple(x[at:].copy() for x in rows)
+            compare(int(keys[at]), *(x[at:end] for x in rows[1:]))
+        held = tuple(x[starts[-2] :].copy() for x in rows)
         yield from waiting
         waiting.clear()
         if sum(map(len, found_a)) > 100_000:
             yield from pairs_out()
     if held is not None and len(held[0]) > 1:
-        end = len(held[0])
-        for s in range(0, max(1, end - REGION // 2), REGION // 2):
-            compare(int(held[0][0]), *(x[s : min(s + REGION, end)] for x in held[1:]))
+        compare(int(held[0][0]), *held[1:])
     yield from waiting
     yield from pairs_out()
 
 
 def candidate_pairs(rows: DataFrame) -> DataFrame:
     bounded_batches(rows.sparkSession)
-    placed = rows.repartition("tree", "prefix").sortWithinPartitions("tree", "prefix", "further", "id")
-    return placed.select("prefix", "id", "n", "low").mapInArrow(_candidates, _PAIRS)
+    counts = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > REGION)
+    dense = small_side(counts.select("tree", "prefix", F.ceil(F.col("m") / F.lit(REGION)).cast("int").alias("parts")), "dense-regions")
+    # a row of a dense region goes to every pair of parts that its own part is in
+    part = F.pmod(F.xxhash64("id", "n", "low"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts").isNotNull(), F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)).otherwise(F.array(F.lit(0)))
+    pair = F.xxhash64("prefix", F.least(part, F.col("other")), F.greatest(part, F.col("other")))
+    dealt = rows.join(dense, ["tree", "prefix"], "left").select("*", F.explode(others).alias("other"))
+    dealt = dealt.select(F.coalesce(F.when(F.col("parts").isNotNull(), pair), F.col("prefix")).alias("region"), "further", "id", "n", "low")
+    placed = dealt.repartition("region").sortWithinPartitions("region", "further", "id")
+    return placed.select("region", "id", "n", "low").mapInArrow(_candidates, _PAIRS)
 
 
 def _joining_links(rows: list[tuple], k: int) -> list[tuple[int, int]]:
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
         "id", "n", "signature"
     ).dropDuplicates(["id", "n", "signature"])
 
-    found = written(candidate_pairs(forest(rows)), "candidates")
+    found = written(candidate_pairs(forest(written(rows, "classes"))), "candidates")
     pairs = found.filter("a is not null").select("a", "b").distinct()
     links = written(confirmed(pairs, docs, k, doc_id, text), "confirmed")
     comps = components(links)
