@@ -11,6 +11,9 @@ m words is found where a stretch of a text lies within ``floor(EDIT_SHARE * m)``
 3. Each walk is sampled at ``BITS`` places, ``SAMPLES`` times for every class of item sizes; a window and an item with equal
    samples are a candidate. Places lie within what a walk over the smallest item of the class writes.
 4. Candidates are verified by the exact edit distance of the item to its best stretch around the window.
+5. Sampling may miss a match, the longer the item the sooner. So the runs are also counted item by item: where the least number
+   of an item's own runs stands within the words that a match may span, and no match found so far, the exact edit distance
+   decides. By the bound of step 1 every match has such a place: with this step the recall is 1, whatever the samples.
 
 Items are taken in blocks of ``BLOCK`` rows or ``BLOCK_BYTES`` of text, whichever comes first, whose tables go to the workers, each against all texts. Items of fewer than
 ``LEAST_WORDS`` words, null or empty ones included, say nothing about a text and are not searched. Null and empty texts
@@ -42,6 +45,7 @@ READ_SHARE = 1.6
 BLOCK = 5000
 BLOCK_BYTES = 8 << 20
 STARTS_AT_ONCE = 1 << 15
+POSTINGS_AT_ONCE = 1 << 20
 
 _random = np.random.default_rng(771)
 _SEEDS = _random.integers(1, 1 << 63, WALKS, dtype=np.uint64)
@@ -51,6 +55,11 @@ def allowed(m: int) -> int:
     return int(EDIT_SHARE * m + 1e-9)
 
 
+def least_shared(m: int) -> int:
+    """Runs of an item of ``m`` words that every match shares: an edit touches ``RUN`` of them at most."""
+    return max(1, m - RUN + 1 - RUN * allowed(m))
+
+
 def walk_symbols(words: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
     """The embedding of the sequences that begin at ``starts``: one row each, ``steps`` symbols; 0 past the end."""
     padded = np.append(words, np.uint64(0))
@@ -100,6 +109,13 @@ class ItemIndex:
                     owner[run] = owner.get(run, 0) | 1 << number
         self.runs = np.array(sorted(owner), np.uint64)
         self.owners = np.array([owner[r] for r in self.runs.tolist()], np.int64)
+        self.span = np.array([len(w) + allowed(len(w)) for w in self.words], np.int64)
+        self.shared = np.array([least_shared(len(w)) for w in self.words], np.int64)
+        each = [np.unique(run_hashes(w, RUN)) for w in self.words]
+        runs, items_ = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), [len(e) for e in each])
+        self.run_items = items_[np.argsort(runs, kind="stable")]
+        self.run_from = np.searchsorted(np.sort(runs), np.append(self.runs, np.uint64(0)))
+        self.run_from[-1] = len(runs)
 
     def _size_class(self, number: int, group: list[int], draw: np.random.Generator) -> SizeClass:
         sizes = [len(self.words[n]) for n in group]
@@ -112,7 +128,7 @@ class ItemIndex:
                 keys = _keys(symbols, places, salt)
                 order = np.argsort(keys, kind="stable")
                 tables.append((walk, places, salt, keys[order], np.array(group)[order]))
-        least = min(max(1, m - RUN + 1 - RUN * allowed(m)) for m in sizes)
+        least = min(least_shared(m) for m in sizes)
         return SizeClass(max(m + allowed(m) for m in sizes), least, max(int(t[1][-1]) + 1 for t in tables), tables)
 
     def starts(self, words: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
@@ -147,6 +163,40 @@ class ItemIndex:
         return found
 
 
+    def counted(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Per item, the (first word, end) of stretches that may hold a match: all that have enough of its own runs."""
+        runs = run_hashes(words, RUN)
+        if not len(runs) or not len(self.runs):
+            return {}
+        place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
+        at = np.flatnonzero(self.runs[place] == runs)
+        first, count = self.run_from[place[at]], self.run_from[place[at] + 1] - self.run_from[place[at]]
+        total, longest, begin = np.concatenate([[0], np.cumsum(count)]), int(self.span.max()), 0
+        found: dict[int, list[tuple[int, int]]] = {}
+        while begin < len(at):  # a part of the text at a time, the parts overlapping by more than any match
+            end = max(np.searchsorted(total, total[begin] + POSTINGS_AT_ONCE), np.searchsorted(at, at[begin] + 2 * longest))
+            end = min(int(end), len(at))
+            n, f = count[begin:end], first[begin:end]
+            item = self.run_items[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            where = np.repeat(at[begin:end], n)
+            order = np.argsort(item, kind="stable")
+            item, where = item[order], where[order]
+            last = np.arange(len(item)) + self.shared[item] - 1
+            inside = np.minimum(last, len(item) - 1)
+            good = (last < len(item)) & (item[inside] == item) & (where[inside] + RUN - where <= self.span[item])
+            for i in np.flatnonzero(good):
+                span, places = int(self.span[item[i]]), found.setdefault(int(item[i]), [])
+                low, high = max(0, int(where[inside[i]]) + RUN - span), min(len(words), int(where[i]) + span)
+                if places and low <= places[-1][1]:
+                    places[-1] = (min(places[-1][0], low), max(places[-1][1], high))
+                else:
+                    places.append((low, high))
+            if end == len(at):
+                break
+            begin = max(begin + 1, int(np.searchsorted(at, at[end - 1] - longest)))
+        return found
+
+
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edits, first word, end) of the stretch of ``text`` nearest to ``item``; the earliest end among equals."""
     n = len(text)
@@ -172,11 +222,12 @@ def matches(index: ItemIndex, text: bytes) -> list[tuple[int, int, int, int]]:
     by_item: dict[int, list[int]] = {}
     for n, start in index.candidates(words):
         by_item.setdefault(n, []).append(start)
+    counted = index.counted(words)
     out = []
-    for n, starts in sorted(by_item.items()):
+    for n in sorted(by_item.keys() | counted.keys()):
         item, k = index.words[n], allowed(len(index.words[n]))
-        starts.sort()
-        groups = [[starts[0], starts[0]]]
+        starts = sorted(by_item.get(n, ()))
+        groups = [[s, s] for s in starts[:1]]
         for s in starts[1:]:
             if s - groups[-1][1] <= len(item) // 2 and s - groups[-1][0] <= len(item):
                 groups[-1][1] = s
@@ -189,9 +240,28 @@ def matches(index: ItemIndex, text: bytes) -> list[tuple[int, int, int, int]]:
             if edits <= k and end > first and (low + first, low + end) not in seen:
                 seen.add((low + first, low + end))
                 out.append((n, low + first, low + end - 1, edits))
+        left = [gap for place in counted.get(n, ()) for gap in _gaps(*place, sorted(seen))]
+        while left:
+            low, high = left.pop()
+            if high - low < len(item) - k:
+                continue
+            edits, first, end = best_stretch(item, words[low:high])
+            if edits <= k and end > first:
+                out.append((n, low + first, low + end - 1, edits))
+                left += [(low, low + first), (low + end, high)]
     return out
 
 
+def _gaps(low: int, high: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of low..high between the stretches ``taken``."""
+    gaps = []
+    for first, end in taken:
+        if first < high and end > low:
+            gaps.append((low, first))
+            low = max(low, end)
+    return [*gaps, (low, high)]
+
+
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
     block: list[tuple[int, bytes]] = []
     size = 0

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gleaner.llm import minhash
+from gleaner.llm import decontaminate, minhash
 
 
 def test_every_two_classes_of_a_dense_region_meet(spark):
@@ -15,3 +15,16 @@ def test_every_two_classes_of_a_dense_region_meet(spark):
     rows = [(0, 77, i.to_bytes(8, "big"), i, 100, low[i].tobytes()) for i in range(size)]
     found = minhash.candidate_pairs(spark.createDataFrame(rows, minhash._FOREST))
     assert {(r.a, r.b) for r in found.filter("a is not null").collect()} == set(planted)
+
+
+def test_long_items_with_a_fifth_of_their_words_changed_are_all_found():
+    draw = np.random.default_rng(8)
+    for m in (15, 38, 60, 120, 250):
+        items = [[f"i{n}w{j}" for j in range(m)] for n in range(25)]
+        index = decontaminate.ItemIndex([(n, " ".join(words).encode()) for n, words in enumerate(items)])
+        for n, words in enumerate(items):
+            gone = set(draw.choice(np.arange(1, m - 1), decontaminate.allowed(m), replace=False).tolist())
+            for text in ([w for j, w in enumerate(words) if j not in gone], ["new" if j in gone else w for j, w in enumerate(words)]):
+                around = ["before"] * 30 + text + ["after"] * 30
+                got = decontaminate.matches(index, " ".join(around).encode())
+                assert [x[0] for x in got] == [n] and got[0][3] <= decontaminate.allowed(m), (m, n)
