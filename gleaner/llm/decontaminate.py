@@ -4,7 +4,8 @@ Texts and items are sequences of words (ASCII letters, digits and characters bey
 m words is found where a stretch of a text lies within ``floor(EDIT_SHARE * m)`` word edits of it.
 
 1. A stretch within k edits of an item shares at least m - 2 - 3k of its 3-word runs. Starts of windows ahead of which
-   fewer runs of items of one size class stand, by the least such number in the class, cannot match; this loses nothing.
+   fewer runs of items of one size class stand, by the least such number in the class, cannot match; where that number is
+   below 1 (items of five words), the walks leave windows without a common run to step 5.
 2. From every remaining start a CGK walk reads the words: at each step it writes the word at its pointer, then moves on or
    stays, as a random bit of (step, word) says. Few edits between two sequences become few differing places.
    ``WALKS`` independent walks are made for windows and items alike.
@@ -13,11 +14,11 @@ m words is found where a stretch of a text lies within ``floor(EDIT_SHARE * m)``
 4. Candidates are verified by the exact edit distance of the item to its best stretch around the window.
 5. Sampling may miss a match, the longer the item the sooner. So the runs are also counted item by item: where the least number
    of an item's own runs stands within the words that a match may span, and no match found so far, the exact edit distance
-   decides. By the bound of step 1 every match has such a place: with this step the recall is 1, whatever the samples.
+   decides. Runs have as many words, 3, 2 or 1, as leave a bound of at least 1, so every match has such a place: with this
+   step the recall is 1, whatever the samples. Items of fewer than ``LEAST_WORDS`` words are searched in this way only.
 
-Items are taken in blocks of ``BLOCK`` rows or ``BLOCK_BYTES`` of text, whichever comes first, whose tables go to the workers, each against all texts. Items of fewer than
-``LEAST_WORDS`` words, null or empty ones included, say nothing about a text and are not searched. Null and empty texts
-have no match; texts of any length are read whole. Repeated rows and repeated items have a match each; a null id is
+Items are taken in blocks of ``BLOCK`` rows or ``BLOCK_BYTES`` of text, whichever comes first, whose tables go to the workers, each against all texts. Items
+without words, null ones included, are found nowhere. Null and empty texts have no match; texts of any length are read whole. Repeated rows and repeated items have a match each; a null id is
 carried. Other columns are not used, whatever their names.
 """
 
@@ -55,9 +56,14 @@ def allowed(m: int) -> int:
     return int(EDIT_SHARE * m + 1e-9)
 
 
-def least_shared(m: int) -> int:
-    """Runs of an item of ``m`` words that every match shares: an edit touches ``RUN`` of them at most."""
-    return max(1, m - RUN + 1 - RUN * allowed(m))
+def least_shared(m: int, run: int = RUN) -> int:
+    """Runs of an item of ``m`` words that every match shares: an edit touches ``run`` of them at most."""
+    return m - run + 1 - run * allowed(m)
+
+
+def run_length(m: int) -> int:
+    """The longest run, up to ``RUN`` words, of which a match of an item of ``m`` words must share one."""
+    return next(r for r in range(RUN, 0, -1) if least_shared(m, r) >= 1)
 
 
 def walk_symbols(words: np.ndarray, starts: np.ndarray, walk: int, steps: int) -> np.ndarray:
@@ -94,12 +100,13 @@ class ItemIndex:
     """Sampled walks of a block of items, by size class."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
-        sized = [(i, w) for i, t in items if len(w := word_hashes(t, LETTERS)) >= LEAST_WORDS]
+        sized = [(i, w) for i, t in items if len(w := word_hashes(t, LETTERS))]
         self.ids = [i for i, _ in sized]
         self.words = [w for _, w in sized]
         members: dict[int, list[int]] = {}
         for n, w in enumerate(self.words):
-            members.setdefault(int(np.log(len(w)) / np.log(CLASS_RATIO)), []).append(n)
+            if len(w) >= LEAST_WORDS:
+                members.setdefault(int(np.log(len(w)) / np.log(CLASS_RATIO)), []).append(n)
         draw = np.random.default_rng(90)
         self.classes = [self._size_class(number, group, draw) for number, group in enumerate(map(members.get, sorted(members)))]
         owner: dict[int, int] = {}
@@ -110,12 +117,17 @@ class ItemIndex:
         self.runs = np.array(sorted(owner), np.uint64)
         self.owners = np.array([owner[r] for r in self.runs.tolist()], np.int64)
         self.span = np.array([len(w) + allowed(len(w)) for w in self.words], np.int64)
-        self.shared = np.array([least_shared(len(w)) for w in self.words], np.int64)
-        each = [np.unique(run_hashes(w, RUN)) for w in self.words]
-        runs, items_ = np.concatenate([np.zeros(0, np.uint64), *each]), np.repeat(np.arange(len(each)), [len(e) for e in each])
-        self.run_items = items_[np.argsort(runs, kind="stable")]
-        self.run_from = np.searchsorted(np.sort(runs), np.append(self.runs, np.uint64(0)))
-        self.run_from[-1] = len(runs)
+        lengths = [run_length(len(w)) for w in self.words]
+        self.shared = np.array([least_shared(len(w), r) for w, r in zip(self.words, lengths)], np.int64)
+        self.postings = [self._postings(r, [n for n, x in enumerate(lengths) if x == r]) for r in sorted(set(lengths))]
+
+    def _postings(self, length: int, group: list[int]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Run length, distinct runs, where the items of each begin (one more at the end), items."""
+        each = [np.unique(run_hashes(self.words[n], length)) for n in group]
+        runs, items = np.concatenate(each), np.repeat(group, [len(e) for e in each])
+        order = np.argsort(runs, kind="stable")
+        distinct, first = np.unique(runs[order], return_index=True)
+        return length, distinct, np.append(first, len(runs)), items[order]
 
     def _size_class(self, number: int, group: list[int], draw: np.random.Generator) -> SizeClass:
         sizes = [len(self.words[n]) for n in group]
@@ -128,7 +140,7 @@ class ItemIndex:
                 keys = _keys(symbols, places, salt)
                 order = np.argsort(keys, kind="stable")
                 tables.append((walk, places, salt, keys[order], np.array(group)[order]))
-        least = min(least_shared(m) for m in sizes)
+        least = min(max(1, least_shared(m)) for m in sizes)
         return SizeClass(max(m + allowed(m) for m in sizes), least, max(int(t[1][-1]) + 1 for t in tables), tables)
 
     def starts(self, words: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
@@ -165,28 +177,33 @@ class ItemIndex:
 
     def counted(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Per item, the (first word, end) of stretches that may hold a match: all that have enough of its own runs."""
-        runs = run_hashes(words, RUN)
-        if not len(runs) or not len(self.runs):
-            return {}
-        place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
-        at = np.flatnonzero(self.runs[place] == runs)
-        first, count = self.run_from[place[at]], self.run_from[place[at] + 1] - self.run_from[place[at]]
-        total, longest, begin = np.concatenate([[0], np.cumsum(count)]), int(self.span.max()), 0
         found: dict[int, list[tuple[int, int]]] = {}
+        for posting in self.postings:
+            self._count(words, *posting, found)
+        return found
+
+    def _count(
+        self, words: np.ndarray, length: int, known: np.ndarray, run_from: np.ndarray, items: np.ndarray, found: dict[int, list[tuple[int, int]]]
+    ) -> None:
+        runs = run_hashes(words, length)
+        place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        at = np.flatnonzero(known[place] == runs)
+        first, count = run_from[place[at]], run_from[place[at] + 1] - run_from[place[at]]
+        total, longest, begin = np.concatenate([[0], np.cumsum(count)]), int(self.span.max()), 0
         while begin < len(at):  # a part of the text at a time, the parts overlapping by more than any match
             end = max(np.searchsorted(total, total[begin] + POSTINGS_AT_ONCE), np.searchsorted(at, at[begin] + 2 * longest))
             end = min(int(end), len(at))
             n, f = count[begin:end], first[begin:end]
-            item = self.run_items[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            item = items[np.repeat(f - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             where = np.repeat(at[begin:end], n)
             order = np.argsort(item, kind="stable")
             item, where = item[order], where[order]
             last = np.arange(len(item)) + self.shared[item] - 1
             inside = np.minimum(last, len(item) - 1)
-            good = (last < len(item)) & (item[inside] == item) & (where[inside] + RUN - where <= self.span[item])
+            good = (last < len(item)) & (item[inside] == item) & (where[inside] + length - where <= self.span[item])
             for i in np.flatnonzero(good):
                 span, places = int(self.span[item[i]]), found.setdefault(int(item[i]), [])
-                low, high = max(0, int(where[inside[i]]) + RUN - span), min(len(words), int(where[i]) + span)
+                low, high = max(0, int(where[inside[i]]) + length - span), min(len(words), int(where[i]) + span)
                 if places and low <= places[-1][1]:
                     places[-1] = (min(places[-1][0], low), max(places[-1][1], high))
                 else:
@@ -194,7 +211,6 @@ class ItemIndex:
             if end == len(at):
                 break
             begin = max(begin + 1, int(np.searchsorted(at, at[end - 1] - longest)))
-        return found
 
 
 def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:

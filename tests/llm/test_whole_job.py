@@ -28,3 +28,11 @@ def test_long_items_with_a_fifth_of_their_words_changed_are_all_found():
                 around = ["before"] * 30 + text + ["after"] * 30
                 got = decontaminate.matches(index, " ".join(around).encode())
                 assert [x[0] for x in got] == [n] and got[0][3] <= decontaminate.allowed(m), (m, n)
+
+
+def test_short_items_are_searched_with_the_edits_they_allow():
+    texts = ["one two three four five", "red blue green", "alone"]
+    index = decontaminate.ItemIndex(list(enumerate(t.encode() for t in texts)))
+    got = decontaminate.matches(index, b"x one two drei four five y red blue green z red blue grey alone one two drei vier five")
+    assert got == [(0, 1, 5, 1), (1, 7, 9, 0), (2, 14, 14, 0)]
+    assert decontaminate.matches(index, b"") == []
