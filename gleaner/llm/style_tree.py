@@ -2,7 +2,8 @@
 
 Each page is read in one pass into blocks of text with the path of block elements (and their classes) above them.
 Branches that say by element, class, id or role that they are menus, headers, footers, sidebars, notices, adverts, forms
-or comments, and those without visible text, are cut at once. The rest of a host's pages is merged: a style node is
+or comments, and those without visible text, are cut at once; the names are whole classes or ids, html, body, main and article
+are never cut by name, and a form that holds most of the page's text is the page. The rest of a host's pages is merged: a style node is
 (host, path), it has the styles of its children and the contents below it, counted over distinct pages (pages that
 agree in all remaining blocks count once, so copies of a page do not look like a template). With m pages at a node:
 
@@ -51,13 +52,21 @@ FURNITURE = frozenset(
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related "
     "reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
+#: words that turn a class into a statement about furniture elsewhere, and words that may follow those of furniture
+MODIFIERS = frozenset("has with without no not non is show hide hidden under above below after before per".split())
+PARTS = frozenset(
+    "area bar block bottom box button buttons center col column container content form group header icons inner item items left line link "
+    "links list main outer panel post posts primary right row secondary section slot text title top wrap wrapper".split()
+)
+WHOLE = frozenset("html body main article".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?|\"[^\"]*\"|'[^']*'")
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+HEADER = frozenset(["header"])
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
@@ -68,21 +77,34 @@ def _number(text: str) -> int:
 def _cut(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in CUT or (tag == "header" and not in_article):
         return True
-    if not attributes:
+    if not attributes or tag in ("html", "body"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or _INVISIBLE.search(attributes.get("style", "")):
         return True
-    names = {x.lower() for key in ("class", "id") for x in _NAME.findall(attributes.get(key, ""))}
-    return bool(names & FURNITURE) or attributes.get("role", "").lower() in ROLES or ("header" in names and not in_article)
+    if tag in WHOLE:
+        return False
+    tokens = attributes.get("class", "").split() + attributes.get("id", "").split()
+    if attributes.get("role", "").lower() in ROLES or any(_named(x, FURNITURE) for x in tokens):
+        return True
+    return not in_article and any(_named(x, HEADER) for x in tokens)
+
+
+def _named(token: str, words: frozenset[str]) -> bool:
+    """Whether a whole class or id names one of ``words``: by itself, at its end, or before words for a part or place."""
+    parts = [x.lower() for x in _NAME.findall(token)]
+    if token.lower() in words or not parts or not MODIFIERS.isdisjoint(parts):
+        return token.lower() in words
+    return parts[-1] in words or (parts[0] in words and all(x in PARTS or x in words for x in parts[1:]))
 
 
 class Page:
     """Blocks (path, text, in the marked article) and the child styles of every path of one page."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, shown_forms: frozenset[int] = frozenset()):
+        forms, form_chars = 0, {}  # forms so far; characters in each form that is cut
         self.blocks: list[tuple[str, str, bool]] = []
         self.styles: dict[str, list[str]] = {}
-        stack: list[tuple[str, str, bool, bool]] = []  # element, path, cut, in the article
+        stack: list[tuple[str, str, int, bool]] = []  # element, path, cut (a form's number, else -1; 0: shown), in the article
         run: list[str] = []
 
         def flush() -> None:
@@ -104,6 +126,8 @@ class Page:
                 lt, stop = (end, end) if lt < 0 else (lt, token.end())
             if lt > at and not (stack and stack[-1][2]):
                 run.append(source[at:lt])
+            elif lt > at and stack[-1][2] > 0:
+                form_chars[stack[-1][2]] = form_chars.get(stack[-1][2], 0) + len(source[at:lt].strip())
             at = stop
             if token is None or not token.group(2):
                 continue
@@ -117,7 +141,7 @@ class Page:
                 run.append(" ")
             if tag in VOID and tag != "hr":
                 continue
-            if tag not in BLOCK and tag not in CUT and "=" not in token.group(3):
+            if tag not in BLOCK and tag not in CUT and "=" not in token.group(3) and "hidden" not in token.group(3).lower():
                 continue
             if token.group(1):
                 if any(s[0] == tag for s in stack):
@@ -126,11 +150,13 @@ class Page:
                     while stack.pop()[0] != tag:
                         pass
                 continue
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token.group(3)) if m[1]} if "=" in token.group(3) else {}
-            if re.search(r"\bhidden\b", token.group(3)) and "hidden" not in attributes:
-                attributes["hidden"] = ""
-            parent = stack[-1] if stack else ("", "", False, False)
-            cut = parent[2] or _cut(tag, attributes, parent[3])
+            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(token.group(3)) if m[1]} if "=" in token.group(3) or "hidden" in token.group(3).lower() else {}
+            parent = stack[-1] if stack else ("", "", 0, False)
+            cut = -1 if parent[2] < 0 or _cut(tag, attributes, parent[3]) else parent[2]
+            if tag == "form":
+                forms += 1
+                if parent[2] >= 0 and not _cut("div", attributes, parent[3]):
+                    cut = parent[2] or (0 if forms in shown_forms else forms)
             if tag not in BLOCK and not cut:
                 continue  # an inline element that is shown
             if tag in BLOCK:
@@ -144,14 +170,17 @@ class Page:
                         break
                     if stack[depth][0] not in CLOSED_BY_OWN:
                         break
-                parent = stack[-1] if stack else ("", "", False, False)
-                cut = parent[2] or _cut(tag, attributes, parent[3])
+                parent = stack[-1] if stack else ("", "", 0, False)
+                cut = -1 if parent[2] < 0 or _cut(tag, attributes, parent[3]) else parent[2]
             style = f"{tag}.{attributes['class']}" if attributes.get("class") else tag
             path = f"{parent[1]}/{style}"
             self.styles.setdefault(parent[1], []).append(style)
             marked = parent[3] or (not cut and (tag in ("article", "main") or attributes.get("role") == "main"))
             stack.append((tag, path, cut, marked))
         flush()
+        largest = max(form_chars, key=form_chars.get, default=0)
+        if largest and 2 * form_chars[largest] > sum(form_chars.values()) + sum(len(t) for _, t, _ in self.blocks):
+            self.__init__(source, shown_forms | {largest})
 
     def text(self, low: set[tuple[int, int | None]]) -> str:
         marked = [t for _, t, inside in self.blocks if inside]

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gleaner.llm import decontaminate, minhash
+from gleaner.llm import decontaminate, minhash, style_tree
 
 
 def test_every_two_classes_of_a_dense_region_meet(spark):
@@ -36,3 +36,14 @@ def test_short_items_are_searched_with_the_edits_they_allow():
     got = decontaminate.matches(index, b"x one two drei four five y red blue green z red blue grey alone one two drei vier five")
     assert got == [(0, 1, 5, 1), (1, 7, 9, 0), (2, 14, 14, 0)]
     assert decontaminate.matches(index, b"") == []
+
+
+def test_content_whose_attributes_only_mention_furniture_stays():
+    for tag in (
+        'body class="has-sidebar"', 'main class="content-with-sidebar"', 'article class="post no-comments"', 'p class="ad-hoc"', 'div class="overflow-hidden"',
+        'div class="md:hidden lg:block"', 'div data-x="not hidden"', 'body class="widget"', 'form action="/page.aspx"', 'body style="visibility: hidden"',
+    ):
+        assert style_tree.Page(f"<html><{tag}>The story of the page").text(set()) == "The story of the page", tag
+    for tag in ('div class="site-footer"', "div hidden", "span hidden", 'div class="x comments-area"', 'div id="sidebarLeft"', 'form action="/s"', "article hidden"):
+        close = tag.split()[0]
+        assert style_tree.Page(f"<p>A long enough story<{tag}>gone</{close}>").text(set()) == "A long enough story", tag
