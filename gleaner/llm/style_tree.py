@@ -12,8 +12,8 @@ agree in all remaining blocks count once, so copies of a page do not look like a
 - importance of a node: ``(1 - CONTENT) * presentation + CONTENT * content``.
 
 Nodes below ``LOW``, and single blocks below it, that ``LEAST_PAGES`` or more pages show are removed from every page of the
-host. What a page itself marks as its article or main part is content whatever its importance, and if it holds any
-text, nothing outside it is.
+host. What a page itself marks as its article or main part is content whatever its importance; outside it the style tree
+decides, as on pages without a mark.
 
 Null and empty html give an empty text. Pages of any length are read whole, also with tags left open or cut off. Repeated
 rows come out once each. A null or unreadable URL has the empty host. Other columns are not used.
@@ -183,13 +183,10 @@ class Page:
             self.__init__(source, shown_forms | {largest})
 
     def text(self, low: set[tuple[int, int | None]]) -> str:
-        marked = [t for _, t, inside in self.blocks if inside]
-        if marked:
-            return "\n\n".join(marked)
         kept = []
-        for path, t, _ in self.blocks:
+        for path, t, marked in self.blocks:
             number = _number(path)
-            if (number, None) not in low and (number, _number(t)) not in low:
+            if marked or ((number, None) not in low and (number, _number(t)) not in low):
                 kept.append(t)
         return "\n\n".join(kept)
 

@@ -47,3 +47,11 @@ def test_content_whose_attributes_only_mention_furniture_stays():
     for tag in ('div class="site-footer"', "div hidden", "span hidden", 'div class="x comments-area"', 'div id="sidebarLeft"', 'form action="/s"', "article hidden"):
         close = tag.split()[0]
         assert style_tree.Page(f"<p>A long enough story<{tag}>gone</{close}>").text(set()) == "A long enough story", tag
+
+
+def test_style_tree_decides_outside_the_marked_part(spark):
+    rows = [
+        (i, f"http://h.example/{i}", f"<div class=top>Same on all</div><div class=body>Story {i}</div><article>Card {i}</article>") for i in range(20)
+    ]
+    got = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}\n\nCard {i}" for i in range(20)}
