@@ -139,9 +139,10 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     """``docs`` with every base and added span replaced by ``<secret>``; overlapping spans become one.
 
     The spans are found again in the row itself; only the verdicts on further spans come from the corpus.
+    A further span stays in clear only where more than ``FEW_OWNERS`` owners hold its value: copies of a document are no owners.
     """
     found = candidates(docs, doc_id, text, owner, repo)
-    live = (F.col("n_owners") <= FEW_OWNERS) & (F.col("n_repos") <= FEW_REPOS)
+    live = F.col("n_owners") <= FEW_OWNERS
     extra = (
         found.select(F.explode("extra").alias("s"), "doc_id").select("doc_id", F.col("s.hash").alias("hash"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
         .join(ownership(found).filter(live).select("hash"), "hash")

@@ -3,6 +3,7 @@
 import numpy as np
 
 from gleaner.llm import decontaminate, minhash, style_tree
+from gleaner.llm.secrets import redact
 
 
 def test_every_two_classes_of_a_dense_region_meet(spark):
@@ -55,3 +56,9 @@ def test_style_tree_decides_outside_the_marked_part(spark):
     ]
     got = {r.page_id: r.text for r in style_tree.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Story {i}\n\nCard {i}" for i in range(20)}
+
+
+def test_a_key_of_one_owner_is_redacted_in_every_copy(spark):
+    rows = [(i, "key Qw7aB3dE6gH9jK2mN5pQ8sT here", "one") for i in range(40)]
+    cleaned = redact(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert [r.text for r in cleaned.collect()] == ["key <secret> here"] * 40
