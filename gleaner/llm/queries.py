@@ -89,9 +89,29 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat_digests(rows.unionByName(more), tokenizer_path())
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.whitening import whiten
+
+    return whiten(_table(spark, folder, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.vector_dedup import near_vectors
+
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    from gleaner.llm.hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(_table(spark, folder, "embeddings"), label=moved)
+
+
 QUERIES: tuple[Runner, ...] = (
     op1_decontamination, op2_license_scan, op3_near_duplicates, op4_secret_scan, op5_quality_rules, op6_html_text,
-    op7_quality_classifier, op8_bpe, op9_warc, op10_chat,
+    op7_quality_classifier, op8_bpe, op9_warc, op10_chat, op11_whitening,
+    op12_near_vectors, op13_hard_negatives,
 )
 
 
@@ -100,6 +120,9 @@ def queries() -> dict[str, Runner]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from gleaner.llm import licenses, secrets
+    from gleaner.llm import hard_negatives, licenses, secrets, vector_dedup
 
-    return {"op2_license_scan": licenses.oracle(), "op4_secret_scan": secrets.oracle()}
+    return {
+        "op2_license_scan": licenses.oracle(), "op4_secret_scan": secrets.oracle(), "op12_near_vectors": vector_dedup.oracle(),
+        "op13_hard_negatives": hard_negatives.oracle(),
+    }
