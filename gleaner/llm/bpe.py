@@ -29,7 +29,9 @@ from pyspark.sql import types as T
 from gleaner.llm.common import bounded_batches, map_batches
 
 SHORT = 160
-CACHED_WORDS = 200_000
+#: bytes of words, ids and table entries that one generation of the word table may hold
+CACHED_BYTES = 24 << 20
+ENTRY_BYTES = 200
 NO_RANK = 1 << 40
 # fixed value: the published split pattern of the vocabulary
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -165,12 +167,12 @@ def unpack_ids(packed: bytes) -> list[int]:
 
 
 class _Words(dict):
-    """Packed ids by word in two generations: when the young one is full it becomes the old one, so memory
-    stays bounded and frequent words stay known."""
+    """Packed ids by word in two generations, each bounded in bytes: when the young one is full it becomes the old
+    one, so frequent words stay known."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary, self.old = vocabulary, {}
+        self.vocabulary, self.old, self.held = vocabulary, {}, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -178,10 +180,12 @@ class _Words(dict):
             ids = pack_ids(self.vocabulary.merge(word.encode()))
             if len(word) > SHORT:
                 return ids
-        if len(self) >= CACHED_WORDS:
-            self.old = dict(self)
+        size = ENTRY_BYTES + 4 * len(word) + len(ids)
+        if self.held + size > CACHED_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[word] = ids
+        self.held += size
         return ids
 
 
@@ -205,7 +209,6 @@ class SharedVocabulary:
         if key not in _loaded:
             _loaded[key] = Vocabulary(text, self.special)
             gc.freeze()  # the tables live as long as the worker: no collection needs to walk them
-            gc.disable()  # and encoding makes no cycles
         return _loaded[key]
 
 
@@ -246,9 +249,28 @@ def decode_ids(df: DataFrame, ids: str, path: str) -> DataFrame:
     return df.select(*kept).mapInArrow(run, schema)
 
 
+def encode_and_decode(df: DataFrame, text: str, path: str, keep: list[str] | None = None, compare: bool = False) -> DataFrame:
+    """``df`` with ``ids`` and the text they ``decoded`` to, by one worker with one vocabulary.
+
+    With ``compare`` there is ``round_trip`` in place of the decoded text: whether it is the given one.
+    """
+    shared = SharedVocabulary(df.sparkSession, path)
+    back = T.StructField("round_trip", T.BooleanType()) if compare else T.StructField("decoded", T.StringType())
+
+    def run(texts: list[bytes]) -> dict[str, pa.Array]:
+        vocabulary = shared.get()
+        packed = [vocabulary.packed(t.decode("utf-8", "replace")) for t in texts]
+        decoded = (vocabulary.decode(unpack_ids(p)) for p in packed)
+        if compare:
+            return {"ids": id_lists(packed), "round_trip": pa.array([d.encode() == t for d, t in zip(decoded, texts)], pa.bool_())}
+        return {"ids": id_lists(packed), "decoded": pa.array(decoded, pa.string())}
+
+    return map_batches(df, text, run, T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), back]), keep)
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per document: number of ids, digest of the ids, digest of the decoded text."""
-    coded = decode_ids(encode_texts(docs, "text", path, keep=["doc_id"]), "ids", path)
+    coded = encode_and_decode(docs, "text", path, keep=["doc_id"])
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
