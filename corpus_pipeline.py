@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import decode_ids, encode_texts
+from gleaner.llm.bpe import encode_and_decode
 from gleaner.llm.common import written
 from gleaner.llm.decontaminate import decontaminate
 from gleaner.llm.minhash import keep_one
@@ -51,10 +51,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and whether decoding gives the text back."""
-    path = tokenizer_path()
-    coded = decode_ids(encode_texts(docs.select("doc_id", "text"), "text", path), "ids", path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    coded = encode_and_decode(docs, "text", tokenizer_path(), keep=["doc_id"], compare=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
