@@ -1,4 +1,7 @@
-"""Joins. Sides are never broadcast by hand unless their size is bounded; hot keys are salted."""
+"""Joins. Catalyst picks the strategy and adaptive execution splits skewed keys; nothing is broadcast by hand.
+
+``piece_rows`` asks for a salted join: keys with more rows than that, on either side, are spread over several tasks.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.plans.skew import salted_join
+from gleaner.plans.skew import equi_join
 
 
 def with_suffixes(left: DataFrame, right: DataFrame, keep: list[str], suffixes=("_x", "_y")) -> tuple[DataFrame, DataFrame]:
@@ -19,33 +22,33 @@ def with_suffixes(left: DataFrame, right: DataFrame, keep: list[str], suffixes=(
     )
 
 
-def inner_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], suffixes=("_x", "_y")) -> DataFrame:
+def inner_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], suffixes=("_x", "_y"), piece_rows: int | None = None) -> DataFrame:
     """Inner join on differently named keys; clashing names get suffixes."""
     left, right = with_suffixes(left, right, [k for p in pairs for k in p], suffixes)
-    return salted_join(left, right, pairs, "inner")
+    return equi_join(left, right, pairs, "inner", piece_rows=piece_rows)
 
 
-def left_enrich(left: DataFrame, right: DataFrame, on: str | list[str]) -> DataFrame:
-    return salted_join(left, right, on, "left")
+def left_enrich(left: DataFrame, right: DataFrame, on: str | list[str], piece_rows: int | None = None) -> DataFrame:
+    return equi_join(left, right, on, "left", piece_rows=piece_rows)
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", piece_rows: int | None = None) -> DataFrame:
     """Join on several keys where a missing key matches a missing key."""
-    return salted_join(left, right, keys, how, null_safe=True)
+    return equi_join(left, right, keys, how, null_safe=True, piece_rows=piece_rows)
 
 
 def keys_of(df: DataFrame, key: str, name: str | None = None) -> DataFrame:
     return df.select(F.col(key).alias(name or key)).distinct()
 
 
-def keep_known(left: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+def keep_known(left: DataFrame, other: DataFrame, key: str, other_key: str | None = None, piece_rows: int | None = None) -> DataFrame:
     """Rows whose key occurs in ``other``; the key list is made distinct before it moves."""
-    return salted_join(left, keys_of(other, other_key or key, key), key, "left_semi")
+    return equi_join(left, other.select(F.col(other_key or key).alias(key)), key, "left_semi", piece_rows=piece_rows)
 
 
-def keep_unknown(left: DataFrame, other: DataFrame, key: str, other_key: str | None = None) -> DataFrame:
+def keep_unknown(left: DataFrame, other: DataFrame, key: str, other_key: str | None = None, piece_rows: int | None = None) -> DataFrame:
     """Rows whose key does not occur in ``other``."""
-    return salted_join(left, keys_of(other, other_key or key, key), key, "left_anti")
+    return equi_join(left, other.select(F.col(other_key or key).alias(key)), key, "left_anti", piece_rows=piece_rows)
 
 
 def membership_flags(sources: dict[str, DataFrame], key: str) -> DataFrame:
@@ -63,7 +66,7 @@ def membership_flags(sources: dict[str, DataFrame], key: str) -> DataFrame:
 def lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, out: str) -> DataFrame:
     """A value by key from a table with one row per key; a missing key gives null."""
     pairs = table.select(F.col(table_key).alias("_key"), F.col(value).alias(out))
-    return salted_join(df, pairs, [(key, "_key")], "left").drop("_key")
+    return equi_join(df, pairs, [(key, "_key")], "left").drop("_key")
 
 
 def differs(a: Column | str, b: Column | str) -> Column:
@@ -78,7 +81,7 @@ def mismatches(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def align_fill(df: DataFrame, sparse: DataFrame, key: str, value: str, default: object) -> DataFrame:
     """Carry a sparse result back to all rows, with a default elsewhere."""
-    joined = salted_join(df, sparse.select(key, value), key, "left")
+    joined = equi_join(df, sparse.select(key, value), key, "left")
     return joined.withColumn(value, F.coalesce(F.col(value), F.lit(default)))
 
 

@@ -1,4 +1,8 @@
-"""Joins that stay balanced when one key holds a large part of the rows, on either side."""
+"""Equi joins. Adaptive execution splits skewed keys of a plain join by itself; salting is for where it cannot.
+
+It cannot where the rows go on by the same key without another shuffle, or where both sides of a key are so hot that
+one task cannot hold their product.
+"""
 
 from __future__ import annotations
 
@@ -29,7 +33,8 @@ def row_salt(df: DataFrame, pieces: Column) -> Column:
     """A number below ``pieces`` from the row and the input partition it comes from.
 
     Equal rows of different partitions differ in it, and a partition that runs again gives its rows the same
-    numbers, in whatever order they come.
+    numbers, in whatever order they come. Equal rows of one partition get one number, so a piece may
+    exceed its share by what one input partition holds.
     """
     return F.pmod(F.xxhash64(F.spark_partition_id(), *[F.col(f"`{c}`") for c in df.columns]), pieces).cast("int")
 
@@ -47,6 +52,32 @@ def _with_pieces(df: DataFrame, keys: list[str], hot: DataFrame, hot_keys_: list
     return joined.withColumn(out, F.coalesce(f"{out}_n", F.lit(1))).drop(*marks, f"{out}_n")
 
 
+def equi_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: str | list[str] | list[tuple[str, str]],
+    how: str = "inner",
+    null_safe: bool = False,
+    piece_rows: int | None = None,
+) -> DataFrame:
+    """A plain equi join, or with ``piece_rows`` a salted one; the columns are the same.
+
+    ``on`` names shared columns, or (left, right) pairs; shared names come out once, pairs keep both columns. Semi and
+    anti joins need each right key once, so their right side is made distinct ahead of its shuffle.
+    """
+    if piece_rows is not None:
+        return salted_join(left, right, on, how, null_safe, piece_rows)
+    pairs = [(n, n) if isinstance(n, str) else tuple(n) for n in ([on] if isinstance(on, str) else on)]
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*[b for _, b in pairs]).distinct()
+    renamed = {b: f"_r{i}" for i, (_, b) in enumerate(pairs)}
+    right = right.withColumnsRenamed(renamed)
+    out = left.join(right, _match(left, right, [(a, renamed[b]) for a, b in pairs], null_safe), how)
+    if how in ("left_semi", "left_anti"):
+        return out
+    return out.drop(*[renamed[b] for a, b in pairs if a == b]).withColumnsRenamed({renamed[b]: b for a, b in pairs if a != b})
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import aggregates, cards, dedupe, joins, markdown, ordering, overlap, search
 from gleaner.operators.filters import record_profile
 from gleaner.plans import ordered
-from gleaner.plans.skew import hot_keys, row_salt, salted_join
+from gleaner.plans.skew import equi_join, hot_keys, row_salt, salted_join
 from gleaner.schemas import CARD_SLOTS
 from gleaner.sources import files, searches, tables
 
@@ -41,8 +41,9 @@ def test_salted_join_is_exact(spark, skewed, how, null_safe):
             want += [(i, k, v, n) for n in found] or ([(i, k, v, None)] if how == "left" else [])
         elif bool(found) == (how == "left_semi"):
             want.append((i, k, v))
-    got = salted_join(left, right, "key", how, null_safe=null_safe, piece_rows=50)
-    assert sorted(map(str, rows(got))) == sorted(map(str, want))
+    plain, salted = (equi_join(left, right, "key", how, null_safe=null_safe, piece_rows=n) for n in (None, 50))
+    assert plain.columns == salted.columns
+    assert sorted(map(str, rows(plain))) == sorted(map(str, rows(salted))) == sorted(map(str, want))
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
@@ -56,6 +57,16 @@ def test_salted_join_of_hot_right_and_equal_rows(spark, how, null_safe):
     assert sorted(map(str, rows(got))) == sorted(map(str, rows(want)))
 
 
+def test_a_plain_join_moves_each_side_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        left, right = spark.range(50).withColumnRenamed("id", "a"), spark.range(60).withColumnRenamed("id", "b")
+        plan = equi_join(left, right, [("a", "b")])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 and "Aggregate" not in plan
+
+
 def test_salted_join_spreads_the_hot_key(spark, skewed):
     _, left = skewed
     assert [(r.key, r.pieces) for r in hot_keys(left, ["key"], 300).filter("key is not null").collect()] == [(7, 4)]
