@@ -149,13 +149,21 @@ EARTH_MILES = 3958.7613  # mean radius
 MILES_PER_DEGREE = 69.0  # slightly short, so the box below is slightly wide
 
 
-def within_miles(lat: Column | str, lon: Column | str, centre: tuple[float, float], miles: float) -> Column:
+def within_miles(lat: Column | str, lon: Column | str, centre: tuple[float | Column, float | Column], miles: float | Column) -> Column:
     """Great-circle distance test behind a plain latitude range, which a Parquet scan can skip on."""
     lat, lon = _col(lat), _col(lon)
-    clat, clon = centre
-    reach = miles / MILES_PER_DEGREE
-    half = F.pow(F.sin(F.radians(lat - F.lit(clat)) / 2), 2) + F.cos(F.radians(F.lit(clat))) * F.cos(
-        F.radians(lat)
-    ) * F.pow(F.sin(F.radians(lon - F.lit(clon)) / 2), 2)
+    clat, clon, miles = (x if isinstance(x, Column) else F.lit(x) for x in (*centre, miles))
+    reach = miles / F.lit(MILES_PER_DEGREE)
+    half = F.pow(F.sin(F.radians(lat - clat) / 2), 2) + F.cos(F.radians(clat)) * F.cos(F.radians(lat)) * F.pow(F.sin(F.radians(lon - clon) / 2), 2)
     near = lat.between(clat - reach, clat + reach)
-    return two_valued(near & (F.lit(2 * EARTH_MILES) * F.asin(F.sqrt(half)) <= F.lit(miles)))
+    return two_valued(near & (F.lit(2 * EARTH_MILES) * F.asin(F.sqrt(half)) <= miles))
+
+
+def address_parts(c: Column | str) -> Column:
+    """The parts of a comma-separated address, in lower case."""
+    return F.transform(F.split(_col(c), ","), lambda x: F.lower(F.trim(x)))
+
+
+def at_address(location: Column | str, names: Column) -> Column:
+    """Every name is a part of the address, ignoring case; no names match any address."""
+    return two_valued(F.size(F.array_except(F.transform(names, F.lower), F.coalesce(address_parts(location), F.array().cast("array<string>")))) == 0)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import masks
 from gleaner.operators import filters as ops
+from gleaner.operators import search_index
 from gleaner.operators.joins import keep_known
 from gleaner.queries import Tables, query
 from gleaner.queries.standins import JOBS, LABELLED, ORDER_BRANDS, POSTINGS, jobs, labelled, order_brands, postings, with_cte
-from gleaner.sources.searches import matching_searches
+from gleaner.sources.searches import catalog, matching_searches, search_url
 
 
 @query("project_cols", "SELECT doc_id, lang, source FROM documents")
@@ -208,6 +209,73 @@ def _(t: Tables) -> DataFrame:
     return matching_searches(base, SEARCHES, date(1999, 1, 1), columns).select("hash", "search")
 
 
+def _placed(t: Tables) -> DataFrame:
+    """Posting facts with a point and an address, from parts."""
+    size = F.col("p_size")
+    return t.part.select(
+        F.col("p_partkey").alias("hash"), F.when(size % 7 != 0, size).alias("yoe"), F.array("p_type").alias("industries"), F.col("p_name").alias("title"),
+        F.when(size < 20, "Remote").otherwise("Onsite").alias("workplace"), (F.lit(36.5) + size / 20.0).alias("lat"),
+        (F.lit(-123.5) + (F.col("p_partkey") % 60) / 20.0).alias("lon"), F.concat("p_brand", F.lit(", California, United States")).alias("address"),
+        F.when(size % 3 == 0, "Full Time").when(size % 3 == 1, "Contract").otherwise("Part Time").alias("commitment"),
+        F.date_add(F.lit(date(1997, 6, 1)), size * 20).cast("timestamp_ntz").alias("published"),
+    )
+
+
+def _many_searches(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """A saved search per customer, as a URL, and the word groups of the title queries: two words of a part's name."""
+    n, key = F.col("c_nationkey"), F.col("c_custkey")
+    names = t.part.select(F.col("p_partkey").alias("part"), "p_name")
+    query = F.when(key % 2 == 0, F.replace("p_name", F.lit(" "), F.lit("+AND+")))
+    state = F.struct(F.lit("United+States").alias("long_name"))
+    point = F.struct(F.struct((F.lit(36.5) + n / 10).alias("lat"), F.lit(-122.4).alias("lon")).alias("location"))
+
+    def place(types: str, around: bool) -> Column:
+        names = F.array(F.struct(F.concat(F.lit("brand#"), n).alias("long_name")), state)
+        return F.struct(
+            F.array(F.lit(types)).alias("workplace_types"), F.when(F.lit(around), point).alias("geometry"),
+            F.struct(F.when(F.lit(around), n + 5).alias("radius")).alias("options"), F.when(F.lit(not around), names).alias("address_components"),
+        )
+
+    places = F.when(key % 3 == 0, F.array(place("Onsite", True), place("Remote", False))).when(key % 3 == 1, F.array(place("Remote", False)))
+    search = F.struct(
+        query.alias("jobTitleQuery"), F.array(n % 10, n % 10 + 4).alias("roleYoeRange"),
+        F.when(key % 5 == 0, F.array(F.lit("Full+Time"), F.lit("Contract"))).alias("commitmentTypes"),
+        F.when(key % 5 == 1, F.array(F.lit("PROMO"), F.lit("STANDARD"))).alias("industries"),
+        F.when(key % 7 == 0, 900).alias("dateFetchedPastNDays"), places.alias("locations"),
+    )
+    made = t.customer.join(names, F.col("c_custkey") == F.col("part"), "left").select(
+        key.cast("string").alias("name"), search_url(F.to_json(search), "https://jobs.example/?searchState=").alias("url")
+    )
+    words = F.transform(F.split("p_name", " "), lambda w: F.array(w))
+    groups = names.select(F.replace("p_name", F.lit(" "), F.lit("+AND+")).alias("query"), words.alias("any_of"), F.array(F.lit("hex")).alias("none_of"))
+    return catalog(made), groups.distinct()
+
+
+@query(
+    "saved_search_index",
+    with_cte(
+        """SELECT hash, c_custkey::VARCHAR AS search FROM base JOIN searches ON coalesce(yoe, 0) BETWEEN n % 10 AND n % 10 + 4
+  AND (c_custkey % 2 <> 0 OR p_name IS NULL OR (list_has_all(string_split(title, ' '), string_split(p_name, ' ')) AND NOT list_contains(string_split(title, ' '), 'hex')))
+  AND (c_custkey % 5 <> 0 OR commitment IN ('Full Time', 'Contract')) AND (c_custkey % 5 <> 1 OR industry IN ('PROMO', 'STANDARD'))
+  AND (c_custkey % 7 <> 0 OR published >= TIMESTAMP '1999-01-01' - INTERVAL 900 DAY)
+  AND (c_custkey % 3 = 2 OR (workplace = 'Remote' AND address = 'Brand#' || n || ', California, United States')
+    OR (c_custkey % 3 = 0 AND workplace = 'Onsite' AND 2 * 3958.7613 * asin(sqrt(pow(sin(radians(lat - (36.5::DOUBLE + n / 10.0::DOUBLE)) / 2), 2)
+      + cos(radians(36.5::DOUBLE + n / 10.0::DOUBLE)) * cos(radians(lat)) * pow(sin(radians(lon + 122.4::DOUBLE) / 2), 2))) <= n + 5))""",
+        """base AS (SELECT p_partkey AS hash, CASE WHEN p_size % 7 <> 0 THEN p_size END AS yoe, p_type AS industry, p_name AS title,
+  CASE WHEN p_size < 20 THEN 'Remote' ELSE 'Onsite' END AS workplace, 36.5::DOUBLE + p_size / 20.0::DOUBLE AS lat,
+  -123.5::DOUBLE + (p_partkey % 60) / 20.0::DOUBLE AS lon, p_brand || ', California, United States' AS address,
+  CASE WHEN p_size % 3 = 0 THEN 'Full Time' WHEN p_size % 3 = 1 THEN 'Contract' ELSE 'Part Time' END AS commitment,
+  TIMESTAMP '1997-06-01' + INTERVAL (p_size * 20) DAY AS published FROM part)""",
+        "searches AS (SELECT c_custkey, c_nationkey AS n, p_name FROM customer LEFT JOIN part ON c_custkey = p_partkey)",
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    searches, groups = _many_searches(t)
+    columns = {c: c for c in ("yoe", "industries", "title", "workplace", "lat", "lon", "address", "commitment", "published")}
+    found = search_index.matching(_placed(t), "hash", columns, search_index.compiled(searches, groups), date(1999, 1, 1))
+    return found.select(F.col("key").alias("hash"), F.col("name").alias("search"))
+
+
 @query(
     "term_group_filter",
     r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^\pL\pN_])(the|die|la)($|[^\pL\pN_])', 'i')
@@ -219,9 +287,6 @@ def _(t: Tables) -> DataFrame:
     return t.documents.filter(mask).select("doc_id")
 
 
-
-
-
 @query(
     "geo_radius_filter",
     """WITH g AS (SELECT p_partkey, 36.5::DOUBLE + p_size / 20.0::DOUBLE AS lat, -123.5::DOUBLE + (p_partkey % 60) / 20.0::DOUBLE AS lon FROM part)
