@@ -9,6 +9,7 @@ from gleaner.functions import masks
 from gleaner.functions.text import dictionary_hits
 from gleaner.operators import joins as ops
 from gleaner.operators import overlap
+from gleaner.operators.dictionary import long_dictionary_hits
 from gleaner.queries import Tables, query
 from gleaner.queries.standins import KEY_SETS, LABELLED, key_sets, labelled, with_cte
 
@@ -98,6 +99,29 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(F.coalesce(dictionary_hits("text", WORDS), F.array()), "|").alias("hits"))
 
 
+_PAIRS = r"""pairs AS (SELECT DISTINCT ws[i] || ' ' || ws[i + 1] AS term FROM (SELECT string_split(text, ' ') AS ws FROM benchmark), unnest(range(1, len(ws))) AS u(i)
+    UNION SELECT DISTINCT ws[i] FROM (SELECT string_split(text, ' ') AS ws FROM benchmark), unnest(range(1, len(ws))) AS u(i) WHERE length(ws[i]) > 6)"""
+
+
+@query(
+    "long_dictionary_match",
+    with_cte(
+        """SELECT doc_id, array_to_string(list_filter(regexp_extract_all(text, (SELECT string_agg(regexp_escape(term), '|' ORDER BY length(term) DESC, term) FROM pairs)), lambda x: x <> ''), '|') AS hits
+FROM documents""",
+        _PAIRS,
+    ),
+)
+def _(t: Tables) -> DataFrame:
+    words = F.split("text", " ")
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    longer = F.filter(F.slice(words, 1, F.size(words) - 1), lambda w: F.length(w) > 6)
+    terms = t.benchmark.select(F.explode(F.concat(F.filter(pairs, lambda p: p.isNotNull()), longer)).alias("term")).distinct()
+    # long terms first, so that a pair stands ahead of its first word
+    places = terms.withColumn("rank", -F.length("term"))
+    found = long_dictionary_hits(t.documents.select("doc_id", "text"), "doc_id", "text", places)
+    return found.select("doc_id", F.coalesce(F.array_join("hits", "|"), F.lit("")).alias("hits"))
+
+
 @query("align_fill", with_cte("SELECT doc_id, coalesce(quality, -1) AS quality FROM labelled", LABELLED))
 def _(t: Tables) -> DataFrame:
     return ops.align_fill(t.documents.select("doc_id"), t.labels, "doc_id", "quality", -1)
