@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,3 +138,30 @@ def format_location(loc: Column) -> Column:
         F.concat(F.lit(" - "), options["radius"].cast("string"), F.lit(" "), options["radius_unit"]),
     ).otherwise(F.lit(""))
     return F.concat(name, radius, F.lit(". "), F.array_join(loc["workplace_types"], " | "))
+
+
+def bound(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once per row, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
+#: elements summed in one go by ``sums_before``
+STRETCH = 128
+
+
+def sums_before(sizes: Column) -> Column:
+    """For every element of a list of numbers the sum of those ahead of it.
+
+    Sums of stretches first, then within a stretch: a list of n numbers costs n * STRETCH steps, not n * n.
+    """
+    def of(c: Column) -> Column:
+        add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+        starts = F.sequence(F.lit(0), F.greatest(F.size(c) - 1, F.lit(0)), F.lit(STRETCH))
+        pieces = F.transform(starts, lambda at: add(F.slice(c, at + 1, STRETCH)))
+        ahead = lambda ps: F.transform(ps, lambda _, k: add(F.slice(ps, 1, k)))
+        within = lambda hs: F.transform(
+            c, lambda _, i: F.get(hs, F.floor(i / STRETCH).cast("int")) + add(F.slice(c, (F.floor(i / STRETCH) * STRETCH + 1).cast("int"), i % STRETCH))
+        )
+        return bound(pieces, lambda ps: bound(ahead(ps), within))
+
+    return bound(sizes, of)

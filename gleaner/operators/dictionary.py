@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.values import bound
+
 #: first characters that a term is looked up by
 GRAM = 4
 #: characters that the first word of a term may have
@@ -56,11 +58,6 @@ def _quoted(c: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def _bound(value: Column, fn) -> Column:
-    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 def alternation(terms: Column, depth: int = 4) -> Column:
     """A pattern that tries ``terms`` in their order, those with the same first characters together; null without terms.
 
@@ -73,7 +70,7 @@ def alternation(terms: Column, depth: int = 4) -> Column:
             return plain
         heads = F.array_distinct(F.transform(rests, lambda t: F.substring(t, 1, 1)))
         after = lambda h: F.transform(F.filter(rests, lambda t: F.startswith(t, h)), lambda t: F.substring(t, F.lit(2), F.length(t)))
-        groups = F.transform(heads, lambda h: F.concat(_quoted(h), F.lit("(?:"), _bound(after(h), lambda r: tried(r, level - 1)), F.lit(")")))
+        groups = F.transform(heads, lambda h: F.concat(_quoted(h), F.lit("(?:"), bound(after(h), lambda r: tried(r, level - 1)), F.lit(")")))
         return F.when((F.size(rests) < 2) | F.exists(rests, lambda t: t == ""), plain).otherwise(F.array_join(groups, "|"))
 
     return F.when(F.size(terms) > 0, F.concat(F.lit("("), tried(terms, depth), F.lit(")")))
@@ -97,6 +94,6 @@ def long_dictionary_hits(df: DataFrame, key: str, text: str, terms: DataFrame, t
     found = found.groupBy("key_of").agg(F.collect_set(F.struct("rank", "term")).alias("terms_of"))
     joined = df.join(found, df[key].eqNullSafe(found["key_of"]), "left")
     present = F.transform(F.filter(F.array_sort("terms_of"), lambda t: F.contains(F.col(text), t["term"])), lambda t: t["term"])
-    hits = F.regexp_extract_all(F.col(text), _bound(present, lambda p: alternation(p)), F.lit(1))
+    hits = F.regexp_extract_all(F.col(text), bound(present, lambda p: alternation(p)), F.lit(1))
     kept = [c for c in df.columns if c != out]
     return joined.select(*[df[c] for c in kept], hits.alias(out))

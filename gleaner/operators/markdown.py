@@ -1,7 +1,7 @@
 """Markdown documents as tables of lines and blocks.
 
-Windows run inside one document, whose text was a single row to begin with. All steps use the same
-partitioning by document, so a document's lines shuffle once.
+A document's lines, their kinds and its blocks are lists within its row: everything that looks at the line or block next to
+another is a lookup in such a list. Rows are exploded at the end, and no step shuffles or sorts.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.values import bound, sums_before
+
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
 ITEM = r"^ {0,3}([-*+]|\d{1,9}[.)])[ \t]+(.*)$"
 RULE = r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$"
@@ -28,28 +30,44 @@ def md_lines(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(doc, F.posexplode(kept_lines(text)).alias("line", "text"))
 
 
-def _classified(lines: DataFrame, doc: str) -> DataFrame:
-    """Kind of each line, front matter included, and whether it opens a block."""
-    by_line = Window.partitionBy(doc).orderBy("line")
-    sofar = by_line.rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("text").rlike(r"^---\s*$")
-    df = lines.withColumn("_first", F.first("text").over(sofar).rlike(r"^---\s*$"))
-    df = df.withColumn("_fences", F.sum(fence.cast("int")).over(sofar))
-    total = F.sum(fence.cast("int")).over(Window.partitionBy(doc))
-    df = df.withColumn("_closed", F.col("_first") & (total >= 2))
-    front = F.col("_closed") & ((F.col("_fences") == 1) | ((F.col("_fences") == 2) & fence))
-    kind = (
-        F.when(front, "front").when(F.col("text").rlike(r"^\s*$"), "blank").when(F.col("text").rlike(HEADING), "h")
-        .when(F.col("text").rlike(RULE), "hr").when(F.col("text").rlike(ITEM), "li").otherwise("p")
+def _kinds(lines: Column) -> Column:
+    """Kind of each line. Front matter reaches from a fence on the first line to the next fence, if there is one."""
+    fence = lambda x: x.rlike(r"^---\s*$")
+    closing = F.array_position(F.transform(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), fence), True)
+    front = F.when(fence(F.get(lines, F.lit(0))) & (closing > 0), closing).otherwise(F.lit(-1))
+
+    def kind(x: Column, last: Column, i: Column) -> Column:
+        return (
+            F.when(i <= last, "front").when(x.rlike(r"^\s*$"), "blank").when(x.rlike(HEADING), "h")
+            .when(x.rlike(RULE), "hr").when(x.rlike(ITEM), "li").otherwise("p")
+        )
+
+    return bound(front, lambda last: F.transform(lines, lambda x, i: kind(x, last, i)))
+
+
+def _openings(kinds: Column) -> Column:
+    """Numbers of the lines that open a block."""
+    def opens(k: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(kinds, i - 1))
+        fresh = before.isNull() | before.isin("blank", "h", "hr", "front")
+        return k.isin("h", "hr", "li") | ((k == "front") & (i == 0)) | ((k == "p") & fresh)
+
+    return F.array_compact(F.transform(kinds, lambda k, i: F.when(opens(k, i), i)))
+
+
+def _body(kind: Column, line: Column) -> Column:
+    """What a line adds to its block's content; null for nothing."""
+    return (
+        F.when(kind == "h", F.regexp_extract(line, HEADING, 2)).when(kind == "li", F.regexp_extract(line, ITEM, 2))
+        .when(kind.isin("hr", "front", "blank"), F.lit(None).cast("string")).otherwise(F.trim(line))
     )
-    df = df.withColumn("_kind", kind)
-    before = F.lag("_kind").over(by_line)
-    opens = (
-        F.col("_kind").isin("h", "hr", "li")
-        | ((F.col("_kind") == "front") & (F.col("line") == 0))
-        | ((F.col("_kind") == "p") & (before.isNull() | before.isin("blank", "h", "hr", "front")))
+
+
+def _mark(kind: Column, line: Column) -> Column:
+    return (
+        F.when(kind == "h", F.regexp_extract(line, HEADING, 1)).when(kind == "li", F.regexp_replace(F.regexp_extract(line, ITEM, 1), r"\d+", ""))
+        .when(kind.isin("hr", "front"), F.lit("---")).otherwise(F.lit(""))
     )
-    return df.withColumn("_opens", opens).withColumn("_block", F.sum(F.col("_opens").cast("int")).over(sofar))
 
 
 def block_agg(lines: DataFrame, doc: str, block: str, order: str, tag: str, text: str) -> DataFrame:
@@ -63,93 +81,111 @@ def block_agg(lines: DataFrame, doc: str, block: str, order: str, tag: str, text
     )
 
 
-def md_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """One row per block: begin line, token count, tag, markup, content.
+def blocks_of(text: Column | str) -> Column:
+    """The blocks of a text in order: structs of begin line, token count, tag, markup, content and whether a list follows.
 
     A list item is ``li``; the last item of a list counts as ``ul`` (``ol`` when numbered), since its
     closing marks share the block. Rules cover front matter, headings, rules, list items with lazy
-    continuation lines, and paragraphs.
+    continuation lines, and paragraphs. Lines ahead of the first block are blank; a null text has no blocks.
     """
-    lines = _classified(md_lines(df, doc, text), doc).filter((F.col("_kind") != "blank") & (F.col("_block") > 0))
-    body = (
-        F.when(F.col("_kind") == "h", F.regexp_extract("text", HEADING, 2))
-        .when(F.col("_kind") == "li", F.regexp_extract("text", ITEM, 2))
-        .when(F.col("_kind").isin("hr", "front"), F.lit(None).cast("string")).otherwise(F.trim("text"))
-    )
-    mark = (
-        F.when(F.col("_kind") == "h", F.regexp_extract("text", HEADING, 1))
-        .when(F.col("_kind") == "li", F.regexp_replace(F.regexp_extract("text", ITEM, 1), r"\d+", ""))
-        .when(F.col("_kind").isin("hr", "front"), F.lit("---")).otherwise(F.lit(""))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("line", F.col("_body").alias("t"))))
-    blocks = (
-        lines.withColumn("_body", body).withColumn("_mark", mark).groupBy(doc, "_block")
-        .agg(
-            F.min("line").alias("begin"),
-            F.min_by("_kind", "line").alias("_kind"),
-            F.min_by("_mark", "line").alias("markup"),
-            F.array_join(F.transform(ordered, lambda x: x["t"]), "\n").alias("content"),
-        )
-    )
-    by_block = Window.partitionBy(doc).orderBy("begin")
-    item = F.struct("_kind", "markup")
-    is_item = F.col("_kind") == "li"
-    first = is_item & ~F.coalesce(F.lag(item).over(by_block) == item, F.lit(False))
-    last = is_item & ~F.coalesce(F.lead(item).over(by_block) == item, F.lit(False))
-    list_tag = F.when(F.col("markup").isin("-", "*", "+"), "ul").otherwise("ol")
-    blocks = blocks.withColumn("_is_last", last).withColumn("_is_first", first)
-    tag = (
-        F.when(F.col("_is_last"), list_tag)
-        .when(F.col("_kind") == "h", F.concat(F.lit("h"), F.length("markup").cast("string")))
-        .when(F.col("_kind") == "front", F.lit("")).otherwise(F.col("_kind"))
-    )
-    size = (
-        F.when(is_item, 5 + F.col("_is_first").cast("int") + F.col("_is_last").cast("int"))
-        .when(F.col("_kind").isin("hr", "front"), 1).otherwise(3)
-    )
-    return blocks.select(doc, "begin", size.cast("bigint").alias("len"), tag.alias("tag"), "markup", "content")
+    def cut(lines: Column, kinds: Column, starts: Column) -> Column:
+        bodies = F.zip_with(kinds, lines, _body)
+
+        def raw(bodies: Column) -> Column:
+            def block(at: Column, k: Column) -> Column:
+                end = F.coalesce(F.get(starts, k + 1), F.size(lines))
+                kind, line = F.get(kinds, at), F.get(lines, at)
+                content = F.array_join(F.slice(bodies, at + 1, end - at), "\n")
+                return F.struct(at.alias("begin"), kind.alias("kind"), _mark(kind, line).alias("markup"), content.alias("content"))
+
+            return F.transform(starts, block)
+
+        return bound(bodies, raw)
+
+    def tagged(blocks: Column) -> Column:
+        def one(b: Column, k: Column) -> Column:
+            is_item = b["kind"] == "li"
+            alike = lambda o: F.coalesce((o["kind"] == "li") & (o["markup"] == b["markup"]), F.lit(False))
+            first = is_item & ~F.when(k > 0, alike(F.get(blocks, k - 1))).otherwise(False)
+            last = is_item & ~alike(F.get(blocks, k + 1))
+            tag = (
+                F.when(last, F.when(b["markup"].isin("-", "*", "+"), "ul").otherwise("ol"))
+                .when(b["kind"] == "h", F.concat(F.lit("h"), F.length(b["markup"]).cast("string")))
+                .when(b["kind"] == "front", F.lit("")).otherwise(b["kind"])
+            )
+            size = F.when(is_item, 5 + first.cast("int") + last.cast("int")).when(b["kind"].isin("hr", "front"), 1).otherwise(3)
+            return F.struct(b["begin"].alias("begin"), size.cast("bigint").alias("len"), tag.alias("tag"), b["markup"].alias("markup"), b["content"].alias("content"))
+
+        return F.transform(blocks, one)
 
+    def followed(blocks: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(blocks, k + 1)["tag"].isin("ul", "li"), F.lit(False))
+        return F.transform(blocks, lambda b, k: F.struct(*[b[c].alias(c) for c in ("begin", "len", "tag", "markup", "content")], after(k).alias("list_next")))
 
-def md_line_text(blocks: DataFrame, doc: str) -> DataFrame:
+    whole = lambda lines: bound(_kinds(lines), lambda kinds: bound(_openings(kinds), lambda starts: cut(lines, kinds, starts)))
+    return bound(bound(bound(kept_lines(text), whole), tagged), followed)
+
+
+_BLOCK = ("begin", "len", "tag", "markup", "content")
+
+
+def md_blocks(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """One row per block: begin line, token count, tag, markup, content."""
+    return df.select(doc, F.inline(blocks_of(text))).select(doc, *_BLOCK)
+
+
+def _rebuilt(b: Column) -> tuple[Column, Column]:
+    """A block's lines as written, and condensed."""
+    newline = F.lit("\n")
+    full = F.concat(F.regexp_replace(F.concat(b["markup"], F.lit(" "), b["content"]), r"(?U)^\s+", ""), F.when(b["tag"] == "li", F.lit("")).otherwise(newline))
+    short = F.concat(b["content"], F.when(b["tag"].isin("li", "h2") | b["list_next"], F.lit("")).otherwise(newline))
+    return F.split(full, "\n"), F.split(short, "\n")
+
+
+def _with_lines(blocks: Column) -> Column:
+    def one(b: Column) -> Column:
+        markdown, condensed = _rebuilt(b)
+        return F.struct(*[b[c].alias(c) for c in (*_BLOCK, "list_next")], markdown.alias("markdown"), condensed.alias("condensed"))
+
+    return F.transform(blocks, one)
+
+
+def md_line_text(df: DataFrame, doc: str, text: str) -> DataFrame:
     """Blocks with their lines rebuilt: ``markdown`` as written, ``condensed`` without the blank line
     after a heading, an item, or ahead of a list."""
-    by_block = Window.partitionBy(doc).orderBy("begin")
-    list_next = F.coalesce(F.lead("tag").over(by_block).isin("ul", "li"), F.lit(False))
-    newline = F.lit("\n")
-    full = F.concat(
-        F.regexp_replace(F.concat("markup", F.lit(" "), "content"), r"(?U)^\s+", ""),
-        F.when(F.col("tag") == "li", F.lit("")).otherwise(newline),
-    )
-    short = F.concat(
-        "content", F.when(F.col("tag").isin("li", "h2") | F.col("list_next"), F.lit("")).otherwise(newline)
-    )
-    return blocks.withColumn("list_next", list_next).withColumn("markdown", F.split(full, "\n")).withColumn(
-        "condensed", F.split(short, "\n")
-    )
+    return df.select(doc, F.inline(_with_lines(blocks_of(text))))
 
 
-def md_explode(blocks: DataFrame, doc: str) -> DataFrame:
-    """One row per rebuilt line: ``i`` within the block, ``line`` from 1, and the condensed line or null."""
-    rows = md_line_text(blocks, doc).select("*", F.posexplode("markdown").alias("i", "_line_text"))
-    return rows.select(
-        doc, "begin", "len", "tag", "markup", "list_next", "i", (F.col("begin") + F.col("i") + 1).alias("line"),
-        F.col("_line_text").alias("markdown"), F.get("condensed", F.col("i")).alias("condensed"),
-    )
+def md_explode(df: DataFrame, doc: str, text: str) -> DataFrame:
+    """One row per rebuilt line: ``i`` within the block, ``line`` from 1, and the condensed line or null.
+
+    ``place`` is the line's place in its document, from 1; ``gap`` counts the empty lines of list ends up to an own one.
+    """
+    def lines(b: Column, ahead: Column, gaps: Column) -> Column:
+        gap = lambda x: (b["tag"] == "ul") & (F.length(x) == 0)
+        return F.transform(b["markdown"], lambda x, i: F.struct(
+            *[b[c].alias(c) for c in ("begin", "len", "tag", "markup", "list_next")], i.alias("i"), (b["begin"] + i + 1).alias("line"),
+            x.alias("markdown"), F.get(b["condensed"], i).alias("condensed"), (ahead + i + 1).cast("int").alias("place"),
+            F.when(gap(x), gaps + F.size(F.filter(F.slice(b["markdown"], 1, i + 1), gap))).alias("gap"),
+        ))
+
+    def rows(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.size(b["markdown"]))
+        gaps = F.transform(blocks, lambda b: F.when(b["tag"] == "ul", F.size(F.filter(b["markdown"], lambda x: F.length(x) == 0))).otherwise(0))
+        made = lambda n, g: F.flatten(F.transform(blocks, lambda b, k: lines(b, F.get(n, k), F.get(g, k))))
+        return bound(sums_before(sizes), lambda n: bound(sums_before(gaps), lambda g: made(n, g)))
+
+    return df.select(doc, F.inline(bound(_with_lines(blocks_of(text)), rows)))
 
 
-def md_style(rows: DataFrame, doc: str, resume: bool = False, pagebreak: bool = False) -> DataFrame:
-    """Style label of each line; later rules win. ``pagebreak`` marks the third empty line of lists."""
+def md_style(rows: DataFrame, resume: bool = False, pagebreak: bool = False) -> DataFrame:
+    """Style label of each line of ``md_explode``; later rules win. ``pagebreak`` marks the third empty line of lists."""
     first = F.col("i") == 0
-    style = F.when(F.col("tag").isin("ul", "li") & first, "List Bullet").when(
-        (F.col("tag") == "h2") & first, "Heading 2"
-    ).otherwise("Normal")
-    by_line = Window.partitionBy(doc).orderBy("begin", "i")
+    style = F.when(F.col("tag").isin("ul", "li") & first, "List Bullet").when((F.col("tag") == "h2") & first, "Heading 2").otherwise("Normal")
     if pagebreak:
-        gap = (F.col("tag") == "ul") & (F.length("markdown") == 0)
-        seen = F.sum(gap.cast("int")).over(by_line.rowsBetween(Window.unboundedPreceding, 0))
-        style = F.when(gap & (seen == 3), "_pagebreak").otherwise(style)
+        style = F.when(F.col("gap") == 3, "_pagebreak").otherwise(style)
     if resume:
-        row = F.row_number().over(by_line)
+        row = F.col("place")
         style = F.when(row == 1, "title").when(row == 2, "subtitle").when(row == 4, "Heading 2").otherwise(style)
     return rows.withColumn("style", style)
 

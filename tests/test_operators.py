@@ -344,3 +344,21 @@ def test_listings_keep_the_last_snapshot(spark, tmp_path):
     assert sorted((r.hash, r.chash, r.company, r.lower, r.hours, r.bay, r._len, str(r.snapshot_date)) for r in got) == [
         ("k1", "co", "Co", 8.0, 48, ["Oakland"], 2, "2026-01-10"), ("k2", "co", "Co", 7.0, 48, ["Oakland"], 2, "2026-01-02")]
     assert listing_snapshots(spark, str(tmp_path), ["Oakland"], keep=None).count() == 3
+
+
+def test_markdown_blocks_are_cut_within_the_row(spark):
+    text = "# Top\n" + "- **a:** b\n" * 20_000 + "\nend\n"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n\n")], "d int, t string")
+    made = markdown.md_style(markdown.md_explode(df, "d", "t"), resume=True, pagebreak=True)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    last = made.filter("d = 1").orderBy("place").tail(2)
+    assert [(r.markdown, r.place, r.line) for r in last] == [("end", 20_004, 20_003), ("", 20_005, 20_004)]
+    assert {r.d for r in made.collect()} == {1}
+
+
+def test_sums_before(spark):
+    from gleaner.functions.values import sums_before
+
+    sizes = [[i % 7 for i in range(1000)], [], None, [5], [1] * 129]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "s array<int>").select(sums_before(F.col("s"))).collect()]
+    assert got == [None if s is None else [sum(s[:i]) for i in range(len(s))] for s in sizes]
