@@ -93,7 +93,10 @@ def floor_seconds(epoch: Column | str) -> Column:
 
 def to_utc(c: Column | str) -> Column:
     """A time without zone read as UTC, whatever the zone of the session."""
-    return F.to_timestamp(F.concat(F.date_format(_col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("Z")), "yyyy-MM-dd HH:mm:ss.SSSSSSX")
+    span = _col(c).cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    part = lambda unit: F.extract(F.lit(unit), span).cast("bigint")
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return F.timestamp_micros(minutes * 60_000_000 + (F.extract(F.lit("SECOND"), span) * 1_000_000).cast("bigint"))
 
 
 def whole_days(start: Column, end: Column) -> Column:

@@ -17,7 +17,7 @@ def _with_other(counts: DataFrame, n: int | None, cutoff: int | None, base: Colu
     kept = counts.filter(F.col("value").isNotNull())
     totals = counts.agg(F.struct(
         F.sum(F.when(F.col("value").isNotNull(), F.col("N"))).alias("all"),
-        F.max(F.when(F.col("value").isNull(), F.col("N"))).alias("rows"),
+        F.max(F.when(F.col("value").isNull(), F.col("N"))).alias("rows"), F.count("value").alias("values"),
     ).alias("_totals")).scalar()
     if n is not None:
         # a null test ahead of the limit would sink below the aggregate and make its exchange a second one
@@ -48,13 +48,13 @@ def _with_other(counts: DataFrame, n: int | None, cutoff: int | None, base: Colu
 
 
 def value_counts(
-    df: DataFrame, column: str, n: int | None = 10, cutoff: int | None = None, vmax: Column | int | None = None
+    df: DataFrame, column: str, n: int | None = 10, cutoff: int | None = None, vmax: Column | int | str | None = None
 ) -> DataFrame:
     """Top values of a column as (value, N, percent), then one ``(Other)`` row with the rest.
 
     ``n`` keeps that many values, ``cutoff`` (used when ``n`` is None) those that occur at least that
-    often. ``percent`` is of ``vmax``, by default of all counted values. Nulls are not counted. Equal
-    counts are ordered by value.
+    often. ``percent`` is of ``vmax``, by default of all counted values, with "values" of the distinct ones. Nulls are not
+    counted. Equal counts are ordered by value.
     """
     counts = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(column).alias("N"))
     return _with_other(counts, n, cutoff, vmax)

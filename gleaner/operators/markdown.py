@@ -6,10 +6,11 @@ another is a lookup in such a list. Rows are exploded at the end, and no step sh
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.values import bound, sums_before
+from gleaner.plans.ordered import forward_value
 
 HEADING = r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$"
 ITEM = r"^ {0,3}([-*+]|\d{1,9}[.)])[ \t]+(.*)$"
@@ -212,10 +213,9 @@ def split_runs(runs: Column | str) -> Column:
     )
 
 
-def forward_fill(df: DataFrame, doc: str, order: str, column: str, out: str) -> DataFrame:
-    """Last value seen so far within a document."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
+def forward_fill(df: DataFrame, doc: str, order: str, column: str, out: str, slices: int | None = None) -> DataFrame:
+    """Last value seen so far within a document, however long it is."""
+    return forward_value(df, [doc], [order], column, out, slices)
 
 
 def joined_slice(text: Column | str, start: int, stop: int) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import masks
@@ -76,8 +77,7 @@ def keyword_candidates(text: Column | str) -> Column:
 def candidate_counts(df: DataFrame, text: str, cutoff: int = 200) -> DataFrame:
     """Candidates in at least ``cutoff`` documents; percent is of the number of distinct candidates."""
     terms = df.select(F.explode(keyword_candidates(text)).alias("keyword"))
-    distinct = terms.agg(F.count_distinct("keyword").alias("_n")).scalar()
-    return value_counts(terms, "keyword", n=None, cutoff=cutoff, vmax=distinct)
+    return value_counts(terms, "keyword", n=None, cutoff=cutoff, vmax="values")
 
 
 def tokens(text: Column | str, stop: list[str] = STOP_WORDS) -> Column:
@@ -110,23 +110,85 @@ def bm25_index(df: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
     return {"postings": postings, "terms": terms, "stats": stats}
 
 
-def write_index(df: DataFrame, doc: str, text: str, folder: str) -> dict[str, DataFrame]:
+#: documents of a block, and best postings kept per term
+BLOCK_DOCS = 1024
+CHAMPIONS = 128
+
+
+def write_index(df: DataFrame, doc: str, text: str, folder: str, block_docs: int = BLOCK_DOCS) -> dict[str, DataFrame]:
     """Store the index tables below ``folder`` and read them back.
 
-    Postings are range-partitioned by (term, document), so that a frequent term spreads over several
-    files, and sorted, so that a query's terms meet few row groups.
+    Documents are dealt into blocks. ``postings`` are range-partitioned by (term, block), so that a frequent term spreads over
+    several files, and sorted, so that a query's terms meet few row groups. ``blocks`` has the largest part of a score that
+    a term gives any document of a block, ``champions`` the documents to which each term gives most: with these
+    ``bm25_lookup`` leaves out blocks without a hit. All parts are exact, since lengths and the average are final.
     """
+    spark = df.sparkSession
     index = bm25_index(df, doc, text)
-    ranged = index["postings"].repartitionByRange("term", doc).sortWithinPartitions("term", doc)
-    ranged.write.mode("overwrite").parquet(f"{folder}/postings")
-    stored = df.sparkSession.read.parquet(f"{folder}/postings")
-    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
     index["stats"].write.mode("overwrite").parquet(f"{folder}/stats")
-    return read_index(df.sparkSession, folder)
+    stats = spark.read.parquet(f"{folder}/stats").agg(F.struct(F.max("n_docs").alias("n"), F.max("avg_len").alias("avg")).alias("s")).scalar()
+    parted = index["postings"].withColumn("_s", stats)
+    blocks = F.ceil(F.greatest(F.col("_s.n"), F.lit(1)) / F.lit(block_docs))
+    parted = parted.select(
+        doc, "term", "tf", "len", F.pmod(F.xxhash64(doc), blocks).alias("block"), _part(F.col("tf"), F.col("len"), F.col("_s.avg")).alias("part")
+    )
+    parted.repartitionByRange("term", "block", doc).sortWithinPartitions("term", "block", doc).write.mode("overwrite").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
+    limits = stored.groupBy("term", "block").agg(F.max("part").alias("most"))
+    limits.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
+    best = Window.partitionBy("term").orderBy(F.desc("part"), doc)
+    champions = stored.select("term", doc, "part").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= CHAMPIONS)
+    champions.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/champions")
+    return read_index(spark, folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")}
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats", "blocks", "champions")}
+
+
+def blocks_to_read(
+    index: dict[str, DataFrame], doc: str, idf: dict[str, float], k: int, weights: DataFrame | None = None, heaviest: float = 1.0
+) -> DataFrame:
+    """Blocks whose documents can reach the ``k``-th best score, by ``idf`` of each query term.
+
+    A document among a term's champions has at least what its champion parts give it, so the ``k``-th best of these sums
+    is a floor; a block stays if the sum of its terms' largest parts, at the heaviest weight, is not below it.
+    """
+    terms = list(idf)
+    worth = F.create_map(*[F.lit(x) for t in terms for x in (t, idf[t])])
+    sums = index["champions"].filter(F.col("term").isin(terms)).groupBy(doc).agg(F.sum(worth[F.col("term")] * F.col("part")).alias("least"))
+    if weights is not None:
+        sums = sums.join(weights, doc, "left").select((F.col("least") * F.coalesce("weight", F.lit(1.0))).alias("least"))
+    top = sums.select("least").orderBy(F.desc("least")).limit(k)
+    floor = top.agg(F.when(F.count(F.lit(1)) >= k, F.min("least")).otherwise(0.0)).scalar()
+    limits = index["blocks"].filter(F.col("term").isin(terms)).groupBy("block").agg(F.sum(worth[F.col("term")] * F.col("most")).alias("most"))
+    # sums of parts in another order may differ in the last digits
+    return limits.filter(F.col("most") * F.lit(heaviest * (1 + 1e-9)) >= floor).select("block")
+
+
+def bm25_lookup(
+    index: dict[str, DataFrame], doc: str, query: str, k: int = 15, weights: DataFrame | None = None, heaviest: float = 1.0
+) -> DataFrame:
+    """``bm25_retrieve`` on a stored index that scores only the blocks that can hold one of the top ``k``.
+
+    ``heaviest`` is the largest weight there may be; 1 fits weights by recency. Statistics of the query's
+    terms, a row each, are read when the plan is made.
+    """
+    times = {t: query_terms(query).count(t) for t in sorted(set(query_terms(query)))}
+    stats = index["stats"].first()
+    known = {r["term"]: r["df"] for r in index["terms"].filter(F.col("term").isin(list(times))).collect()} if times else {}
+    if not known:
+        return index["postings"].select(doc, F.lit(0.0).alias("score")).limit(0)
+    n = stats["n_docs"]
+    idf = {t: times[t] * math.log(1 + (n - f + 0.5) / (f + 0.5)) for t, f in known.items()}
+    hits = index["postings"].filter(F.col("term").isin(list(idf)))
+    hits = hits.join(blocks_to_read(index, doc, idf, k, weights, heaviest), "block", "left_semi")
+    worth = F.create_map(*[F.lit(x) for t in idf for x in (t, idf[t])])
+    scored = hits.groupBy(doc).agg(F.sum(worth[F.col("term")] * F.col("part")).alias("score"))
+    if weights is not None:
+        scored = scored.join(weights, doc, "left").select(doc, (F.col("score") * F.coalesce("weight", F.lit(1.0))).alias("score"))
+    return _top(scored, doc, k)
 
 
 def _occurrences(items: str, term: str) -> Column:

@@ -10,11 +10,15 @@ rows with the same value of the order column, or without one, stay together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.session import scratch_path
+
 #: rows of a slice, and the most slices: their borders come to the driver
 SLICE_ROWS = 500_000
 MOST_SLICES = 10_000
@@ -89,18 +93,39 @@ def running_count(df: DataFrame, keys: list[str], order: list[str], test: Column
     )
 
 
+def forward_value(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, slices: int | None = None) -> DataFrame:
+    """Last value seen so far, the row's own included, by ``order`` within ``keys``; null before the first one."""
+    rows = with_slice(df, order[0], borders_of(df, order[0], slices))
+    cell = [*keys, "_slice"]
+    upto = Window.partitionBy(*cell).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.when(F.col(value).isNotNull(), F.struct(*order))  # null orders are left out by max_by
+    carried = (
+        rows.groupBy(*cell).agg(F.max_by(value, seen).alias("_last"))
+        .withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).select(*cell, "_carry")
+    )
+    filled = rows.withColumn("_own", F.last(value, ignorenulls=True).over(upto))
+    tests = [filled[c].eqNullSafe(carried[c]) for c in cell]
+    joined = filled.join(carried, reduce(lambda x, y: x & y, tests), "left")
+    return joined.select(*[filled[c] for c in df.columns if c != out], F.coalesce("_own", "_carry").alias(out))
+
+
 def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int | None = None, levels: int = 2) -> DataFrame:
     """The row at ``index`` (0-based, wrapping around) among the rows that pass ``mask``.
 
-    ``order`` is a unique numeric or date column. Each level cuts the rows into slices, counts the matches
-    per slice, and goes on with the slice that holds the wanted row; the driver sees the borders and the
-    counts. The last sort takes in about ``1 / slices ** levels`` of the rows, or one slice's rows. Borders may be inexact, the
-    result is not.
+    ``order`` is a unique numeric or date column. The order values of the matches are written once, which is all that the
+    mask is evaluated for; the rest reads that one column. Each level cuts it into slices, counts them, and
+    goes on with the slice that holds the wanted row; the driver sees the borders and the counts. The last sort takes in
+    about ``1 / slices ** levels`` of the matches, or one slice's. The row itself is looked up by its order value.
+    Borders may be inexact, the result is not.
     """
-    within, nth, total = df, None, None
+    spark = df.sparkSession
+    path = scratch_path(spark, "matches")
+    df.filter(mask).select(order).write.parquet(path)
+    within = spark.read.schema(df.select(order).schema).parquet(path)
+    nth, total = None, None
     for _ in range(levels):
-        borders = borders_of(within, order, slices)
-        cut = with_slice(within.filter(mask), order, borders)
+        cut = with_slice(within, order, borders_of(within, order, slices))
         counts = dict(cut.groupBy("_slice").agg(F.count(F.lit(1))).collect())
         if nth is None:
             total = sum(counts.values())
@@ -111,6 +136,7 @@ def kth_row(df: DataFrame, mask: Column, order: str, index: int, slices: int | N
             if nth <= counts[wanted]:
                 break
             nth -= counts[wanted]
-        within = with_slice(within, order, borders).filter(F.col("_slice") == wanted).drop("_slice")
-    hit = within.filter(mask).orderBy(order).limit(nth).orderBy(F.desc(order)).limit(1)
+        within = cut.filter(F.col("_slice") == wanted).drop("_slice")
+    value = within.orderBy(order).limit(nth).orderBy(F.desc(order)).first()[0]
+    hit = df.filter(F.col(order).eqNullSafe(F.lit(value)))
     return hit.withColumns({"position": F.lit(index % total + 1).cast("bigint"), "n_matches": F.lit(total).cast("bigint")})

@@ -14,6 +14,8 @@ Runner = Callable[[SparkSession, str], DataFrame]
 class Query:
     run: Runner
     sql: str | None
+    #: the order of the rows is part of the result
+    ordered: bool = False
 
 
 REGISTRY: dict[str, Query] = {}
@@ -32,13 +34,13 @@ class Tables:
         return self.spark.read.parquet(self.path(name))
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable]:
+def query(name: str, sql: str | None = None, ordered: bool = False) -> Callable[[Callable[[Tables], DataFrame]], Callable]:
     """Register ``fn(tables)`` under ``name``."""
 
     def add(fn: Callable[[Tables], DataFrame]) -> Callable:
         if name in REGISTRY:
             raise ValueError(f"query {name} is registered twice")
-        REGISTRY[name] = Query(lambda spark, folder: fn(Tables(spark, folder)), sql)
+        REGISTRY[name] = Query(lambda spark, folder: fn(Tables(spark, folder)), sql, ordered)
         return fn
 
     return add

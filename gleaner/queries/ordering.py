@@ -143,17 +143,17 @@ def _(t: Tables) -> DataFrame:
     return found.select("doc_id", "position", "n_matches")
 
 
-@query("sort_desc_project", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey")
+@query("sort_desc_project", "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey", ordered=True)
 def _(t: Tables) -> DataFrame:
     return ordering.newest_first(t.orders, "o_orderdate", "o_orderkey", ["o_orderkey", "o_custkey"])
 
 
-@query("sort_multi_flags_stable", with_cte("SELECT o_custkey, f AS F, o AS O, p AS P FROM flags ORDER BY f DESC, o DESC, p DESC, o_custkey", KEY_SETS))
+@query("sort_multi_flags_stable", with_cte("SELECT o_custkey, f AS F, o AS O, p AS P FROM flags ORDER BY f DESC, o DESC, p DESC, o_custkey", KEY_SETS), ordered=True)
 def _(t: Tables) -> DataFrame:
     return ordering.flags_first(membership_flags(key_sets(t), "o_custkey"), ["F", "O", "P"], ["o_custkey"])
 
 
-@query("head_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3")
+@query("head_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3", ordered=True)
 def _(t: Tables) -> DataFrame:
     return ordering.head(t.orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 3).select("o_orderkey", "o_totalprice")
 
@@ -196,10 +196,10 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "files_by_recency",
-    "SELECT strftime(ts, '%Y-%m-%d') AS day FROM events GROUP BY 1",
+    "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS size FROM events GROUP BY 1, event_type",
 )
 def _(t: Tables) -> DataFrame:
     from gleaner.queries.sources import _snapshots
 
     found = files.by_recency(files.file_inventory(t.spark, _snapshots(t), "part-*.txt"))
-    return found.select(F.regexp_extract("path", r"/day=([^/]+)/", 1).alias("day")).distinct()
+    return found.select(F.regexp_extract("path", r"/day=([^/]+)/", 1).alias("day"), "size")

@@ -183,6 +183,17 @@ def _(t: Tables) -> DataFrame:
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_lookup", rank_sql(["die", "onthe", "und", "thwhou"], 15))
+def _(t: Tables) -> DataFrame:
+    """The stored index, of which only blocks that can hold a hit are scored."""
+    docs = dated_documents(t)
+    weights = docs.select("doc_id", values.recency_weight("published", newest(docs, "published")).alias("weight"))
+    folder = scratch_path(t.spark, "index")
+    index = search.write_index(docs, "doc_id", "text", folder, block_docs=8)
+    found = search.bm25_lookup(index, "doc_id", "die onthe und the thwhou", 15, weights)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query("bm25_rank", rank_sql(["die", "onthe", "und", "thwhou"], 15))
 def _(t: Tables) -> DataFrame:
     docs = dated_documents(t)

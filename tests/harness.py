@@ -27,19 +27,20 @@ def plain(value: object) -> str:
     return repr(value)
 
 
-def table(columns: list[str], rows: list[tuple]) -> tuple[list[str], list[tuple]]:
-    """Rows with columns in name order, as sorted texts."""
+def table(columns: list[str], rows: list[tuple], ordered: bool = False) -> tuple[list[str], list[tuple]]:
+    """Rows with columns in name order, as texts, sorted unless their order counts."""
     at = sorted(range(len(columns)), key=lambda i: columns[i])
-    return [columns[i] for i in at], sorted(tuple(plain(r[i]) for i in at) for r in rows)
+    texts = [tuple(plain(r[i]) for i in at) for r in rows]
+    return [columns[i] for i in at], texts if ordered else sorted(texts)
 
 
-def spark_table(df) -> tuple[list[str], list[tuple]]:
-    return table(df.columns, [tuple(r) for r in df.collect()])
+def spark_table(df, ordered: bool = False) -> tuple[list[str], list[tuple]]:
+    return table(df.columns, [tuple(r) for r in df.collect()], ordered)
 
 
-def sql_table(con, sql: str) -> tuple[list[str], list[tuple]]:
+def sql_table(con, sql: str, ordered: bool = False) -> tuple[list[str], list[tuple]]:
     result = con.execute(sql)
-    return table([d[0] for d in result.description], result.fetchall())
+    return table([d[0] for d in result.description], result.fetchall(), ordered)
 
 
 def difference(got, want) -> str | None:
@@ -82,9 +83,9 @@ def main() -> int:
     for name in names:
         q, start = registry[name], time.time()
         try:
-            got = spark_table(q.run(spark, folder))
+            got = spark_table(q.run(spark, folder), q.ordered)
             took = time.time() - start
-            problem = difference(got, sql_table(con, q.sql)) if q.sql else None
+            problem = difference(got, sql_table(con, q.sql, q.ordered)) if q.sql else None
             if not problem and not got[1]:
                 problem = "no rows"
         except Exception as error:  # report and go on with the next query

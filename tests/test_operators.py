@@ -123,6 +123,53 @@ def test_nth_match_wraps(spark, index):
     assert [(r.id, r.position, r.n_matches) for r in got] == [(ids[index % len(ids)], index % len(ids) + 1, len(ids))]
 
 
+def test_nth_match_evaluates_its_mask_once_per_row(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def even(x: int) -> bool:
+        seen.add(1)
+        return x % 2 == 0
+
+    df = spark.range(1000)
+    assert [r.id for r in ordering.nth_match(df, F.udf(even, "boolean")("id"), "id", 123).collect()] == [246]
+    assert seen.value == 1000
+
+
+def test_forward_fill_carries_over_slices(spark):
+    data = [(1 if i % 3 else 2, i if i else None, str(i) if i % 50 == 7 else None, "x") for i in range(600)] + [(None, 3, "n", "x"), (None, 9, None, "x")]
+    df = spark.createDataFrame(data, "d int, line int, v string, _last string")
+    got = {(r.d, r.line): r.out for r in markdown.forward_fill(df, "d", "line", "v", "out", slices=7).collect()}
+    want, last = {}, {}
+    for d, line, v, _ in sorted(data, key=lambda r: (r[0] or 0, r[1] if r[1] is not None else -1)):
+        last[d] = v if v is not None else last.get(d)
+        want[d, line] = last[d]
+    assert got == want
+
+
+def test_files_by_recency_are_listed_newest_first(spark, tmp_path):
+    import os
+
+    for n, age in (("a", 300), ("b", 100), ("c", 200), ("d", 100)):
+        (tmp_path / f"{n}.html").write_text("x")
+        os.utime(tmp_path / f"{n}.html", (1_700_000_000 - age,) * 2)
+    listed = files.by_recency(files.file_inventory(spark, str(tmp_path), "*.html"))
+    assert [r.path.rsplit("/", 1)[1] for r in listed.collect()] == ["b.html", "d.html", "c.html", "a.html"]
+
+
+def test_a_time_without_zone_is_read_as_utc(spark):
+    from gleaner.functions.values import to_utc
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # one time of day does not exist there, one is there twice
+        times = ["2025-03-09 02:30:00.000001", "2025-11-02 01:30:00", "1899-12-31 23:59:59", None]
+        df = spark.createDataFrame([(x,) for x in times], "t string").select(to_utc(F.col("t").cast("timestamp_ntz")).alias("u"))
+        got = [r[0] for r in df.select(F.unix_micros("u")).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [1741487400000001, 1762047000000000, -2208988801000000, None]
+
+
 def test_nth_match_of_none(spark):
     assert ordering.nth_match(spark.range(10), F.col("id") > 99, "id", 3).count() == 0
 
@@ -260,6 +307,24 @@ def test_record_profile(spark):
     assert sorted(rows(record_profile(df, "k"))) == [(1, "x", "a"), (1, "z", "3")]
 
 
+def test_lookup_leaves_out_blocks_and_loses_no_hit(spark, tmp_path):
+    import random
+
+    draw = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(draw.choices(words, weights=range(1, 41), k=draw.randrange(3, 60)))) for i in range(600)] + [(900, None), (901, "")]
+    docs = spark.createDataFrame(data, "id int, t string")
+    index = search.write_index(docs, "id", "t", str(tmp_path / "index"), block_docs=4)
+    weights = spark.createDataFrame([(i, (i % 7) / 7) for i in range(0, 600, 2)], "id int, weight double")
+    for query, k in (("w0", 5), ("w0 w1 w39", 10), ("w39", 3), ("w39 w39 w38", 500), ("none", 3), ("", 3)):
+        for heavy in (None, weights):
+            want = [(r.id, round(r.score, 9)) for r in search.bm25_retrieve(index, "id", query, k, heavy).collect()]
+            got = [(r.id, round(r.score, 9)) for r in search.bm25_lookup(index, "id", query, k, heavy).collect()]
+            assert got == want, (query, k)
+    total = index["blocks"].select("block").distinct().count()
+    assert search.blocks_to_read(index, "id", {"w0": 3.0}, 5).count() < total / 2
+
+
 def test_saved_search_round_trip(spark):
     df = spark.createDataFrame([('{"jobTitleQuery": "(data+OR+ml)",\n "dateFetchedPastNDays": 7, "roleYoeRange": [0, 6]}',)], "t string")
     url = df.select(searches.search_url("t", "https://x.org/?searchState=").alias("url"))

@@ -23,10 +23,10 @@ def con():
 def test_query(spark, con, name):
     query = REGISTRY[name]
     df = query.run(spark, FOLDER)
-    got = spark_table(df)
+    got = spark_table(df, query.ordered)
     assert got[1], "no rows"
     if query.sql:
-        assert difference(got, sql_table(con, query.sql)) is None
+        assert difference(got, sql_table(con, query.sql, query.ordered)) is None
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert name in PYTHON or "EvalPython" not in plan
