@@ -12,6 +12,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, d
     The bound makes the broadcast safe. A document with several labels takes the largest; null labels
     and ids do not count.
     """
+    docs = docs.drop("_id", "target")  # names given here
     known = labels.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("target"))
     known = known.dropna().groupBy("_id").agg(F.max("target").alias("target"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(rows)

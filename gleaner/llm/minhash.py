@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import SPACED, bounded_batches, map_batches, mixed, shingle_hashes, small_side, word_hashes, written
+from gleaner.llm.common import SPACED, bounded_batches, fresh_name, map_batches, mixed, shingle_hashes, small_side, word_hashes, written
 from gleaner.llm.graph import components
 
 PERCENT = 80
@@ -372,6 +372,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: s
 
 def keep_one(docs: DataFrame, k: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each group: the one with the least id. Rows without an id stay."""
-    gone = near_duplicates(docs, k, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    name = fresh_name(docs, "gone_id")
+    gone = near_duplicates(docs, k, doc_id, text).filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
     found = small_side(gone, "gone")
-    return docs.join(found, F.col(f"`{doc_id}`") == F.col("_gone"), "left_anti")
+    return docs.join(found, F.col(f"`{doc_id}`") == F.col(name), "left_anti")

@@ -2,25 +2,28 @@
 
 Candidates of the base kinds are assignments, access keys and hex strings. The further kind ``key`` is any
 run of 20 or more of ``[A-Za-z0-9_-]`` with a digit, an upper-case and a lower-case letter that no base span
-touches. Every candidate's value is hashed, and hashes are aggregated over the corpus by distinct owners and
-distinct repositories. A value held by more than ``FEW_OWNERS`` owners or ``FEW_REPOS`` repositories is taken
-for a copied example; a value with few holders looks live. Base spans always stay; a span of the further
-kind is kept only where its value looks live.
+touches. Every candidate's value is hashed, and hashes are aggregated over the corpus by distinct owners and distinct
+repositories. A repository is a text: copies of one text are one, however many rows hold it. A value held by more than
+``FEW_OWNERS`` owners is taken for a copied example; one with few owners looks live, whatever the number of its repositories. Base
+spans always stay; a span of the further kind is kept only where its value looks live.
 
-All of it is DataFrame functions; texts are never shuffled. Distinct (hash, owner) and (hash, repository) pairs
-are formed before counting, so a value in a third of all texts is pre-aggregated where it is read.
+All of it is DataFrame functions. The texts are read once: their spans are written, with hashes in place of values, and all else
+works on these. Copies of a text become one before anything is joined, and distinct (hash, owner) and (hash, repository) pairs
+are formed before counting, so a value in a third of all texts is pre-aggregated where it is read. Work per text is in
+proportion to its length and the number of its spans.
 
 Null and empty texts have no spans; texts of any length are read whole; repeated rows come out once each; a null
-owner or repository counts as one more holder. Other columns are not used, whatever their names.
+owner counts as one more holder. Other columns are not used, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.values import bound, sums_before
+from gleaner.llm.common import fresh_name, written
+
 # fixed values: patterns of the contract. A failing match must use up its text, so the length is tested afterwards
 # where a shorter match could hide a longer one (assign); hex and access runs are maximal, so the length can be inside
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,94 +34,101 @@ LEAST_VALUE = 12
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "key": KEY}
 ORDER = list(KINDS)
 FEW_OWNERS = 2
-FEW_REPOS = 25
+
+
+_SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """All matches of a kind, left to right: (start, kind number, kind, end, value), in code points.
+    """All matches of a kind, left to right: (start, kind number, kind, end, hash of the value), in code points.
 
-    The text between matches comes from splitting at the same pattern, so starts are sums of lengths.
+    The text between matches comes from splitting at the same pattern, so starts are running sums of lengths.
     """
     pattern = KINDS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == "assign" else found
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>").alias("out"))
-    triples = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
-
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(
-            start.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"),
-            x["value"].alias("value"),
-        )
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-
-    spans = F.aggregate(triples, zero, step)["out"]
+    sizes = lambda xs: F.transform(xs, lambda x: F.length(x).cast("long"))
+    hits = F.arrays_zip(sizes(F.split(text, pattern, -1)).alias("gap"), sizes(found).alias("size"), values.alias("value"))
+
+    def placed(hits: Column) -> Column:
+        # the last gap has no match after it
+        steps = F.transform(hits, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0)))
+
+        def span(x: Column, ahead: Column) -> Column:
+            start = ahead + x["gap"]
+            return F.struct(
+                start.alias("start"), F.lit(ORDER.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (start + x["size"]).alias("end"), x["value"].alias("value"),
+            )
+
+        return bound(sums_before(steps), lambda ahead: F.transform(hits, lambda x, i: span(x, F.get(ahead, i))))
+
+    spans = F.filter(bound(hits, placed), lambda s: s["end"].isNotNull())
     if kind == "assign":
         spans = F.filter(spans, lambda s: F.length(s["value"]) >= LEAST_VALUE)
     if kind == "key":
         spans = F.filter(spans, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]"))
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,value:string>>")
-    return F.when(text.rlike(pattern), spans).otherwise(none)
+    hashed = F.transform(spans, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"], F.sha2(s["value"], 256).alias("hash")).cast(_SPANS[6:-1]))
+    return F.when(text.rlike(pattern), hashed).otherwise(F.array().cast(_SPANS))
+
 
+def text_key(text: Column) -> Column:
+    """A text's digest; copies of one text share it."""
+    return F.unhex(F.sha2(text, 256))
 
-def candidates(docs: DataFrame, doc_id: str, text: str, owner: str, repo: str) -> DataFrame:
-    """Per row: id, owner, repository, ``base`` and ``extra`` spans with the hash of each value, never the value."""
+
+def candidates(docs: DataFrame, doc_id: str, text: str, owner: str) -> DataFrame:
+    """Per row, written: id, owner, digest of the text if it has any span, and its spans with the hash of each value."""
     rows = docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{owner}`").cast("string").alias("owner"),
-        F.col(f"`{repo}`").cast("string").alias("repo"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
-    )
-    found = rows.select("doc_id", "owner", "repo", *[spans_of(F.col("text"), k).alias(k) for k in ORDER])
-    base = F.array_sort(F.concat(*[F.col(k) for k in ORDER[:3]]))
-    clear = lambda k: ~F.exists("base", lambda b: (b["start"] < k["end"]) & (k["start"] < b["end"]))
-    hashed = lambda spans: F.transform(
-        spans,
-        lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")),
-    )
-    return found.withColumn("base", base).select(
-        "doc_id", "owner", "repo", hashed(F.col("base")).alias("base"), hashed(F.filter("key", clear)).alias("extra")
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{owner}`").cast("string").alias("owner"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
     )
+    found = rows.withColumn("spans", F.concat(*[spans_of(F.col("text"), k) for k in ORDER]))
+    return written(found.select("doc_id", "owner", F.when(F.size("spans") > 0, text_key(F.col("text"))).alias("key"), "spans"), "secrets-spans")
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_owners, n_repos) over all candidates of the corpus."""
-    held = found.select("owner", "repo", F.explode(F.array_distinct(F.concat(F.transform("base", lambda s: s["hash"]), F.transform("extra", lambda s: s["hash"])))).alias("hash"))
+def distinct_spans(found: DataFrame) -> DataFrame:
+    """(key, start, rank, kind, end, hash) of each text once, without further spans that a base span touches."""
+    base = F.col("rank") < ORDER.index("key")
+    onward = Window.partitionBy("key").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("key").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = found.select("key", F.inline("spans")).distinct()
+    spans = spans.withColumn("ended", F.max(F.when(base, F.col("end"))).over(onward)).withColumn("begins", F.min(F.when(base, F.col("start"))).over(back))
+    touched = (F.coalesce("ended", F.lit(-1)) > F.col("start")) | (F.coalesce("begins", F.col("end")) < F.col("end"))
+    return spans.filter(base | ~touched).drop("ended", "begins")
+
 
+def ownership(found: DataFrame, spans: DataFrame) -> DataFrame:
+    """(hash, n_owners, n_repos) over all candidates of the corpus."""
+    hashes = spans.select("key", "hash").distinct()
+    holders = found.filter("key IS NOT NULL").select("key", "owner").distinct().join(hashes, "key")
     holder = F.explode(F.array(
-        F.struct(F.lit("owners").alias("what"), F.col("owner").alias("holder")), F.struct(F.lit("repos").alias("what"), F.col("repo").alias("holder"))
+        F.struct(F.lit("owners").alias("what"), F.col("owner").cast("binary").alias("holder")), F.struct(F.lit("repos").alias("what"), F.col("key").alias("holder"))
     )).alias("h")
-    both = held.select("hash", holder).select("hash", "h.what", "h.holder").distinct()  # one pass over the texts for both
+    both = holders.select("hash", holder).select("hash", "h.what", "h.holder").distinct()
     return both.groupBy("hash").agg(
         F.count_if(F.col("what") == "owners").alias("n_owners"), F.count_if(F.col("what") == "repos").alias("n_repos")
     )
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """Per row: base spans, kept further spans, and how many distinct values look live or copied."""
-    found = candidates(docs, doc_id, text, owner, repo)
-    live = (F.col("n_owners") <= FEW_OWNERS) & (F.col("n_repos") <= FEW_REPOS)
-    verdicts = ownership(found).select("hash", live.alias("live"))
-    # only spans meet the verdicts, not rows without any; repeated rows and ids are told apart by what they hold
-    spans = F.concat("base", "extra")
-    judged = (
-        found.filter(F.size(spans) > 0)
-        .select("doc_id", F.explode(F.array_distinct(spans)).alias("s"))
-        .select(F.col("doc_id").alias("span_doc"), "s", F.col("s.hash").alias("hash"))
-        .distinct()
-        .join(verdicts, "hash")
-        .filter("live")
-        .groupBy("span_doc")
-        .agg(F.collect_set("hash").alias("live_hashes"))
-    )
-    joined = found.join(judged, F.col("doc_id").eqNullSafe(F.col("span_doc")), "left")
-    lives = F.coalesce("live_hashes", F.array().cast("array<string>"))
-    kept = F.filter("extra", lambda s: F.array_contains(lives, s["hash"]))
-    every = F.array_distinct(F.transform("base", lambda s: s["hash"]))
+def judged_spans(found: DataFrame) -> DataFrame:
+    """The spans of each text that stay, each with the verdict on its value."""
+    spans = written(distinct_spans(found), "secrets-distinct")
+    verdicts = ownership(found, spans).select("hash", (F.col("n_owners") <= FEW_OWNERS).alias("live"))
+    return spans.join(verdicts, "hash").filter((F.col("rank") < ORDER.index("key")) | F.col("live"))
+
+
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
+    """Per row: base spans, kept further spans, and how many distinct base values look live or copied."""
+    found = candidates(docs, doc_id, text, owner)
+    fields = ("start", "rank", "kind", "end", "hash", "live")
+    texts = judged_spans(found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+    joined = found.select("doc_id", "key").join(texts, "key", "left")
+    kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,live:boolean>>"
+    every = F.coalesce("all", F.array().cast(kind))
+    base = F.filter(every, lambda s: s["rank"] < ORDER.index("key"))
+    values = lambda live: F.size(F.array_distinct(F.transform(F.filter(base, lambda s: s["live"] == live), lambda s: s["hash"]))).cast("long")
     return joined.select(
-        "doc_id", "base", kept.alias("added"), F.size(F.array_intersect(every, lives)).cast("long").alias("n_live"),
-        F.size(F.array_except(every, lives)).cast("long").alias("n_copied"),
+        "doc_id", base.alias("base"), F.filter(every, lambda s: s["rank"] == ORDER.index("key")).alias("added"),
+        values(True).alias("n_live"), values(False).alias("n_copied"),
     )
 
 
@@ -135,34 +145,47 @@ def secret_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """``docs`` with every base and added span replaced by ``<secret>``; overlapping spans become one.
+#: code points of a piece in which a place of a text is looked up
+PIECE = 4096
 
-    The spans are found again in the row itself; only the verdicts on further spans come from the corpus.
-    A further span stays in clear only where more than ``FEW_OWNERS`` owners hold its value: copies of a document are no owners.
-    """
-    found = candidates(docs, doc_id, text, owner, repo)
-    live = F.col("n_owners") <= FEW_OWNERS
-    extra = (
-        found.select(F.explode("extra").alias("s"), "doc_id").select("doc_id", F.col("s.hash").alias("hash"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-        .join(ownership(found).filter(live).select("hash"), "hash")
-        .groupBy(F.col("doc_id").alias("span_doc")).agg(F.collect_set(F.struct("start", "end")).alias("_added"))
-    )
-    joined = docs.join(extra, F.col(f"`{doc_id}`").eqNullSafe(F.col("span_doc")), "left")
-    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    own = [F.transform(spans_of(whole, k), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in ORDER[:3]]
-    spans = F.array_sort(F.concat(*own, F.coalesce("_added", F.array().cast("array<struct<start:int,end:int>>"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(whole, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        marked = F.when(s["start"] >= state["at"], F.concat(gap, F.lit("<secret>"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], marked).alias("out"))
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to before ``end`` of a text cut into pieces."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    held = lambda at: F.coalesce(F.get(pieces, at), F.lit(""))
+    cut = lambda at, begin, size: F.substring(held(at), (begin + 1).cast("int"), size.cast("int"))
+    middle = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    over = F.concat(cut(first, start - first * PIECE, F.lit(PIECE)), middle, cut(last, F.lit(0), end - last * PIECE))
+    return F.when(first == last, cut(first, start - first * PIECE, end - start)).otherwise(over)
+
 
-    end = F.aggregate("_spans", zero, step)
-    cleaned = F.when(F.size("_spans") > 0, F.concat(end["out"], F.substring(whole, end["at"] + 1, F.length(whole)))).otherwise(F.col(f"`{text}`"))
-    columns = [cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns]
-    return joined.withColumn("_spans", spans).select(*columns)
+def redacted(text: Column, spans: Column) -> Column:
+    """A text with ``<secret>`` in place of each of ``spans``, which are disjoint and in order."""
+    whole = F.lit(1 << 31)  # beyond any text
+
+    def cut(pieces: Column) -> Column:
+        ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
+        starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(whole.cast("long")))
+        return F.array_join(F.zip_with(ends, starts, lambda a, b: _part(pieces, a, F.least(b, F.size(pieces).cast("long") * PIECE))), "<secret>")
+
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), cut)
+
+
+def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
+    """``docs`` with every base and kept further span replaced by ``<secret>``; overlapping spans become one.
+
+    The spans of a text come back to its rows by its digest.
+    """
+    onward = Window.partitionBy("key").orderBy("start", "rank")
+    before = F.max("end").over(onward.rowsBetween(Window.unboundedPreceding, -1))
+    spans = judged_spans(candidates(docs, doc_id, text, owner)).withColumn("apart", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    spans = spans.withColumn("island", F.sum("apart").over(onward.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = spans.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    key, cuts = fresh_name(docs, "text_key"), fresh_name(docs, "text_cuts")
+    texts = islands.groupBy(F.col("key").alias(key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts))
+    joined = docs.withColumn(key, F.when(F.length(f"`{text}`") > 0, text_key(F.col(f"`{text}`")))).join(texts, key, "left")
+    cleaned = F.when(F.col(cuts).isNotNull(), redacted(F.col(f"`{text}`"), F.col(cuts))).otherwise(F.col(f"`{text}`"))
+    return joined.select(*[cleaned.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:
@@ -187,12 +210,12 @@ WITH base AS ({" UNION ALL ".join([
   SELECT * FROM ({spans("key", 3, KEY, 0, "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')")}) AS k
   WHERE NOT EXISTS (SELECT 1 FROM base AS b WHERE b.doc_id = k.doc_id AND b.start < k."end" AND k.start < b."end")
 ), holders AS (
-  SELECT value, count(DISTINCT coalesce(source, '?')) AS n_owners, count(DISTINCT doc_id) AS n_repos
+  SELECT value, count(DISTINCT coalesce(source, '?')) AS n_owners
   FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY value
 ), kept AS (
-  SELECT * FROM base UNION ALL SELECT e.* FROM extra AS e JOIN holders USING (value) WHERE n_owners <= {FEW_OWNERS} AND n_repos <= {FEW_REPOS}
+  SELECT * FROM base UNION ALL SELECT e.* FROM extra AS e JOIN holders USING (value) WHERE n_owners <= {FEW_OWNERS}
 ), live AS (
-  SELECT doc_id, count(DISTINCT value) FILTER (WHERE n_owners <= {FEW_OWNERS} AND n_repos <= {FEW_REPOS}) AS n_live, count(DISTINCT value) AS n
+  SELECT doc_id, count(DISTINCT value) FILTER (WHERE n_owners <= {FEW_OWNERS}) AS n_live, count(DISTINCT value) AS n
   FROM base JOIN holders USING (value) GROUP BY doc_id
 ), per_doc AS (
   SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,

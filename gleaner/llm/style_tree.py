@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import BROADCAST_ROWS, bounded_batches, written
+from gleaner.llm.common import fresh_name, BROADCAST_ROWS, bounded_batches, written
 
 LOW = 0.3
 CONTENT = 0.9
@@ -242,11 +242,12 @@ def low_branches(pages: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns of ``pages`` with ``text``, the main text of each page."""
     low = written(low_branches(pages), "low-branches")
-    by_host = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list(F.struct("path", "item")).alias("_low"))
+    host, branches = fresh_name(pages, "host_of_page"), fresh_name(pages, "low_branches")
+    by_host = low.groupBy(F.col("host").alias(host)).agg(F.collect_list(F.struct("path", "item")).alias(branches))
     if low.count() <= BROADCAST_ROWS:
         by_host = F.broadcast(by_host)
     kept = [c for c in (keep or ["page_id", "url"]) if c != "text"]
-    rows = pages.withColumn("_host", host_of("url")).join(by_host, "_host", "left")
+    rows = pages.withColumn(host, host_of("url")).join(by_host, host, "left")
     fields = [pages.schema[c] for c in kept]
     bounded_batches(pages.sparkSession)
 
@@ -261,7 +262,7 @@ def main_texts(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string"
-    return rows.select("html", "_low", *kept).mapInArrow(run, schema)
+    return rows.select("html", branches, *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
