@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import encode_and_decode
-from gleaner.llm.common import written
+from gleaner.llm.common import fresh_name, written
 from gleaner.llm.decontaminate import decontaminate
 from gleaner.llm.minhash import keep_one
 from gleaner.llm.quality_kernel import THRESHOLD, score_quality, train
@@ -29,8 +29,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = score_quality(docs, train(docs, _table(spark, sf_dir, "labels")), docs.columns, "_quality_score")
-    return scored.filter(F.col("_quality_score") >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh_name(docs, "quality_score")
+    scored = score_quality(docs, train(docs, _table(spark, sf_dir, "labels")), docs.columns, name)
+    return scored.filter(F.col(name) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
