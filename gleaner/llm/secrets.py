@@ -121,12 +121,14 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ow
     found = candidates(docs, doc_id, text, owner)
     fields = ("start", "rank", "kind", "end", "hash", "live")
     texts = judged_spans(found).groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
-    joined = found.select("doc_id", "key").join(texts, "key", "left")
+    # rows without any span meet nothing: they would all share one key
+    with_any = found.filter("key IS NOT NULL").select("doc_id", "key").join(texts, "key", "left").select("doc_id", "all")
     kind = "array<struct<start:bigint,rank:int,kind:string,end:bigint,hash:string,live:boolean>>"
+    none = found.filter("key IS NULL").select("doc_id", F.lit(None).cast(kind).alias("all"))
     every = F.coalesce("all", F.array().cast(kind))
     base = F.filter(every, lambda s: s["rank"] < ORDER.index("key"))
     values = lambda live: F.size(F.array_distinct(F.transform(F.filter(base, lambda s: s["live"] == live), lambda s: s["hash"]))).cast("long")
-    return joined.select(
+    return with_any.unionByName(none).select(
         "doc_id", base.alias("base"), F.filter(every, lambda s: s["rank"] == ORDER.index("key")).alias("added"),
         values(True).alias("n_live"), values(False).alias("n_copied"),
     )
