@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.queries import Tables, query
 from gleaner.session import scratch_path
-from gleaner.streaming.first_seen import first_seen, first_seen_stateful
+from gleaner.streaming.first_seen import compact_first_seen, first_seen, first_seen_stateful
 from gleaner.streaming.latest import read_latest, upsert_latest
 
 
@@ -29,6 +29,25 @@ def _(t: Tables) -> DataFrame:
     return t.spark.read.parquet(store).groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query(
+    "incremental_first_seen_compacted",
+    """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY CAST(ts AS DATE), ts, event_id) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """The first days, then the store compacted, then the rest into the compacted store under the same checkpoint."""
+    days = t.events.withColumn("day", F.to_date("ts"))
+    half = days.agg(F.expr("percentile_approx(day, 0.5)").alias("day")).scalar()
+    root, checkpoint = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "checkpoint")
+    store, target = scratch_path(t.spark, "seen"), scratch_path(t.spark, "compacted")
+    stream = lambda: t.spark.readStream.schema(days.schema).parquet(root)
+    days.filter(F.col("day") <= half).write.partitionBy("day").parquet(root)
+    first_seen(stream(), "user_id", ["ts", "event_id"], store, checkpoint).awaitTermination()
+    compact_first_seen(t.spark, store, target)
+    days.filter(F.col("day") > half).write.mode("append").partitionBy("day").parquet(root)
+    first_seen(stream(), "user_id", ["ts", "event_id"], target, checkpoint).awaitTermination()
+    return t.spark.read.parquet(target).select("user_id", "event_id")
+
+
 @query("incremental_first_seen_stateful", _KEYS)
 def _(t: Tables) -> DataFrame:
     store, checkpoint = scratch_path(t.spark, "seen"), scratch_path(t.spark, "checkpoint")

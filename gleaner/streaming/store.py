@@ -15,9 +15,10 @@ def run_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def write_batch(rows: DataFrame, store: str, run: str, number: int) -> None:
+def write_batch(rows: DataFrame, store: str, run: str, number: int, by: str | None = None) -> None:
     """Replace this run's batch, and only that, so a batch that runs again leaves the same rows."""
-    rows.write.mode("overwrite").parquet(f"{store}/run={run}/batch_id={number}")
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{store}/run={run}/batch_id={number}")
 
 
 def other_batches(stored: DataFrame, run: str, number: int) -> DataFrame:
