@@ -13,6 +13,7 @@ from gleaner.operators.dedupe import keep_last
 from gleaner.operators.filters import since, since_flags
 from gleaner.operators.ordering import newest_first
 from gleaner.schemas import RECENT_COLUMNS
+from gleaner.sources.dated import last_seen, write_days
 from gleaner.sources.files import snapshot_scan
 from gleaner.sources.tables import cached_parquet, read_table
 
@@ -75,3 +76,19 @@ def listing_snapshots(
     if keep == "last":
         return keep_last(postings, ["hash"], ["snapshot_date", "query", "card"])
     return postings.drop("snapshot_date", "query", "card").distinct()
+
+
+def store_listings(
+    spark: SparkSession, root: str, store: str, cities: list[str], glob: str = "*.html", card_open: str = CARD_OPEN
+) -> None:
+    """Add the snapshots below ``root``, such as the folder of one day, to the dated table at ``store``.
+
+    The days found there are replaced, others stay: days may come in any order, and come again.
+    """
+    pages = snapshot_scan(spark, root, glob).withColumnRenamed("value", "html").drop("path")
+    write_days(postings_from_pages(pages, cities, card_open=card_open, dedupe=False), store, "snapshot_date")
+
+
+def reconciled_listings(spark: SparkSession, store: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Each key of a dated table as it was last seen, by day, then query, then place in the page."""
+    return last_seen(spark, store, ["hash"], "snapshot_date", ["query", "card"], since, until)

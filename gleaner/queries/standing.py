@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.plans import postings as plans
@@ -10,7 +10,6 @@ from gleaner.queries import Tables, query
 from gleaner.session import scratch_path
 
 
-
 def _jobs_source(t: Tables) -> str:
     """A jobs table in its declared shape, from pages and the part of the same number."""
     joined = t.pages.join(t.part, F.col("page_id") == F.col("p_partkey"))
@@ -55,3 +54,44 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     recent = plans.recent_jobs(plans.load_jobs(t.spark, _jobs_source(t)), "2026-01-01")
     return recent.select("_hash", "title", F.unix_micros("estimated_publish_date").alias("published_us"), "health")
+
+
+def _listing_days(t: Tables, days: list[int], text_of: Column, kept: Column | None = None) -> str:
+    """Listing pages below ``day=/query=`` folders: each part on two days of three, in one of two queries."""
+    seen = t.part.withColumn("d", F.explode(F.array(*map(F.lit, days)))).filter((F.col("p_partkey") + F.col("d")) % 3 != 0)
+    if kept is not None:
+        seen = seen.filter(kept)
+    texts = [
+        text_of, F.col("p_name"), F.lit("Oakland, California, United States"), F.lit("$10k-$30k/yr"), F.lit("Onsite"), F.lit("Full Time"),
+        F.concat("p_brand", F.lit(":")), F.concat(F.lit(": makes "), "p_type"), F.lit("builds"), F.lit("SQL"), F.lit("Job Posting"), F.lit("1 view"),
+    ]
+    spans = F.concat(*[x for c in texts for x in (F.lit("<span>"), c, F.lit("</span>"))])
+    card = F.concat(
+        F.lit('<div class="card"><div>'), spans, F.lit('</div><div><div><a href="/view/'), F.col("p_partkey"),
+        F.lit('">x</a><a href="/?company=c'), F.col("p_brand"), F.lit('&s=1">y</a></div></div></div>'),
+    )
+    root = scratch_path(t.spark, "listing-days")
+    rows = seen.select(
+        F.concat(F.lit("2026-01-0"), F.col("d")).alias("day"), F.when(F.col("p_partkey") % 2 == 0, "all").otherwise("near").alias("query"), card.alias("value")
+    )
+    rows.write.option("maxRecordsPerFile", 500).partitionBy("day", "query").text(root)  # a file is a page of up to 500 cards
+    return root
+
+
+@query(
+    "dated_listings",
+    """WITH seen AS (SELECT part.*, d, CASE WHEN d = 1 THEN p_size + 10 ELSE p_size + d END AS days FROM part, (SELECT unnest([1, 2, 3]) AS d)
+  WHERE (p_partkey + d) % 3 <> 0 AND (d <> 1 OR p_size > 5))
+SELECT CAST(p_partkey AS VARCHAR) AS hash, '2026-01-0' || d AS day, CASE WHEN p_partkey % 2 = 0 THEN 'all' ELSE 'near' END AS query,
+  p_brand AS company, p_name AS title, CAST(days * 24 AS BIGINT) AS hours
+FROM seen QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY d DESC) = 1""",
+)
+def _(t: Tables) -> DataFrame:
+    """Days stored as 3, 1, 2, and then the first one again, taken anew with other ages and fewer cards."""
+    first = _listing_days(t, [1, 2, 3], F.concat(F.col("p_size") + F.col("d"), F.lit("d")))
+    again = _listing_days(t, [1], F.concat(F.col("p_size") + 10, F.lit("d")), F.col("p_size") > 5)
+    store = scratch_path(t.spark, "listings")
+    for root, day in ((first, 3), (first, 1), (first, 2), (again, 1)):
+        plans.store_listings(t.spark, f"{root}/day=2026-01-0{day}", store, ["Oakland"], "part-*.txt")
+    seen = plans.reconciled_listings(t.spark, store)
+    return seen.select("hash", F.date_format("snapshot_date", "yyyy-MM-dd").alias("day"), "query", "company", "title", "hours")
