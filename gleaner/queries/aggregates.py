@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import all_matches, dictionary_hits, share_text
 from gleaner.functions.values import age_to_hours, midpoint, salary_bounds, whole_days
 from gleaner.operators import aggregates as ops
+from gleaner.operators import sketches
 from gleaner.operators.markdown import block_agg
 from gleaner.operators.filters import since
 from gleaner.queries import Tables, query
 from gleaner.queries.standins import FEATURES, ORDER_BRANDS, POSTINGS, order_brands, postings, with_cte
+from gleaner.session import scratch_path
+from gleaner.sources import dated
 
 
 def _priced(t: Tables) -> DataFrame:
@@ -63,6 +66,36 @@ def _(t: Tables) -> DataFrame:
     return ops.count_and_distinct(t.orders, "o_orderstatus", "o_custkey")
 
 
+_SPANS = """WITH e AS (SELECT event_type, user_id, CAST(ts AS DATE) AS day, (SELECT max(CAST(ts AS DATE)) FROM events) AS last FROM events)
+"""
+
+
+@query(
+    "distinct_over_days",
+    _SPANS + """SELECT 'all' AS span, event_type, count(*) AS n_rows, count(DISTINCT user_id) AS n_keys, true AS estimate_holds FROM e GROUP BY 2
+UNION ALL SELECT 'week', event_type, count(*), count(DISTINCT user_id), true FROM e WHERE day > last - 7 GROUP BY 2""",
+)
+def _(t: Tables) -> DataFrame:
+    """Sketches stored per day and type, written in two goes and merged over two spans; the exact counts beside them."""
+    daily = t.events.withColumn("day", F.to_date("ts"))
+    store = scratch_path(t.spark, "daily-sketches")
+    for half in (F.dayofmonth("day") > 15, F.dayofmonth("day") <= 15):  # days may come in any order
+        dated.write_days(sketches.daily_sketches(daily.filter(half), ["day", "event_type"], "user_id"), store, "day")
+    spans = {"all": None, "week": 7}
+
+    def within(df: DataFrame, days: int | None) -> DataFrame:
+        return df if days is None else df.filter(F.col("day") > F.date_sub(daily.agg(F.max("day").alias("day")).scalar(), days))
+
+    parts = []
+    for span, days in spans.items():
+        merged = sketches.merged_counts(within(dated.read_days(t.spark, store, "day"), days), ["event_type"])
+        exact = sketches.exact_counts(within(daily, days), ["event_type"], "user_id")
+        both = merged.withColumnRenamed("n_keys", "estimate").join(exact.drop("n_rows"), "event_type")
+        holds = F.abs(F.col("estimate") - F.col("n_keys")) <= F.greatest(F.lit(1.0), F.col("n_keys") * F.lit(sketches.error_bound()))
+        parts.append(both.select(F.lit(span).alias("span"), "event_type", "n_rows", "n_keys", holds.alias("estimate_holds")))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "nunique_all",
     "SELECT " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + " FROM part",
