@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.nested import html_to_markdown_nested
 from gleaner.functions import markup
+from gleaner.functions.variants import json_fields, json_get, json_kind, json_value
 from gleaner.operators import cards as card_ops
 from gleaner.operators.joins import embedded_tables
 from gleaner.queries import Tables, query
@@ -42,6 +43,49 @@ def _(t: Tables) -> DataFrame:
     return t.events.select("event_id", parsed["k"].alias("k"), parsed["none"].alias("none"))
 
 
+def _mixed_json(t: Tables) -> DataFrame:
+    """Event properties in six shapes, broken text and null among them."""
+    k = F.get_json_object("props", "$.k")
+    shapes = [
+        F.col("props"), F.concat(F.lit('{"k": "'), k, F.lit('"}')), F.concat(F.lit('{"k": {"n": ['), k, F.lit(', 2]}, "z": null}')),
+        F.concat(F.lit("["), k, F.lit(', "a"]')), F.concat(F.lit('{"k": '), k), F.lit(None),
+    ]
+    shape = F.col("event_id") % 6
+    mixed = F.coalesce(*[F.when(shape == i, s) for i, s in enumerate(shapes)])
+    return t.events.select("event_id", json_value(mixed).alias("value"))
+
+
+_EVENT_K = "SELECT event_id, event_id % 6 AS shape, CAST(props ->> '$.k' AS BIGINT) AS k FROM events"
+
+
+@query(
+    "json_variant_get",
+    f"""SELECT event_id, CASE WHEN shape IN (0, 1) THEN k END AS as_number, CASE WHEN shape < 2 THEN CAST(k AS VARCHAR)
+    WHEN shape = 2 THEN '{{"n":[' || k || ',2]}}' END AS as_text, CASE WHEN shape = 2 THEN k END AS deep, CASE WHEN shape = 3 THEN 'a' END AS element,
+  CASE shape WHEN 3 THEN 'array' WHEN 0 THEN 'object' WHEN 1 THEN 'object' WHEN 2 THEN 'object' END AS kind FROM ({_EVENT_K})""",
+)
+def _(t: Tables) -> DataFrame:
+    """One path over values of several shapes, beside ``json_path_get`` with its schema."""
+    value = F.col("value")
+    return _mixed_json(t).select(
+        "event_id", json_get(value, "$.k", "bigint").alias("as_number"), json_get(value, "$.k").alias("as_text"),
+        json_get(value, "$.k.n[0]", "bigint").alias("deep"), json_get(value, "$[1]").alias("element"), json_kind(value).alias("kind"),
+    )
+
+
+@query(
+    "json_variant_fields",
+    f"""WITH f AS (SELECT 'k' AS key, CASE shape WHEN 0 THEN 'bigint' WHEN 1 THEN 'string' ELSE 'object' END AS kind FROM ({_EVENT_K}) WHERE shape < 3
+  UNION ALL SELECT 'z', 'void' FROM ({_EVENT_K}) WHERE shape = 2
+  UNION ALL SELECT NULL, unnest(['bigint', 'string']) FROM ({_EVENT_K}) WHERE shape = 3)
+SELECT key, kind, count(*) AS n_values FROM f GROUP BY ALL""",
+)
+def _(t: Tables) -> DataFrame:
+    """The fields that the values turn out to have, by kind: what a schema would have to hold."""
+    fields = json_fields(_mixed_json(t), "value")
+    return fields.groupBy("key", json_kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("n_values"))
+
+
 _NEWLINE = "' || chr(10) || '"
 
 
