@@ -4,11 +4,16 @@
    (fewer words: the whole sequence is one run; no words: the empty set, linked with nothing).
 2. Documents with equal sets form a class, named by its least doc_id. Only classes go on.
 3. A signature has ``POSITIONS`` minimum hashes. Each of ``TREES`` sorted orders begins with ``DEPTH`` positions of
-   its own and goes on with further ones. Classes that share the first positions are a region; within it rows come
+   its own and goes on with further ones. Classes whose common prefix reaches the depth are a region; within it rows come
    sorted by the rest, so neighbours have the longest common prefix. A region of up to ``REGION`` classes is
-   compared throughout, from its shared depth on. A denser one is dealt into parts of about ``REGION`` classes, and each
-   pair of parts is compared throughout by itself, wherever it lands: every two classes of a region meet, however
-   many it has. Comparison counts agreeing low bytes of the signature.
+   compared throughout, from its shared depth on. A denser one grows deeper: it is sorted anew in ``SPLITS`` orders of
+   ``STEP`` further positions each, and those that share them are regions of their own, which may grow deeper again. A pair
+   at 80 % that shares a region shares one of its deeper ones with probability ``q = 1 - (1 - 0.8 ** STEP) ** SPLITS`` = 0.94, and
+   it shares a region in a third of the trees: were all of these to grow to the end, ``(1 - 0.8 ** DEPTH * q ** LEVELS) ** TREES`` of such
+   pairs, one in 15,000, would be missed. A region stays at its depth if going deeper would not halve the comparisons, as with thousands
+   of texts that are all alike: it is dealt into parts of about ``REGION`` classes, and each pair of parts is compared
+   throughout by itself, wherever it lands, so that every two classes meet. Comparison counts agreeing low bytes
+   of the signature.
 4. Pairs that may reach the similarity come out: all of a small group, of a larger one the tree of greatest agreement that
    spans it. The larger group itself is kept for step 6, so this is no cap.
 5. Each pair is confirmed on the full sets of the whole texts, in whole numbers:
@@ -26,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import SPACED, bounded_batches, fresh_name, map_batches, mixed, shingle_hashes, small_side, word_hashes, written
+from gleaner.llm.common import BROADCAST_ROWS, SPACED, bounded_batches, fresh_name, map_batches, mixed, shingle_hashes, small_side, word_hashes, written
 from gleaner.llm.graph import components
 
 PERCENT = 80
@@ -42,6 +48,8 @@ TREES = 32
 DEPTH = 5
 FURTHER = 8
 COMPARED = 64
+#: how often a dense region may grow deeper, and by how many orders of how many positions
+LEVELS, SPLITS, STEP = 4, 4, 3
 #: agreeing low bytes of 64 below which a pair is left: 4.6 deviations under the 51.2 of a pair at 80 %
 AGREEING = 37
 REGION = 2048
@@ -51,6 +59,8 @@ FAMILY = 4096
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1, 1 << 63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDERS = np.array([_random.permutation(POSITIONS)[: DEPTH + FURTHER] for _ in range(TREES)])
+#: per level and order, the positions by which a region grows; those of one level are all different
+_DEEPER = [_random.permutation(COMPARED)[: SPLITS * STEP].reshape(SPLITS, STEP).tolist() for _ in range(LEVELS)]
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -233,17 +243,59 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs_out()
 
 
-def candidate_pairs(rows: DataFrame) -> DataFrame:
-    bounded_batches(rows.sparkSession)
-    counts = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > REGION)
-    dense = small_side(counts.select("tree", "prefix", F.ceil(F.col("m") / F.lit(REGION)).cast("int").alias("parts")), "dense-regions")
-    # a row of a dense region goes to every pair of parts that its own part is in
+def _deeper(dense: DataFrame, level: int) -> DataFrame:
+    """Rows of dense regions once per order of the level, with ``child``, the deeper region that each falls in."""
+    orders = [
+        F.xxhash64(F.lit(level), F.lit(i), "region", *[F.substring("low", p + 1, 1) for p in places])
+        for i, places in enumerate(_DEEPER[level])
+    ]
+    return dense.select("region", "m", "further", "id", "n", "low", F.explode(F.array(*orders)).alias("child"))
+
+
+def _dealt(dense: DataFrame, region: int) -> DataFrame:
+    """Rows of dense regions, each sent to every pair of parts that its own part is in."""
+    parted = dense.withColumn("parts", F.ceil(F.col("m") / F.lit(region)).cast("int"))
     part = F.pmod(F.xxhash64("id", "n", "low"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts").isNotNull(), F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)).otherwise(F.array(F.lit(0)))
-    pair = F.xxhash64("prefix", F.least(part, F.col("other")), F.greatest(part, F.col("other")))
-    dealt = rows.join(dense, ["tree", "prefix"], "left").select("*", F.explode(others).alias("other"))
-    dealt = dealt.select(F.coalesce(F.when(F.col("parts").isNotNull(), pair), F.col("prefix")).alias("region"), "further", "id", "n", "low")
-    placed = dealt.repartition("region").sortWithinPartitions("region", "further", "id")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part)
+    pair = F.xxhash64("region", F.least(part, F.col("other")), F.greatest(part, F.col("other")))
+    return parted.select("*", F.explode(others).alias("other")).select(pair.alias("region"), "further", "id", "n", "low")
+
+
+def regions(rows: DataFrame, region: int = REGION) -> DataFrame:
+    """(region, further, id, n, low): the rows of a forest by the regions in which they are compared throughout."""
+    columns = ["region", "further", "id", "n", "low"]
+    counts = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > region)
+    many = written(counts, "dense-regions")
+    number = many.count()
+    if not number:
+        return rows.withColumnRenamed("prefix", "region").select(*columns)
+    many = F.broadcast(many) if number <= BROADCAST_ROWS else many
+    placed = [rows.join(many.select("tree", "prefix"), ["tree", "prefix"], "left_anti").withColumnRenamed("prefix", "region").select(*columns)]
+    dense = written(rows.join(many, ["tree", "prefix"]).withColumnRenamed("prefix", "region").select(*columns, "m"), "dense")
+    for level in range(LEVELS):
+        children = _deeper(dense, level)
+        sizes = written(children.groupBy("region", "m", "child").agg(F.count(F.lit(1)).alias("k")), "deeper")
+        worth = sizes.groupBy("region", "m").agg(F.sum(F.col("k").cast("double") * F.col("k")).alias("work"))
+        worth = small_side(worth.filter(2 * F.col("work") < F.col("m").cast("double") * F.col("m")).select("region"), "growing")
+        placed.append(_dealt(dense.join(worth, "region", "left_anti"), region))
+        # a class that is alone in a deeper region has no partner there
+        going = sizes.join(worth, "region", "left_semi").filter("k > 1").select(F.col("child").alias("c"), "k")
+        down = children.join(small_side(going, "children"), F.col("child") == F.col("c")).select(
+            F.col("child").alias("region"), "further", "id", "n", "low", F.col("k").alias("m")
+        )
+        down = written(down, "down")
+        placed.append(down.filter(F.col("m") <= region).select(*columns))
+        dense = down.filter(F.col("m") > region)
+        if dense.isEmpty():
+            break
+    else:
+        placed.append(_dealt(dense, region))
+    return reduce(DataFrame.unionByName, placed)
+
+
+def candidate_pairs(rows: DataFrame, region: int = REGION) -> DataFrame:
+    bounded_batches(rows.sparkSession)
+    placed = regions(rows, region).repartition("region").sortWithinPartitions("region", "further", "id")
     return placed.select("region", "id", "n", "low").mapInArrow(_candidates, _PAIRS)
 
 
