@@ -3,16 +3,21 @@
 Texts and items are sequences of words (ASCII letters, digits and characters beyond ASCII), all in lower case. An item of
 m words is found where a stretch of a text lies within ``floor(EDIT_SHARE * m)`` word edits of it.
 
-1. A stretch within k edits of an item shares at least m - 2 - 3k of its 3-word runs. Starts of windows ahead of which
-   fewer runs of items of one size class stand, by the least such number in the class, cannot match; where that number is
+0. The distance between walks grows about with the square of the edits, so items of more than ``PIECE`` words are searched by
+   pieces of like size: if every piece had more than its share of edits, the item would have more than its own, so some piece
+   of every match is within its share.
+1. A stretch within k edits of m words shares at least m - 2 - 3k of their 3-word runs. Starts of windows ahead of which
+   fewer runs of pieces of one size class stand, by the least such number in the class, cannot match; where that number is
    below 1 (items of five words), the walks leave windows without a common run to step 5.
 2. From every remaining start a CGK walk reads the words: at each step it writes the word at its pointer, then moves on or
    stays, as a random bit of (step, word) says. Few edits between two sequences become few differing places.
-   ``WALKS`` independent walks are made for windows and items alike.
-3. Each walk is sampled at ``BITS`` places, ``SAMPLES`` times for every class of item sizes; a window and an item with equal
-   samples are a candidate. Places lie within what a walk over the smallest item of the class writes.
+   Independent walks are made for windows and pieces alike.
+3. Each walk is sampled at ``BITS`` places, ``SAMPLES`` times for every size class; a window and a piece with equal samples are
+   a candidate. Places lie within what a walk over the smallest piece of the class writes. A class has as many walks as
+   find a share of ``TARGET`` of simulated matches, each as far away as allowed and all by left-out words, which part
+   walks soonest; ``MOST_WALKS`` at most, which only the smallest items need.
 4. Candidates are verified by the exact edit distance of the item to its best stretch around the window.
-5. Sampling may miss a match, the longer the item the sooner. So the runs are also counted item by item: where the least number
+5. Sampling may still miss a match. So the runs are also counted item by item: where the least number
    of an item's own runs stands within the words that a match may span, and no match found so far, the exact edit distance
    decides. Runs have as many words, 3, 2 or 1, as leave a bound of at least 1, so every match has such a place: with this
    step the recall is 1, whatever the samples. Items of fewer than ``LEAST_WORDS`` words are searched in this way only.
@@ -26,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +43,10 @@ from gleaner.llm.common import LETTERS, bounded_batches, mixed, run_hashes, smal
 EDIT_SHARE = 0.2
 LEAST_WORDS = 5
 RUN = 3
-WALKS = 6
+PIECE = 24
+TARGET = 0.95
+TRIALS = 500
+MOST_WALKS = 16
 SAMPLES = 8
 BITS = 4
 CLASS_RATIO = 1.25
@@ -49,7 +57,7 @@ STARTS_AT_ONCE = 1 << 15
 POSTINGS_AT_ONCE = 1 << 20
 
 _random = np.random.default_rng(771)
-_SEEDS = _random.integers(1, 1 << 63, WALKS, dtype=np.uint64)
+_SEEDS = _random.integers(1, 1 << 63, MOST_WALKS, dtype=np.uint64)
 
 
 def allowed(m: int) -> int:
@@ -86,14 +94,48 @@ def _keys(symbols: np.ndarray, places: np.ndarray, salt: int) -> np.ndarray:
     return key
 
 
+def pieces(m: int) -> list[tuple[int, int]]:
+    """(first word, end) of the pieces by which an item of ``m`` words is searched."""
+    cuts = np.linspace(0, m, -(-m // PIECE) + 1).round().astype(int).tolist()
+    return list(zip(cuts, cuts[1:]))
+
+
+def _simulated(m: int, steps: int, draw: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``TRIALS`` sequences of ``m`` words and as many with the allowed edits, a row each, other words behind them."""
+    items = draw.integers(1, 1 << 63, (TRIALS, m + steps), dtype=np.uint64)
+    order = np.argsort(draw.random((TRIALS, m)), axis=1)
+    kept = np.sort(order[:, allowed(m) :], axis=1)
+    behind = draw.integers(1, 1 << 63, (TRIALS, allowed(m) + steps), dtype=np.uint64)
+    return items, np.concatenate([np.take_along_axis(items, kept, axis=1), behind], axis=1)
+
+
+@lru_cache(maxsize=256)
+def sampled_walks(sizes: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """The places of each sample of each walk: as many walks as find ``TARGET`` of the matches of every one of ``sizes``."""
+    draw = np.random.default_rng([90, *sizes])
+    reach = max(BITS, int(READ_SHARE * min(sizes)))
+    trials = [_simulated(m, reach, draw) for m in sizes]
+    starts = [np.arange(TRIALS) * items.shape[1] for items, _ in trials]
+    found = np.zeros((len(sizes), TRIALS), bool)
+    walks: list[list[np.ndarray]] = []
+    while len(walks) < MOST_WALKS and found.mean(axis=1).min() < TARGET:
+        walks.append([np.sort(draw.choice(reach, BITS, replace=False)) for _ in range(SAMPLES)])
+        for n, (items, edited) in enumerate(trials):
+            same = walk_symbols(items.ravel(), starts[n], len(walks) - 1, reach) == walk_symbols(edited.ravel(), starts[n], len(walks) - 1, reach)
+            for places in walks[-1]:
+                found[n] |= same[:, places].all(axis=1)
+    return walks
+
+
 @dataclass
 class SizeClass:
-    """Items of like size: where their windows may start, and their sampled walks."""
+    """Pieces of like size: where their windows may start, and their sampled walks."""
 
     longest: int  # words that a match may span
-    least_runs: int  # item runs that every match shares
+    least_runs: int  # runs that every match shares
     steps: int
-    tables: list[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]  # walk, places, salt, sorted keys, items in that order
+    walks: int
+    tables: list[tuple[int, np.ndarray, int, np.ndarray, np.ndarray]]  # walk, places, salt, sorted keys, pieces in that order
 
 
 class ItemIndex:
@@ -103,16 +145,16 @@ class ItemIndex:
         sized = [(i, w) for i, t in items if len(w := word_hashes(t, LETTERS))]
         self.ids = [i for i, _ in sized]
         self.words = [w for _, w in sized]
+        #: item, first word and end of each piece
+        self.pieces = [(n, a, b) for n, w in enumerate(self.words) if len(w) >= LEAST_WORDS for a, b in pieces(len(w))]
         members: dict[int, list[int]] = {}
-        for n, w in enumerate(self.words):
-            if len(w) >= LEAST_WORDS:
-                members.setdefault(int(np.log(len(w)) / np.log(CLASS_RATIO)), []).append(n)
-        draw = np.random.default_rng(90)
-        self.classes = [self._size_class(number, group, draw) for number, group in enumerate(map(members.get, sorted(members)))]
+        for p, (_, a, b) in enumerate(self.pieces):
+            members.setdefault(int(np.log(b - a) / np.log(CLASS_RATIO)), []).append(p)
+        self.classes = [self._size_class(number, group) for number, group in enumerate(map(members.get, sorted(members)))]
         owner: dict[int, int] = {}
         for number, group in enumerate(map(members.get, sorted(members))):
-            for n in group:
-                for run in run_hashes(self.words[n], RUN).tolist():
+            for n, a, b in map(self.pieces.__getitem__, group):
+                for run in run_hashes(self.words[n][a:b], RUN).tolist():
                     owner[run] = owner.get(run, 0) | 1 << number
         self.runs = np.array(sorted(owner), np.uint64)
         self.owners = np.array([owner[r] for r in self.runs.tolist()], np.int64)
@@ -129,19 +171,25 @@ class ItemIndex:
         distinct, first = np.unique(runs[order], return_index=True)
         return length, distinct, np.append(first, len(runs)), items[order]
 
-    def _size_class(self, number: int, group: list[int], draw: np.random.Generator) -> SizeClass:
-        sizes = [len(self.words[n]) for n in group]
-        reach, tables = max(BITS, int(READ_SHARE * min(sizes))), []
-        for walk in range(WALKS):
-            symbols = np.concatenate([walk_symbols(self.words[n], np.zeros(1, np.int64), walk, reach) for n in group])
-            for sample in range(SAMPLES):
-                places = np.sort(draw.choice(reach, BITS, replace=False))
-                salt = (number * WALKS + walk) * SAMPLES + sample + 1
+    def _size_class(self, number: int, group: list[int]) -> SizeClass:
+        places_of = [self.pieces[p] for p in group]
+        sizes = tuple(sorted({b - a for _, a, b in places_of}))
+        walks, tables = sampled_walks(sizes), []
+        steps = max(int(places[-1]) + 1 for samples in walks for places in samples)
+        owners = sorted({n for n, _, _ in places_of})
+        past = np.zeros(steps, np.uint64)  # what a walk reads behind the end of an item
+        begin = dict(zip(owners, np.cumsum([0] + [len(self.words[n]) + steps for n in owners]).tolist()))
+        row = np.concatenate([x for n in owners for x in (self.words[n], past)])
+        starts = np.array([begin[n] + a for n, a, _ in places_of])
+        for walk, samples in enumerate(walks):
+            symbols = walk_symbols(row, starts, walk, steps)
+            for sample, places in enumerate(samples):
+                salt = (number * MOST_WALKS + walk) * SAMPLES + sample + 1
                 keys = _keys(symbols, places, salt)
                 order = np.argsort(keys, kind="stable")
                 tables.append((walk, places, salt, keys[order], np.array(group)[order]))
         least = min(max(1, least_shared(m)) for m in sizes)
-        return SizeClass(max(m + allowed(m) for m in sizes), least, max(int(t[1][-1]) + 1 for t in tables), tables)
+        return SizeClass(max(m + allowed(m) for m in sizes), least, steps, len(walks), tables)
 
     def starts(self, words: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
         """Per size class, the window starts with enough runs of its items ahead of them."""
@@ -161,20 +209,20 @@ class ItemIndex:
                     yield sizes, found
 
     def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
-        """(item, start) pairs with an equal sample."""
+        """(item, where the item would start) for pieces and windows with an equal sample; a start may lie ahead of the text."""
         found: set[tuple[int, int]] = set()
         for sizes, starts in self.starts(words):
             for at in range(0, len(starts), STARTS_AT_ONCE):
                 part = starts[at : at + STARTS_AT_ONCE]
-                symbols = [walk_symbols(words, part, walk, sizes.steps) for walk in range(WALKS)]
+                symbols = [walk_symbols(words, part, walk, sizes.steps) for walk in range(sizes.walks)]
                 for walk, places, salt, keys, members in sizes.tables:
                     mine = _keys(symbols[walk], places, salt)
                     left, right = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
                     for w in np.flatnonzero(right > left):
-                        found.update((int(n), int(part[w])) for n in members[left[w] : right[w]])
+                        for n, first, _ in map(self.pieces.__getitem__, members[left[w] : right[w]].tolist()):
+                            found.add((n, int(part[w]) - first))
         return found
 
-
     def counted(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Per item, the (first word, end) of stretches that may hold a match: all that have enough of its own runs."""
         found: dict[int, list[tuple[int, int]]] = {}
@@ -252,7 +300,7 @@ def matches(index: ItemIndex, text: bytes) -> list[tuple[int, int, int, int]]:
         seen = set()
         for a, b in groups:
             low = max(0, a - k)
-            edits, first, end = best_stretch(item, words[low : b + len(item) + k])
+            edits, first, end = best_stretch(item, words[low : max(0, b + len(item) + k)])
             if edits <= k and end > first and (low + first, low + end) not in seen:
                 seen.add((low + first, low + end))
                 out.append((n, low + first, low + end - 1, edits))

@@ -31,6 +31,28 @@ def test_long_items_with_a_fifth_of_their_words_changed_are_all_found():
                 assert [x[0] for x in got] == [n] and got[0][3] <= decontaminate.allowed(m), (m, n)
 
 
+def test_walks_alone_reach_their_target():
+    draw = np.random.default_rng(31)
+    for m in (7, 15, 38, 60, 120, 250):
+        items = [[f"i{n}w{j}" for j in range(m)] for n in range(200)]
+        index = decontaminate.ItemIndex([(n, " ".join(words).encode()) for n, words in enumerate(items)])
+        k, found = decontaminate.allowed(m), 0
+        for n, words in enumerate(items):
+            gone = set(draw.choice(m, k, replace=False).tolist())
+            text = ["before"] * 30 + [w for j, w in enumerate(words) if j not in gone] + ["after"] * 30
+            text = decontaminate.word_hashes(" ".join(text).encode(), decontaminate.LETTERS)
+            places = [a for i, a in index.candidates(text) if i == n]
+            found += any(decontaminate.best_stretch(index.words[n], text[max(0, a - k) : a + m + k])[0] <= k for a in places)
+        assert found >= 190, (m, found)
+
+
+def test_some_piece_of_an_item_keeps_its_share_of_the_edits():
+    for m in range(decontaminate.LEAST_WORDS, 700):
+        sizes = [b - a for a, b in decontaminate.pieces(m)]
+        assert sum(sizes) == m and max(sizes) <= decontaminate.PIECE and (len(sizes) == 1 or min(sizes) >= decontaminate.PIECE // 2)
+        assert sum(decontaminate.allowed(x) + 1 for x in sizes) > decontaminate.allowed(m)
+
+
 def test_short_items_are_searched_with_the_edits_they_allow():
     texts = ["one two three four five", "red blue green", "alone"]
     index = decontaminate.ItemIndex(list(enumerate(t.encode() for t in texts)))
