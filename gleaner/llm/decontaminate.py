@@ -191,9 +191,8 @@ class ItemIndex:
         least = min(max(1, least_shared(m)) for m in sizes)
         return SizeClass(max(m + allowed(m) for m in sizes), least, steps, len(walks), tables)
 
-    def starts(self, words: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
+    def starts(self, words: np.ndarray, runs: np.ndarray) -> Iterator[tuple[SizeClass, np.ndarray]]:
         """Per size class, the window starts with enough runs of its items ahead of them."""
-        runs = run_hashes(words, RUN)
         if not len(runs) or not len(self.runs):
             return
         place = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
@@ -208,10 +207,10 @@ class ItemIndex:
                 if len(found := np.flatnonzero(total[ends] - total[:-1] >= sizes.least_runs)):
                     yield sizes, found
 
-    def candidates(self, words: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, words: np.ndarray, runs: np.ndarray | None = None) -> set[tuple[int, int]]:
         """(item, where the item would start) for pieces and windows with an equal sample; a start may lie ahead of the text."""
         found: set[tuple[int, int]] = set()
-        for sizes, starts in self.starts(words):
+        for sizes, starts in self.starts(words, run_hashes(words, RUN) if runs is None else runs):
             for at in range(0, len(starts), STARTS_AT_ONCE):
                 part = starts[at : at + STARTS_AT_ONCE]
                 symbols = [walk_symbols(words, part, walk, sizes.steps) for walk in range(sizes.walks)]
@@ -223,17 +222,23 @@ class ItemIndex:
                             found.add((n, int(part[w]) - first))
         return found
 
-    def counted(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    def counted(self, words: np.ndarray, runs: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """Per item, the (first word, end) of stretches that may hold a match: all that have enough of its own runs."""
         found: dict[int, list[tuple[int, int]]] = {}
         for posting in self.postings:
-            self._count(words, *posting, found)
+            self._count(words, runs if posting[0] == RUN else run_hashes(words, posting[0]), *posting, found)
         return found
 
     def _count(
-        self, words: np.ndarray, length: int, known: np.ndarray, run_from: np.ndarray, items: np.ndarray, found: dict[int, list[tuple[int, int]]]
+        self,
+        words: np.ndarray,
+        runs: np.ndarray,
+        length: int,
+        known: np.ndarray,
+        run_from: np.ndarray,
+        items: np.ndarray,
+        found: dict[int, list[tuple[int, int]]],
     ) -> None:
-        runs = run_hashes(words, length)
         place = np.minimum(np.searchsorted(known, runs), len(known) - 1)
         at = np.flatnonzero(known[place] == runs)
         first, count = run_from[place[at]], run_from[place[at] + 1] - run_from[place[at]]
@@ -283,10 +288,11 @@ def best_stretch(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 def matches(index: ItemIndex, text: bytes) -> list[tuple[int, int, int, int]]:
     """(item number, first word, last word, edits) of every place of an item in a text."""
     words = word_hashes(text, LETTERS)
+    runs = run_hashes(words, RUN)
     by_item: dict[int, list[int]] = {}
-    for n, start in index.candidates(words):
+    for n, start in index.candidates(words, runs):
         by_item.setdefault(n, []).append(start)
-    counted = index.counted(words)
+    counted = index.counted(words, runs)
     out = []
     for n in sorted(by_item.keys() | counted.keys()):
         item, k = index.words[n], allowed(len(index.words[n]))
