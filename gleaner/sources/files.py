@@ -83,8 +83,14 @@ def file_inventory(
     return df
 
 
+def folder_inventory(inventory: DataFrame) -> DataFrame:
+    """(path, size, mtime) of the folders that hold the files: a table written by many tasks counts once, as of its newest part."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    return inventory.groupBy(folder.alias("path")).agg(F.sum("size").alias("size"), F.max("mtime").alias("mtime"))
+
+
 def by_recency(inventory: DataFrame) -> DataFrame:
-    """Newest file first, equal times by path."""
+    """Newest file or folder first, equal times by path."""
     return inventory.orderBy(F.desc("mtime"), F.asc("path"))
 
 
