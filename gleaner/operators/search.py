@@ -64,19 +64,25 @@ def highlight_patterns(text: Column | str, patterns: list[str], open_tag: str =
 
 
 # possessive, so that a long run of capitalised words needs no stack
-CANDIDATE = r"\b[a-z]++ ((?:[A-Z][-A-Za-z0-9]*+ ?+)++)"
+CANDIDATE = r"[a-z]++ ((?:[A-Z][-A-Za-z0-9]*+ ?+)++)"
+#: what stands ahead of the lower-case word: a border, or a character of its own that no other phrase has taken
+BORDER, OWN_CHARACTER = r"\b", r"(?:^|[^\pL\pN_])"
 
 
-def keyword_candidates(text: Column | str) -> Column:
-    """Capitalised phrases that follow a lower-case word, each once per document, then trimmed."""
+def keyword_candidates(text: Column | str, ahead: str = BORDER) -> Column:
+    """Capitalised phrases that follow a lower-case word, each once per document, then trimmed.
+
+    With ``OWN_CHARACTER``, the blank that ends a phrase is not also the one ahead of the next, so of two phrases with
+    one lower-case word between them the second is left out.
+    """
     col = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(col, F.lit("(?U)" + CANDIDATE), 1)
+    found = F.regexp_extract_all(col, F.lit("(?U)" + ahead + CANDIDATE), 1)
     return F.transform(F.array_distinct(found), lambda x: F.trim(x))
 
 
-def candidate_counts(df: DataFrame, text: str, cutoff: int = 200) -> DataFrame:
+def candidate_counts(df: DataFrame, text: str, cutoff: int = 200, ahead: str = BORDER) -> DataFrame:
     """Candidates in at least ``cutoff`` documents; percent is of the number of distinct candidates."""
-    terms = df.select(F.explode(keyword_candidates(text)).alias("keyword"))
+    terms = df.select(F.explode(keyword_candidates(text, ahead)).alias("keyword"))
     return value_counts(terms, "keyword", n=None, cutoff=cutoff, vmax="values")
 
 

@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 from datetime import date
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +270,52 @@ def test_candidates(spark):
     assert len(long.select(search.keyword_candidates("t")).first()[0][0]) == 5 * 50_000 - 1
 
 
+def test_candidates_with_a_character_of_their_own(spark):
+    df = spark.createDataFrame([(1, "see Apache Spark and Foo, é in Bar. an_x Baz")], "id int, t string")
+    assert df.select(search.keyword_candidates("t")).first()[0] == ["Apache Spark", "Foo", "Bar"]
+    assert df.select(search.keyword_candidates("t", search.OWN_CHARACTER)).first()[0] == ["Apache Spark", "Bar"]
+
+
+def test_candidate_query_reads_as_its_sql(spark, tmp_path):
+    from gleaner.queries import load_all
+    from tests.harness import difference, spark_table, sql_table
+
+    text = "see Apache Spark and Foo, in Bar x Baz and Foo"
+    rows = [(i, text) for i in range(3)] + [(3, "a Rare word")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    query = load_all()["keyword_candidates"]
+    assert difference(spark_table(query.run(spark, str(tmp_path))), sql_table(con, query.sql)) is None
+
+
+def test_folders_by_recency_whatever_the_number_of_files(spark, tmp_path):
+    rows = spark.range(100).select(F.when(F.col("id") < 60, "a").otherwise("b").alias("q"), F.col("id").cast("string"))
+    rows.repartition(7).write.partitionBy("q").text(f"{tmp_path}/out")
+    found = files.file_inventory(spark, f"{tmp_path}/out", "part-*.txt")
+    assert found.count() > 7
+    folders = files.by_recency(files.folder_inventory(found)).collect()
+    assert {r.path.rsplit("/", 1)[1]: r.size for r in folders} == {"q=a": 10 * 2 + 50 * 3, "q=b": 40 * 3}
+    assert folders[0].mtime >= folders[1].mtime
+
+
+def test_recency_query_reads_as_its_sql_from_many_files(spark, tmp_path):
+    from gleaner.queries import load_all
+    from tests.harness import difference, spark_table, sql_table
+
+    kind = F.when(F.col("id") % 2 == 0, "view").otherwise("click")
+    rows = spark.range(90).select(F.col("id").alias("event_id"), F.lit("2024-01-05").cast("timestamp_ntz").alias("ts"), kind.alias("event_type"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # each file a partition, as large ones are
+    try:
+        rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        query = load_all()["files_by_recency"]
+        assert difference(spark_table(query.run(spark, str(tmp_path))), sql_table(con, query.sql)) is None
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_ranking_agrees_with_the_index(spark, tmp_path):
     docs = spark.createDataFrame(
         [(i, " ".join(["health"] * (i % 4) + ["data"] * (i % 3) + ["pad"] * (i % 7))) for i in range(60)], "id int, t string"
