@@ -58,3 +58,12 @@ def consolidate(df: DataFrame, path: str) -> DataFrame:
     """
     df.hint("rebalance").write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt over ``spark.sql.shuffle.partitions`` tasks, ahead of work that costs far more than reading them.
+
+    A small file is one task, and a file is cut only between its row groups, whatever the work on its rows.
+    The number is given, so that adaptive execution, which goes by bytes, does not gather them again.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
