@@ -12,6 +12,7 @@ from gleaner.operators import cards as card_ops
 from gleaner.operators.joins import embedded_tables
 from gleaner.queries import Tables, query
 from gleaner.queries.standins import REPAIRED, cards, repaired, with_cte
+from gleaner.sources.tables import dealt
 from gleaner.schemas import CARD_SLOTS, EMBEDDED
 
 
@@ -124,7 +125,7 @@ def _filled(template: str, joined: str) -> str:
 @query("html_to_markdown_written", f"SELECT p_partkey, {_filled(_PAGE_MD, 'md')} FROM part")
 def _(t: Tables) -> DataFrame:
     """A hand-written page around the values of each part, against its Markdown as written by hand."""
-    pages = t.part.selectExpr("p_partkey", _filled(_PAGE, "html"))
+    pages = dealt(t.part.select("p_partkey", "p_name", "p_brand", "p_type")).selectExpr("p_partkey", _filled(_PAGE, "html"))
     return pages.select("p_partkey", html_to_markdown_nested("html").alias("md"))
 
 
@@ -203,7 +204,8 @@ def _listing_pages(t: Tables) -> DataFrame:
         )
 
     footer = lit('<div class="foot"><span>About</span><a href="/about">us</a><div class="flex justify-center space-x-2"><div>a</div></div></div>')
-    return t.part.select(F.col("p_partkey").alias("hash"), F.concat(lit("<body>"), card("a"), card("b"), footer, lit("</body>")).alias("html"))
+    parts = dealt(t.part.select("p_partkey", "p_name", "p_brand", "p_size"))
+    return parts.select(F.col("p_partkey").alias("hash"), F.concat(lit("<body>"), card("a"), card("b"), footer, lit("</body>")).alias("html"))
 
 
 @query("button_count", "SELECT p_partkey AS hash, i - 1 AS card, CAST(p_size % 4 AS BIGINT) AS n_buttons FROM (SELECT *, unnest([1, 2]) AS i FROM part)")
@@ -287,7 +289,8 @@ def _(t: Tables) -> DataFrame:
         F.lit('</div><div><div><a href="/view/'), F.col("p_partkey"), F.lit('">x</a><a href="/?company=c'), F.col("p_brand"),
         F.lit('&s=1">y</a></div></div></div></body></html>'),
     )
-    made = card_ops.postings_from_pages(t.part.select(page.alias("html")), ["Oakland", "Palo Alto"])
+    parts = dealt(t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+    made = card_ops.postings_from_pages(parts.select(page.alias("html")), ["Oakland", "Palo Alto"])
     return made.select(
         "hash", "chash", "company", "title", "position", "hours", F.col("lower").alias("lower_k"),
         F.col("upper").alias("upper_k"), F.col("median").alias("median_k"), F.array_join("bay", ";").alias("bay"), "yoe",
