@@ -4,10 +4,10 @@ An alternation tries every term at every place, so its cost grows with the list.
 are tried on it:
 
 1. The words of the corpus (runs without white space) are made distinct; every part of a word that could begin a term is
-   joined with the list by its first characters. A term of several words must begin with the end of a word, a term of one word
-   may begin and end anywhere in one.
-2. The words of each text are joined with those that begin some term, and by the first characters of the word that follows, so that many
-   terms with one first word are told apart; a text's terms are collected.
+   joined with the list. A term of several words must begin with the end of a word, a term of one word may begin and end
+   anywhere in one, and is looked up by its first characters.
+2. The words of each text are joined with the first words they end with, and these with the terms by the first characters of the word
+   that follows, so that many terms with one first word are told apart; a text's terms are collected.
 3. In the row, the terms that do not stand in the text go, and the alternation of the others, in the order of the list, is
    applied to the whole text. Terms that do not occur cannot match, so the hits are those of the whole list.
 
@@ -42,16 +42,22 @@ def term_table(terms: DataFrame, term: str, order: str) -> DataFrame:
     return named.select("term", "rank", checked.alias("first"), (F.length(first) < F.length("term")).alias("more"), second.alias("second"))
 
 
-def words_that_begin(words: DataFrame, table: DataFrame) -> DataFrame:
-    """(word, second, term, rank) of every word in which a term may begin."""
-    keyed = table.withColumn("gram", F.substring("first", 1, GRAM))
+def words_that_begin(words: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(word, first) of every word that ends with the first word of a term of several, and (word, term, rank) of every word in
+    which a term of one word begins.
+
+    Terms that go on are not listed by word: a short first word ends many words and begins many terms, whose product would
+    stand here.
+    """
     # one character more than any first word, so that a longer rest is told from an equal one
     rests = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.substring(F.col("word"), i, F.lit(LONGEST + 1))))
     parts = words.select("word", F.explode(rests).alias("rest"))
+    firsts = table.filter("more").select("first").distinct()
+    several = parts.join(firsts, F.col("rest") == F.col("first")).select("word", "first")
     grams = F.array_distinct(F.array(*[F.substring("rest", 1, n) for n in range(1, GRAM + 1)]))
-    parts = parts.select("word", "rest", F.explode(grams).alias("gram"))
-    begins = F.when(F.col("more"), F.col("rest") == F.col("first")).otherwise(F.startswith("rest", "first"))
-    return parts.join(keyed, "gram").filter(begins).select("word", "second", "term", "rank").distinct()
+    keyed = table.filter("not more").withColumn("gram", F.substring("first", 1, GRAM))
+    single = parts.select("word", "rest", F.explode(grams).alias("gram")).join(keyed, "gram").filter(F.startswith("rest", "first"))
+    return several, single.select("word", "term", "rank").distinct()
 
 
 def _quoted(c: Column) -> Column:
@@ -87,11 +93,12 @@ def long_dictionary_hits(df: DataFrame, key: str, text: str, terms: DataFrame, t
     both = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w, n: F.concat(w, F.lit(" "), F.coalesce(F.substring(n, 1, GRAM), F.lit(""))))
     pairs = df.select(F.col(key).alias("key_of"), F.explode(F.array_distinct(both)).alias("both"))
     pairs = pairs.select("key_of", F.substring_index("both", " ", 1).alias("word"), F.substring_index("both", " ", -1).alias("follow"))
-    begun = words_that_begin(pairs.select("word").distinct(), table)
-    pairs = pairs.join(begun.select("word").distinct(), "word", "left_semi")
+    several, single = words_that_begin(pairs.select("word").distinct(), table)
     heads = F.array(F.lit(""), *[F.substring("follow", 1, n) for n in range(1, GRAM + 1)])
-    found = pairs.select("key_of", "word", F.explode(F.array_distinct(heads)).alias("second")).join(begun, ["word", "second"])
-    found = found.groupBy("key_of").agg(F.collect_set(F.struct("rank", "term")).alias("terms_of"))
+    led = pairs.join(several, "word").select("key_of", "first", F.explode(F.array_distinct(heads)).alias("second"))
+    met = led.join(table.filter("more"), ["first", "second"]).select("key_of", "rank", "term")
+    met = met.unionByName(pairs.join(single, "word").select("key_of", "rank", "term"))
+    found = met.groupBy("key_of").agg(F.collect_set(F.struct("rank", "term")).alias("terms_of"))
     joined = df.join(found, df[key].eqNullSafe(found["key_of"]), "left")
     present = F.transform(F.filter(F.array_sort("terms_of"), lambda t: F.contains(F.col(text), t["term"])), lambda t: t["term"])
     hits = F.regexp_extract_all(F.col(text), bound(present, lambda p: alternation(p)), F.lit(1))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import dictionary_hits
-from gleaner.operators.dictionary import LONGEST, long_dictionary_hits
+from gleaner.operators.dictionary import LONGEST, long_dictionary_hits, term_table, words_that_begin
 
 TERMS = ["San Francisco", "San", "an Fra", "Fran", "New York City", "New York", "a", "York (NY)", "c++", ".net", r"\E$x", "é b", "Oakland\tCA", "x" * 40, "new"]
 
@@ -43,3 +43,11 @@ def test_terms_without_a_first_word_raise(spark):
     for term in ("", " a", "x" * (LONGEST + 1)):
         with pytest.raises(Exception, match="must begin with a word"):
             long_dictionary_hits(df, "id", "text", spark.createDataFrame([(term, 1)], "term string, rank int")).collect()
+
+
+def test_many_terms_of_one_first_word_are_not_listed_by_word(spark):
+    """Words that end with a first word times the terms it begins are more than either."""
+    terms = spark.range(2_000).select(F.concat(F.lit("a w"), "id").alias("term"), F.col("id").alias("rank"))
+    words = spark.range(3_000).select(F.concat(F.lit("x"), "id", F.lit("a")).alias("word"))
+    several, single = words_that_begin(words, term_table(terms, "term", "rank"))
+    assert (several.count(), several.columns, single.count()) == (3_000, ["word", "first"], 0)
