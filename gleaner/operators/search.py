@@ -89,7 +89,8 @@ def candidate_counts(df: DataFrame, text: str, cutoff: int = 200, ahead: str = B
 def tokens(text: Column | str, stop: list[str] = STOP_WORDS) -> Column:
     """Lower-case word tokens of two or more characters, stop words removed, repeats kept."""
     col = F.col(text) if isinstance(text, str) else text
-    words = F.regexp_extract_all(F.lower(col), F.lit(r"(?U)\w{2,}"), 0)
+    # the plain characters are looked up in a table of bits; only others ask for their Unicode class
+    words = F.regexp_extract_all(F.lower(col), F.lit(r"(?U)[a-z0-9_\w]{2,}+"), 0)
     return F.filter(words, lambda w: ~w.isin(stop))
 
 
@@ -100,17 +101,20 @@ def query_terms(query: str, stop: list[str] = STOP_WORDS) -> list[str]:
     return [w for w in re.findall(r"\w{2,}", query.lower()) if w not in stop]
 
 
-def bm25_index(df: DataFrame, doc: str, text: str) -> dict[str, DataFrame]:
+def bm25_index(df: DataFrame, doc: str, text: str, by_doc: bool = True) -> dict[str, DataFrame]:
     """Index tables: ``postings`` (doc, term, tf, len), ``terms`` (term, df) and one-row ``stats``.
 
-    Write them once and query many times. A term's rows lie together after the second group-by, and
-    partial counts keep a frequent term from travelling row by row.
+    Write them once and query many times. Texts are dealt by document, so that its terms are counted where it lies: a text
+    is smaller than its postings. Partial counts keep a frequent term from travelling row by row. Without ``by_doc`` the
+    postings travel, for a reader that goes over them twice.
     """
-    toks = df.select(F.col(doc), tokens(text).alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
-    postings = (
-        toks.select(doc, "len", F.explode("_t").alias("term"))
-        .groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-    )
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col(doc), tokens("_text").alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
+
+    texts = df.select(F.col(doc), F.col(text).alias("_text"))
+    toks = counted(texts)
+    postings = (counted(texts.repartition(doc)) if by_doc else toks).select(doc, "len", F.explode("_t").alias("term"))
+    postings = postings.groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
     return {"postings": postings, "terms": terms, "stats": stats}
@@ -130,7 +134,7 @@ def write_index(df: DataFrame, doc: str, text: str, folder: str, block_docs: int
     ``bm25_lookup`` leaves out blocks without a hit. All parts are exact, since lengths and the average are final.
     """
     spark = df.sparkSession
-    index = bm25_index(df, doc, text)
+    index = bm25_index(df, doc, text, by_doc=False)  # ranges are sampled ahead of the sort
     index["stats"].write.mode("overwrite").parquet(f"{folder}/stats")
     stats = spark.read.parquet(f"{folder}/stats").agg(F.struct(F.max("n_docs").alias("n"), F.max("avg_len").alias("avg")).alias("s")).scalar()
     parted = index["postings"].withColumn("_s", stats)

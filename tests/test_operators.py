@@ -474,3 +474,13 @@ def test_sums_before(spark):
     sizes = [[i % 7 for i in range(1000)], [], None, [5], [1] * 129]
     got = [r[0] for r in spark.createDataFrame([(s,) for s in sizes], "s array<int>").select(sums_before(F.col("s"))).collect()]
     assert got == [None if s is None else [sum(s[:i]) for i in range(len(s))] for s in sizes]
+
+
+def test_postings_are_counted_where_their_text_lies(spark):
+    docs = spark.createDataFrame([(1, "data data tools"), (1, "data"), (2, None), (None, "tools x1 ÉTÉ ét")], "id int, t string")
+    postings = search.bm25_index(docs, "id", "t")["postings"]
+    plan = postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_text" in plan.split("Exchange")[1].split("\n")[1]
+    want = search.bm25_index(docs, "id", "t", by_doc=False)["postings"]
+    assert sorted(map(repr, postings.collect())) == sorted(map(repr, want.collect()))
+    assert {(r["id"], r["term"], r["tf"]) for r in postings.collect()} >= {(1, "data", 3), (None, "été", 1), (None, "ét", 1)}
