@@ -17,3 +17,14 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 def test_rows_of_one_file_are_dealt(spark, name):
     made = load_all()[name].run(spark, FOLDER)
     assert made._jdf.queryExecution().toRdd().getNumPartitions() == 8
+
+
+def test_lines_of_a_task_stay_bounded(spark, monkeypatch):
+    from gleaner.queries import Tables, standins
+
+    monkeypatch.setattr(standins, "TASK_LINES", 100)
+    tables = Tables(spark, FOLDER)
+    n = -(-tables.lineitem.count() // 100)
+    assert standins.item_tasks(tables) == n > 8
+    made = standins.order_brands(tables, tables.orders.selectExpr("o_orderkey AS id"))
+    assert f", {n})" in made._jdf.queryExecution().executedPlan().toString()
