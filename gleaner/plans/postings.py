@@ -14,12 +14,14 @@ from gleaner.operators.filters import since, since_flags
 from gleaner.operators.ordering import newest_first
 from gleaner.schemas import RECENT_COLUMNS
 from gleaner.sources.dated import last_seen, write_days
-from gleaner.sources.files import snapshot_scan
+from gleaner.sources.files import file_inventory, snapshot_scan
 from gleaner.sources.tables import cached_parquet, read_table
 
 # The words of the health flag and the first days of the recency flags.
 HEALTH_WORDS = ["health", "medical", "biotech"]
 SINCE = {"jan": "2026-01-01", "feb": "2026-02-01"}
+# Fixed value: bytes of listing pages whose postings a task makes and sorts by day
+TASK_BYTES = 16 << 20
 
 
 def with_markdown(jobs: DataFrame, url_prefix: str) -> DataFrame:
@@ -83,10 +85,15 @@ def store_listings(
 ) -> None:
     """Add the snapshots below ``root``, such as the folder of one day, to the dated table at ``store``.
 
-    The days found there are replaced, others stay: days may come in any order, and come again.
+    The days found there are replaced, others stay: days may come in any order, and come again. Pages go to tasks by
+    day, to as many as the bytes listed ask for, and in no order within it, which spreads a query of large pages.
     """
-    pages = snapshot_scan(spark, root, glob).withColumnRenamed("value", "html").drop("path")
-    write_days(postings_from_pages(pages, cities, card_open=card_open, dedupe=False), store, "snapshot_date")
+    listed = file_inventory(spark, root, glob).agg(F.sum("size")).first()[0] or 0
+    pages = snapshot_scan(spark, root, glob).withColumnRenamed("value", "html")
+    tasks = max(1, -(-listed // TASK_BYTES))
+    pages = pages.repartitionByRange(tasks, "snapshot_date", F.xxhash64("path")).drop("path")
+    postings = postings_from_pages(pages, cities, card_open=card_open, dedupe=False)
+    write_days(postings, store, "snapshot_date", gathered=True)
 
 
 def reconciled_listings(spark: SparkSession, store: str, since: str | None = None, until: str | None = None) -> DataFrame:

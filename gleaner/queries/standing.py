@@ -56,9 +56,18 @@ def _(t: Tables) -> DataFrame:
     return recent.select("_hash", "title", F.unix_micros("estimated_publish_date").alias("published_us"), "health")
 
 
+#: parts whose cards a task sorts by day and query
+TASK_PARTS = 50_000
+
+
 def _listing_days(t: Tables, days: list[int], text_of: Column, kept: Column | None = None) -> str:
-    """Listing pages below ``day=/query=`` folders: each part on two days of three, in one of two queries."""
-    seen = t.part.withColumn("d", F.explode(F.array(*map(F.lit, days)))).filter((F.col("p_partkey") + F.col("d")) % 3 != 0)
+    """Listing pages below ``day=/query=`` folders: each part on two days of three, in one of two queries.
+
+    The parts are dealt by their number: a writer into folders sorts all that its task holds, and a task is a row group
+    of the file otherwise.
+    """
+    parts = t.part.repartition(max(1, -(-t.part.count() // TASK_PARTS)), "p_partkey")
+    seen = parts.withColumn("d", F.explode(F.array(*map(F.lit, days)))).filter((F.col("p_partkey") + F.col("d")) % 3 != 0)
     if kept is not None:
         seen = seen.filter(kept)
     texts = [

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.variants import json_fields, json_get, json_kind, json_value
 from gleaner.operators.sketches import daily_sketches, error_bound, exact_counts, merged_counts
+from gleaner.plans import postings as plans
 from gleaner.sources.dated import last_seen, read_days, write_days
 from gleaner.sources.tables import path_exists
 
@@ -50,6 +51,48 @@ def test_span_prunes_folders(spark, tmp_path):
     assert found.select(F.input_file_name()).distinct().count() == 2
 
 
+def listing(*keys):
+    texts = ["3d", "Nurse", "Oakland, California, United States", "$10k-$30k/yr", "Onsite", "Full Time", "Acme:", ": makes", "b", "SQL", "Job Posting", "1 view"]
+    spans = "".join(f"<span>{x}</span>" for x in texts)
+    return "\n".join(f'<div class="card"><div>{spans}</div><div><div><a href="/view/{k}">x</a><a href="/?company=c&s=1">y</a></div></div></div>' for k in keys)
+
+
+def test_listing_pages_are_dealt_by_their_bytes(spark, tmp_path, monkeypatch):
+    root = tmp_path / "pages"
+    for n in (1, 2):
+        for q in ("all", "near"):
+            for page in range(10):
+                (root / f"2026-01-0{n}" / q).mkdir(parents=True, exist_ok=True)
+                (root / f"2026-01-0{n}" / q / f"{page}.html").write_text(listing(f"{q}{page}", f"{q}{page}x", f"{n}-{page}"))
+    (root / "undated").mkdir()
+    (root / "undated" / "0.html").write_text(listing("u"))
+
+    def stored(to):
+        plans.store_listings(spark, str(root), str(tmp_path / to), ["Oakland"])
+        seen = plans.reconciled_listings(spark, str(tmp_path / to))
+        return sorted(str(tuple(r)) for r in seen.select("hash", "snapshot_date", "query", "card", "hours", "title").collect())
+
+    whole = stored("whole")
+    assert len(whole) == 2 * 20 + 2 * 10 + 1
+    assert len(list((tmp_path / "whole").rglob("*.parquet"))) == 3  # a file for each day, one without
+    monkeypatch.setattr(plans, "TASK_BYTES", 4000)  # some pages
+    assert stored("parts") == whole
+    for n in (1, 2):
+        files = list((tmp_path / "parts" / f"snapshot_date=2026-01-0{n}").glob("*.parquet"))
+        assert 4 <= len(files) <= 15
+        assert max(r["count"] for r in spark.read.parquet(*map(str, files)).groupBy(F.input_file_name()).count().collect()) < 30
+
+
+def test_listings_of_an_empty_folder(spark, tmp_path):
+    for n, keys in ((1, ["a"]), (2, [])):
+        day = tmp_path / f"2026-01-0{n}" / "all"
+        day.mkdir(parents=True)
+        if keys:
+            (day / "0.html").write_text(listing(*keys))
+        plans.store_listings(spark, str(tmp_path / f"2026-01-0{n}"), str(tmp_path / "store"), ["Oakland"])
+    assert [r["hash"] for r in plans.reconciled_listings(spark, str(tmp_path / "store")).collect()] == ["a"]
+
+
 def test_sketches_merge_like_one_count(spark):
     rows = spark.range(200_000).select(
         (F.col("id") % 10).cast("int").alias("day"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"),

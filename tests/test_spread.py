@@ -28,3 +28,17 @@ def test_lines_of_a_task_stay_bounded(spark, monkeypatch):
     assert standins.item_tasks(tables) == n > 8
     made = standins.order_brands(tables, tables.orders.selectExpr("o_orderkey AS id"))
     assert f", {n})" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_listing_parts_of_a_task_stay_bounded(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from gleaner.queries import Tables, standing
+
+    monkeypatch.setattr(standing, "TASK_PARTS", 30)
+    tables = Tables(spark, FOLDER)
+    n = -(-tables.part.count() // 30)
+    root = standing._listing_days(tables, [1, 2, 3], F.lit("1d"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.regexp_extract("path", r"part-(\d+)", 1))
+    assert files.distinct().count() == n > 1
+    assert spark.read.text(root).count() == 2 * tables.part.count()
