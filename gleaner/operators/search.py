@@ -120,41 +120,61 @@ def bm25_index(df: DataFrame, doc: str, text: str, by_doc: bool = True) -> dict[
     return {"postings": postings, "terms": terms, "stats": stats}
 
 
-#: documents of a block, and best postings kept per term
+#: documents of a block, and best postings of a term that the floor of a lookup is taken from
 BLOCK_DOCS = 1024
 CHAMPIONS = 128
+#: words whose postings a task of ``write_index`` counts and sorts, and the most tasks there may be
+TASK_WORDS = 1 << 20
+MOST_TASKS = 10_000
+
+
+def block_postings(df: DataFrame, doc: str, text: str, n_docs: int, avg_len: float | None, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Postings (doc, term, tf, len, block, part, leads), each partition with whole blocks of documents and sorted by term.
+
+    ``leads`` marks the posting of a term and block that has the largest ``part`` of a score. The texts travel once, by block;
+    postings, blocks and their order are made where they lie. A document of several rows is one document, as in ``bm25_index``.
+    """
+    average = F.lit(avg_len).cast("double")
+    blocks = math.ceil(max(n_docs, 1) / block_docs)
+    tasks = min(max(math.ceil(n_docs * (avg_len or 0) / TASK_WORDS), 1), MOST_TASKS)
+    texts = df.select(F.col(doc), F.pmod(F.xxhash64(doc), F.lit(blocks).cast("bigint")).alias("block"), F.col(text).alias("_text"))
+    toks = texts.repartition(tasks, "block").select(doc, "block", tokens("_text").alias("_t")).withColumn("len", F.size("_t").cast("bigint"))
+    postings = toks.select(doc, "block", "len", F.explode("_t").alias("term"))
+    postings = postings.groupBy("block", doc, "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    parted = postings.select(doc, "term", "tf", "len", "block", _part(F.col("tf"), F.col("len"), average).alias("part"))
+    best = Window.partitionBy("term", "block").orderBy(F.desc("part"), doc)
+    marked = parted.withColumn("leads", F.row_number().over(best) == 1)
+    return marked.sortWithinPartitions("term", "block", F.desc("part"), doc)  # as the window left them
 
 
 def write_index(df: DataFrame, doc: str, text: str, folder: str, block_docs: int = BLOCK_DOCS) -> dict[str, DataFrame]:
     """Store the index tables below ``folder`` and read them back.
 
-    Documents are dealt into blocks. ``postings`` are range-partitioned by (term, block), so that a frequent term spreads over
-    several files, and sorted, so that a query's terms meet few row groups. ``blocks`` has the largest part of a score that
+    Documents are dealt into blocks, and a file of ``postings`` holds whole blocks, sorted by term, so that a query's terms meet
+    few row groups of each. Neither postings nor what is taken from them is dealt out again, for they are several times
+    the size of the texts. ``read_index`` reads two more tables off them: ``blocks`` has the largest part of a score that
     a term gives any document of a block, ``champions`` the documents to which each term gives most: with these
     ``bm25_lookup`` leaves out blocks without a hit. All parts are exact, since lengths and the average are final.
     """
     spark = df.sparkSession
-    index = bm25_index(df, doc, text, by_doc=False)  # ranges are sampled ahead of the sort
-    index["stats"].write.mode("overwrite").parquet(f"{folder}/stats")
-    stats = spark.read.parquet(f"{folder}/stats").agg(F.struct(F.max("n_docs").alias("n"), F.max("avg_len").alias("avg")).alias("s")).scalar()
-    parted = index["postings"].withColumn("_s", stats)
-    blocks = F.ceil(F.greatest(F.col("_s.n"), F.lit(1)) / F.lit(block_docs))
-    parted = parted.select(
-        doc, "term", "tf", "len", F.pmod(F.xxhash64(doc), blocks).alias("block"), _part(F.col("tf"), F.col("len"), F.col("_s.avg")).alias("part")
-    )
-    parted.repartitionByRange("term", "block", doc).sortWithinPartitions("term", "block", doc).write.mode("overwrite").parquet(f"{folder}/postings")
+    bm25_index(df, doc, text)["stats"].write.mode("overwrite").parquet(f"{folder}/stats")
+    stats = spark.read.parquet(f"{folder}/stats").first()
+    block_postings(df, doc, text, stats["n_docs"], stats["avg_len"], block_docs).write.mode("overwrite").parquet(f"{folder}/postings")
     stored = spark.read.parquet(f"{folder}/postings")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/terms")
-    limits = stored.groupBy("term", "block").agg(F.max("part").alias("most"))
-    limits.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{folder}/blocks")
-    best = Window.partitionBy("term").orderBy(F.desc("part"), doc)
-    champions = stored.select("term", doc, "part").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= CHAMPIONS)
-    champions.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/champions")
     return read_index(spark, folder)
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats", "blocks", "champions")}
+    """The stored tables; a filter on terms reaches the scan of each, that of ``blocks`` and ``champions`` through their marks and ranks."""
+    index = {name: spark.read.parquet(f"{folder}/{name}") for name in ("postings", "terms", "stats")}
+    stored = index["postings"]
+    doc = stored.columns[0]
+    best = Window.partitionBy("term").orderBy(F.desc("part"), doc)
+    ranked = stored.select("term", doc, "part").withColumn("place", F.row_number().over(best))
+    return index | {
+        "blocks": stored.filter("leads").select("term", "block", F.col("part").alias("most")), "champions": ranked.filter(F.col("place") <= CHAMPIONS),
+    }
 
 
 def blocks_to_read(

@@ -484,3 +484,35 @@ def test_postings_are_counted_where_their_text_lies(spark):
     want = search.bm25_index(docs, "id", "t", by_doc=False)["postings"]
     assert sorted(map(repr, postings.collect())) == sorted(map(repr, want.collect()))
     assert {(r["id"], r["term"], r["tf"]) for r in postings.collect()} >= {(1, "data", 3), (None, "été", 1), (None, "ét", 1)}
+
+
+def test_stored_index_deals_texts_once_and_stores_postings_once(spark, tmp_path):
+    import math
+    import random
+    from pathlib import Path
+
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    data = [(i % 250, " ".join(draw.choices(words, weights=range(1, 61), k=draw.randrange(0, 90)))) for i in range(300)]
+    docs = spark.createDataFrame(data + [(None, "w1 w1 w2"), (None, "w2"), (400, None), (401, "")], "id int, t string")
+    folder = str(tmp_path / "index")
+    index = search.write_index(docs, "id", "t", folder, block_docs=8)
+    want = {(r["id"], r["term"], r["tf"], r["len"]) for r in search.bm25_index(docs, "id", "t")["postings"].collect()}
+    kept = index["postings"].collect()
+    assert {(r["id"], r["term"], r["tf"], r["len"]) for r in kept} == want and len(kept) == len(want)
+    # what lies below the folder are the postings, a row per term and the row of statistics
+    terms = {r["term"]: r["df"] for r in index["terms"].collect()}
+    assert sum(spark.read.parquet(str(f)).count() for f in Path(folder).iterdir()) == len(want) + len(terms) + 1
+    most, best = {}, {}
+    for r in kept:
+        most[r["term"], r["block"]] = max(r["part"], most.get((r["term"], r["block"]), 0.0))
+        best.setdefault(r["term"], []).append(r["part"])
+    assert {(r["term"], r["block"]): r["most"] for r in index["blocks"].collect()} == most and index["blocks"].count() == len(most)
+    champions = {}
+    for r in sorted(index["champions"].collect(), key=lambda r: (r["term"], r["place"])):
+        champions.setdefault(r["term"], []).append(r["part"])
+    assert champions == {t: sorted(x, reverse=True)[: search.CHAMPIONS] for t, x in best.items()} and max(map(len, best.values())) > search.CHAMPIONS
+    stats = index["stats"].first()
+    plan = search.block_postings(docs, "id", "t", stats["n_docs"], stats["avg_len"], 8)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "_text" in plan.split("Exchange")[1].split("\n")[1] and plan.count("Sort [") == 1
+    assert math.ceil(304 / 8) >= index["blocks"].select("block").distinct().count() > 20
